@@ -78,14 +78,15 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept for the next call."""
     have = _POWERS.get(str(base))
     if have is None or len(have) < n:
-        size = 1 << max(12, (n - 1).bit_length())
+        size = max(1 << 12, n + n // 8)
         have = np.empty(size, np.uint64)
         have[0] = 1
         done = 1
         while done < size:
             step = np.uint64(pow(base, done, 1 << 64))
-            have[done : 2 * done] = have[:done] * step
-            done *= 2
+            more = min(done, size - done)
+            have[done : done + more] = have[:more] * step
+            done += more
         _POWERS[str(base)] = have
     return have[:n]
 
@@ -112,18 +113,28 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, spans: bool = False, lower
     if len(starts) < 2:
         none = np.empty(0, np.int64)
         return (np.empty(0, np.uint64), np.zeros(len(starts), np.int64), *((none, none) if spans else ()))
-    space = _IS_SPACE[data]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if not space[0]:
-        edge = np.concatenate(([0], edge))
-    begin, end = edge[0::2], edge[1::2]  # data ends with a space
-    values = _BYTES[_TO_LOWER[data] if lower else data]
-    values *= powers(_INVERSE, len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values, out=sums[1:])
-    found = (sums[end] - sums[begin]) * powers(_BASE, len(data))[begin]
-    found += (end - begin).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
-    return (mix64(found), np.searchsorted(begin, starts), *((begin, end) if spans else ()))
+    found, begins, ends = [], [], []
+    i = 0
+    while i < len(starts) - 1:  # rows of about a megabyte at a time stay in the cache
+        j = min(max(i + 1, int(np.searchsorted(starts, starts[i] + (1 << 20), side="right")) - 1), len(starts) - 1)
+        part = data[starts[i] : starts[j]]
+        space = _IS_SPACE[part]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if not space[0]:
+            edge = np.concatenate(([0], edge))
+        begin, end = edge[0::2], edge[1::2]  # each row ends with a space
+        values = _BYTES[_TO_LOWER[part] if lower else part]
+        values *= powers(_INVERSE, len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(values, out=sums[1:])
+        hashes = (sums[end] - sums[begin]) * powers(_BASE, len(part))[begin]
+        hashes += (end - begin).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+        found.append(mix64(hashes))
+        begins.append(begin + starts[i])
+        ends.append(end + starts[i])
+        i = j
+    hashes, begin = np.concatenate(found), np.concatenate(begins)
+    return (hashes, np.searchsorted(begin, starts), *((begin, np.concatenate(ends)) if spans else ()))
 
 
 def running_before(df: DataFrame, key: str, value: str, ties: str, out: str, ranges: int = 512) -> DataFrame:

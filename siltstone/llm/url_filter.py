@@ -31,23 +31,31 @@ MAX_RULES = 5_000_000
 
 
 class DigestArray:
-    """Sorted 64-bit digests, with the strings they stand for, as three ``.npy`` files that can be memory-mapped."""
+    """Sorted 64-bit digests, and the strings they stand for, in one file that is memory-mapped.
 
-    def __init__(self, folder: str):
-        self.keys = np.load(os.path.join(folder, "keys.npy"), mmap_mode="r")
-        self.ends = np.load(os.path.join(folder, "ends.npy"), mmap_mode="r")
-        self.text = np.load(os.path.join(folder, "text.npy"), mmap_mode="r")
-        self.codes = np.load(os.path.join(folder, "codes.npy"), mmap_mode="r")
-        self.lengths = np.load(os.path.join(folder, "lengths.npy"))
+    The file holds 8-byte integers (how many digests and path lengths; the digests; ends of the strings; a code each; the
+    path lengths) and then the strings.
+    """
+
+    def __init__(self, path: str):
+        n, lengths = (int(x) for x in np.memmap(path, np.int64, "r", 0, (2,)))
+        part = lambda at, size, kind=np.int64: np.memmap(path, kind, "r", 16 + 8 * at, (size,)) if size else np.empty(0, kind)
+        self.keys = part(0, n, np.uint64)
+        self.ends = part(n, n + 1)
+        self.codes = part(2 * n + 1, n)
+        self.lengths = part(3 * n + 1, lengths)
+        self.text = part(3 * n + 1 + lengths, int(self.ends[-1]), np.uint8)
 
     @staticmethod
-    def build(folder: str, strings: Sequence[str], codes: Sequence[int], path_lengths: Iterable[int], key=xxhash.xxh64_intdigest) -> None:
+    def build(path: str, strings: Sequence[str], codes: Sequence[int], path_lengths: Iterable[int], key=xxhash.xxh64_intdigest) -> None:
         rows = sorted((key(s.encode()), s.encode(), c) for s, c in zip(strings, codes, strict=True))
-        np.save(os.path.join(folder, "keys.npy"), np.array([r[0] for r in rows], np.uint64))
-        np.save(os.path.join(folder, "ends.npy"), np.cumsum([0, *(len(r[1]) for r in rows)]))
-        np.save(os.path.join(folder, "text.npy"), np.frombuffer(b"".join(r[1] for r in rows), np.uint8))
-        np.save(os.path.join(folder, "codes.npy"), np.array([r[2] for r in rows], np.int32))
-        np.save(os.path.join(folder, "lengths.npy"), np.array(sorted(set(path_lengths)), np.int64))
+        lengths = sorted(set(path_lengths))
+        with open(path, "wb") as f:
+            f.write(np.array([len(rows), len(lengths)], np.int64).tobytes())
+            f.write(np.array([r[0] for r in rows], np.uint64).tobytes())
+            f.write(np.cumsum([0, *(len(r[1]) for r in rows)]).astype(np.int64).tobytes())
+            f.write(np.array([*(r[2] for r in rows), *lengths], np.int64).tobytes())
+            f.write(b"".join(r[1] for r in rows))
 
     def stored(self, i: int) -> bytes:
         return self.text[self.ends[i] : self.ends[i + 1]].tobytes()
@@ -88,11 +96,10 @@ def url_filter(df: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: str
     for host, path, verdict in rules:
         once[host + path] = (len(path), verdict)
     verdicts = sorted({v for _, v in once.values()})
-    folder = os.path.join(tempfile.mkdtemp(), f"rules-{uuid.uuid4().hex}")
-    os.mkdir(folder)
-    DigestArray.build(folder, list(once), [verdicts.index(v) for _, v in once.values()], (n for n, _ in once.values()))
-    df.sparkSession.sparkContext.addFile(folder, recursive=True)
-    name = os.path.basename(folder)
+    path = os.path.join(tempfile.mkdtemp(), f"rules-{uuid.uuid4().hex}")
+    DigestArray.build(path, list(once), [verdicts.index(v) for _, v in once.values()], (n for n, _ in once.values()))
+    df.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
     id_type = df.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, id_type), *(T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict"))])
 
