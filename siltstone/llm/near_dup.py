@@ -1,6 +1,6 @@
 """Near-duplicate documents by MinHash banding and sequential Bayesian verification.
 
-A document's set holds the 64-bit hashes of its distinct five-word shingles.  Documents with equal sets form a class, and only
+A document's set holds the 50-bit hashes of its distinct five-word shingles.  Documents with equal sets form a class, and only
 one document a class goes on.  ``BANDS x ROWS`` MinHash values are cut into bands; documents that share a band are candidates.
 Signatures of candidates are compared a batch at a time, and a pair is dropped as soon as the posterior probability (flat
 prior) that its similarity reaches the threshold falls below ``MISS``.  Survivors are verified exactly on full sets.
@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import batches, joined, mix64, word_hashes, written
+from siltstone.llm.shared import MAX_ROWS, batches, joined, mix64, word_hashes, written
 
 WORDS, BANDS, ROWS, MISS = 5, 20, 5, 1e-6
 HASHES = BANDS * ROWS
+ROW_BITS = MAX_ROWS.bit_length() - 1  # of a shingle's 64-bit hash 50 bits are kept
 STEP = 20  # hashes compared at a time
 BLOCK = 1024
 BITS = 1 << 24
@@ -50,7 +51,7 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for k in range(WORDS):
         found += np.where(k < left, padded[at + k], np.uint64(0)) * _PLACE[k]
     found = mix64(found)
-    bits = np.uint64(max(1, (n - 1).bit_length()))  # the row in the top bits, so that one sort does all rows
+    bits = np.uint64(ROW_BITS)  # the row in the top bits, so that one sort does all rows
     key = np.sort((owner.astype(np.uint64) << (np.uint64(64) - bits)) | (found >> bits))
     key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
     row = (key >> (np.uint64(64) - bits)).astype(np.int64)
@@ -226,3 +227,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     out = table.select("doc_id", "n", "k1", "k2").join(named, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & (F.col("n") > 0), "left")
     component = F.coalesce(F.when(F.col("n") > 0, F.col("_c")), F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with the same columns, of which one a component stays."""
+    gone = written(near_duplicates(docs, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")

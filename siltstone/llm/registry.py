@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
-from siltstone.llm import mixing, packing, token_store, url_filter
+from pyspark.sql import functions as F
+
+from siltstone.llm import impact_search, kneser_ney, mixing, near_dup, packing, suffix_dedup, token_store, toxicity, url_filter, vector_tree
 from siltstone.llm.shared import new_path
 
 
@@ -27,6 +29,22 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def crc_rest(n: int) -> Column:
+    """crc32 of doc_id as text, modulo n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learns only from the labels that aren't held out."""
+    return toxicity.fit(*toxicity.training_rows(docs, labels.where(crc_rest(5) != 0), "doc_id", "text", "toxic"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_documents(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (crc_rest(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -37,11 +55,32 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.document_digests(spark, path)
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("row")
+
+
+def op7_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.top_k(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
+
+
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = kneser_ney.score_texts(table(spark, sf_dir, "documents"), crc_rest(7) != 2)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op3_packing, op4_token_store, op9_mixing)}
+def op10_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_tree.nearest(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_packing, op4_token_store, op5_near_duplicates, op6_suffix_dedup, op7_impact_search, op8_kneser_ney, op9_mixing, op10_vector_tree)}
 
 SQL = {
     "op1_url_filter": """
@@ -57,5 +96,6 @@ hit AS (
   FROM r JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s))
 SELECT r.page_id, r.host, r.path, hit.rule, coalesce(hit.v, 'allow') AS verdict FROM r LEFT JOIN hit ON hit.page_id = r.page_id AND hit.n = 1
 """,
+    "op7_impact_search": impact_search.SQL,
     "op9_mixing": mixing.SQL,
 }

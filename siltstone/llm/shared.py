@@ -50,6 +50,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+#: Rows of one range of :func:`batches`.
+MAX_ROWS = 1 << 14
+
+
 def batches(column: pa.Array, limit: int = 4 << 20):
     """Yield (start, stop) row ranges of a string or binary column that hold at most ``limit`` bytes (one row at least)."""
     n = len(column)
@@ -58,7 +62,8 @@ def batches(column: pa.Array, limit: int = 4 << 20):
     start = 0
     while start < n:
         stop = max(start + 1, int(np.searchsorted(ends, ends[start] + limit, side="right")) - 1)
-        yield start, min(stop, n)
+        stop = min(stop, n, start + MAX_ROWS)
+        yield start, stop
         start = stop
 
 

@@ -26,12 +26,15 @@ only id and text are read.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.llm.shared import _BASE, _BYTES, _INVERSE, batches, mix64, powers, written
 
@@ -239,11 +242,10 @@ def _table(columns: dict) -> pa.Table:
     return pa.table({n: pa.array(v, t) for n, (v, t) in columns.items()})
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row (and kept, the bytes that stay)."""
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row (and kept, the bytes that stay, and columns to carry along)."""
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest") if carry else F.lit(None).cast("string").alias("rest"))
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = base.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(shards, -(-size // (24 << 20)), 1)
@@ -266,7 +268,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return _table({"kind": (["flags"] * len(keys), pa.string()), "split": (table["split"].to_pylist(), pa.int64()), "shard": (table["shard"].to_pylist(), pa.int32()), "data": ([_zip(f) for f in flags], pa.binary())})
 
     told = "kind string, split long, shard int, data binary"
-    flags = written(base.mapInArrow(cores, "shard int, split long, keys binary, many binary").groupBy("shard").applyInArrow(count, told), "passage-flags")
+    flags = written(base.drop("rest").mapInArrow(cores, "shard int, split long, keys binary, many binary").groupBy("shard").applyInArrow(count, told), "passage-flags")
 
     def send(it):
         for batch in it:
@@ -340,7 +342,23 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for n, c, t in zip(("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"), out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True):
             if n != "kept" or keep_text:
                 result[n] = pa.array(c, t)
+        if carry:
+            result["rest"] = part["rest"].take(pa.array(s.order))
         return pa.table(result)
 
-    schema = f"row long, doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
+    schema = schema.add("kept", T.BinaryType()) if keep_text else schema
+    schema = schema.add("rest", base.schema["rest"].dataType) if carry else schema
     return texts.unionByName(flags).unionByName(answers).groupBy("split").applyInArrow(remove, schema).withColumnRenamed("doc_id", id_col)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with the same columns, after repeated passages are removed (bytes of a character cut in two go as well)."""
+    out = deduplicated(docs, id_col, text_col, keep_text=True, carry=[c for c in docs.columns if c not in (id_col, text_col)])
+    def decoded(column: pd.Series) -> pd.Series:
+        return column.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
+
+    text = F.when(F.col("n_removed") > 0, F.pandas_udf(decoded, "string")("kept")).otherwise(F.col("kept").cast("string"))
+    pick = {id_col: F.col(id_col), text_col: text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
+    return out.select(*[(pick[c] if c in pick else F.col("rest").getField(c)).alias(c) for c in docs.columns])
+

@@ -3,7 +3,8 @@
 Kernel.  A word, between two edge marks, is described by all its subsequences of three bytes that span at most ``SPAN + 1``
 places, each weighted with ``DECAY ** span``; the kernel of two words is the inner product of these weights, divided by a
 norm that depends on the words' lengths.  An inserted character or a gap only lengthens a span, so that ``id*iot`` stays
-near ``idiot``.  Runs of three or more one-letter words (``i d i o t``) also count as the word they spell.
+near ``idiot``.  Runs of three or more one-letter words (``i d i o t``) also count as the word they spell, and a word with
+marks before its last letter (``i-d-i-o-t``) also as the word without them.
 
 Learning.  Labelled documents are cut into sentences; a toxic document is a bag in which only some sentence, and in it only
 some word, need be toxic (MI-SVM: the strongest word stands for the bag, words of clean documents are negative, the hardest
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.shared import LOWER_BYTES, _IS_SPACE, batches, joined
 
-SPAN, DECAY, LANDMARKS = 5, 0.7, 192
+SPAN, DECAY, LANDMARKS, NOISY, COST = 5, 0.7, 320, 200, 10.0
 MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 2500, 3500, 48 << 20
 EMPTY = -2.0
 _PAIRS = [(g, h) for h in range(2, SPAN + 1) for g in range(1, h)]
@@ -50,6 +51,8 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
+_MARK = np.zeros(256, bool)
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
 
 def _norm(length: np.ndarray) -> np.ndarray:
@@ -97,6 +100,14 @@ def spelled(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[tuple[
     return [(a, data[begin[a:b]].tobytes()) for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True) if b - a >= 3]
 
 
+def unmarked(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[tuple[int, bytes]]:
+    """(index, the word without its marks) of each word with a mark before its last letter."""
+    at = np.flatnonzero(_MARK[data[:-1]] & ~_IS_SPACE[data[1:]] & ~_MARK[data[1:]])
+    words = np.unique(np.searchsorted(begin, at, side="right") - 1).tolist() if len(at) else []
+    found = [(i, data[begin[i] : end[i]]) for i in words]
+    return [(i, w[~_MARK[w]].tobytes()) for i, w in found]
+
+
 @dataclass
 class Model:
     weights: np.ndarray  # of the subsequences
@@ -114,7 +125,7 @@ class Model:
         if not len(begin):
             return out
         first = np.searchsorted(begin, starts)
-        runs = spelled(data, begin, end)
+        runs = spelled(data, begin, end) + unmarked(data, begin, end)
         if runs:
             at = np.array([i for i, _ in runs])
             _, _, more = word_margins(np.frombuffer(b" " + b" ".join(w for _, w in runs) + b" ", np.uint8), self.weights)
@@ -133,10 +144,9 @@ def sentences(text: str) -> list[str]:
 
 def _words(sentence: str) -> list[bytes]:
     words = sentence.encode().translate(LOWER_BYTES).split()
-    if sum(len(w) == 1 for w in words) >= 3:
-        data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
-        words = words + [w for _, w in spelled(data, *word_spans(data))]
-    return words
+    data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
+    spans = word_spans(data)
+    return words + [w for _, w in spelled(data, *spans) + unmarked(data, *spans)]
 
 
 class _Kernel:
@@ -199,12 +209,18 @@ def _logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 1e-3)), float(w[1])
 
 
-def _corrupted(word: bytes, rng: np.random.Generator) -> bytes:
-    """The word with one or two characters put into it."""
-    for _ in range(int(rng.integers(1, 3))):
-        at = int(rng.integers(1, max(2, len(word))))
-        word = word[:at] + bytes([b"*.-_'~abcdefghijklmnopqrstuvwxyz"[int(rng.integers(0, 32))]]) + word[at:]
-    return word
+def _corrupted(word: bytes, rng: np.random.Generator) -> list[bytes]:
+    """The word with one and with two characters put into it, with one doubled, and with a mark after each."""
+    out = []
+    for times in (1, 1, 2):
+        new = word
+        for _ in range(times):
+            at = int(rng.integers(1, max(2, len(new))))
+            new = new[:at] + bytes([b"*.-_'~+=abcdefghijklmnopqrstuvwxyz"[int(rng.integers(0, 34))]]) + new[at:]
+        out.append(new)
+    at, mark = int(rng.integers(0, len(word))), bytes([b"*.-_"[int(rng.integers(0, 4))]])
+    letters = word.decode(errors="replace")
+    return [*out, word[: at + 1] + word[at:], mark.decode().join(letters).encode()]
 
 
 def fit(texts: list[str], toxic: list[int], rounds: int = 4, seed: int = 5) -> Model:
@@ -233,14 +249,17 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 4, seed: int = 5) -> M
         witness, bags_of = np.unique(top, return_counts=True)
         keep = seen[witness, 0] * (y.sum() + 1) < 0.2 * seen[witness, 1] * ((1 - y).sum() + 1)
         witness, bags_of = (witness[keep], bags_of[keep]) if keep.any() else (witness, bags_of)
-        noisy = [_corrupted(vocab[i], rng) for i in np.repeat(witness, 2)]
+        often = witness[np.argsort(-bags_of, kind="stable")[:NOISY]]
+        noisy = [w for i in often for w in _corrupted(vocab[i], rng)]
         negative = np.setdiff1d(np.concatenate([common, hard, clean[rng.permutation(len(clean))[:4000]]]), witness)
         words = [vocab[i] for i in witness] + noisy + [vocab[i] for i in negative]
         k = _Kernel(words)
         label = np.array([1.0] * (len(witness) + len(noisy)) + [-1.0] * len(negative))
-        cost = np.concatenate([np.log1p(bags_of) + 1, np.full(len(noisy), 0.5), 1 + np.log1p(seen[negative, 0]) / 4])
+        cost = np.concatenate([np.log1p(bags_of) + 1, np.full(len(noisy), 1.0), 1 + np.log1p(seen[negative, 0]) / 4])
         cost[label > 0] *= cost[label < 0].sum() / cost[label > 0].sum()
-        best = np.argsort(-bags_of, kind="stable")[: LANDMARKS // 2]
+        cost *= COST
+        best = np.argsort(-bags_of, kind="stable")[: LANDMARKS // 3]
+        best = np.concatenate([best, len(witness) + rng.permutation(len(noisy))[: LANDMARKS // 3]])
         marks = np.concatenate([best, len(witness) + len(noisy) + rng.permutation(len(negative))[: LANDMARKS - len(best)]])
         gram = np.empty((k.n, len(marks)))
         for j, i in enumerate(marks):
@@ -295,3 +314,16 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Train on the labelled documents and score all: id, margin, score."""
     return score_documents(docs, fit(*training_rows(docs, labels, id_col, text_col, label_col)), id_col, text_col)
+
+
+def clean_documents(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows that score below the threshold, with the same columns."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def keep(it):
+        for batch in it:
+            for a, b in batches(batch.column(at).cast(pa.large_string()), 1 << 20):
+                part = batch.slice(a, b - a)
+                yield part.filter(pa.array(sent.value.scores(sent.value.margins(part.column(at))) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

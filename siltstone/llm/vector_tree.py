@@ -109,7 +109,7 @@ def calibrated(tree: Tree, x: np.ndarray, k: int, recall: float, rng: np.random.
     return int(visits[min(len(visits) - 1, int(np.ceil(recall * len(visits))) - 1)])
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.97, seed: int = 11) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.985, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found by Euclidean distance."""
     rows, _, n = of_one_length(usable(df, id_col, vec_col, is_query).where(F.exists("vec", lambda x: x != 0)))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").toArrow()
