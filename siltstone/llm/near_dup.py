@@ -6,8 +6,10 @@ Signatures of candidates are compared a batch at a time, and a pair is dropped a
 prior) that its similarity reaches the threshold falls below ``MISS``.  Survivors are verified exactly on full sets.
 
 No group is expanded into pairs: first every member of a band's bucket is compared with the smallest one only, and
-components are built from the links.  Then, where a bucket still holds several components, members of different components are
-compared, in blocks, and the links that are found join components.  A pair at the threshold shares no band with probability
+components are built from the links.  Then, while buckets hold far more pairs of different components than members, each member
+is compared with one that a digest chooses, a new one each round; as components grow, ever fewer members stand apart.  Last,
+where a bucket still holds several components, all members of different components are compared, in blocks, so that no link
+is lost, and the links that are found join components.  A pair at the threshold shares no band with probability
 ``(1 - t ** ROWS) ** BANDS``, below 1e-5.
 
 Scale: signatures are one row a document; counts of shared bands are pre-aggregated; joins on hot keys are sort-merge joins of
@@ -32,7 +34,7 @@ WORDS, BANDS, ROWS, MISS = 5, 20, 5, 1e-6
 HASHES = BANDS * ROWS
 ROW_BITS = MAX_ROWS.bit_length() - 1  # of a shingle's 64-bit hash 50 bits are kept
 STEP = 20  # hashes compared at a time
-BLOCK = 1024
+BLOCK, LED = 1024, 4
 BITS = 1 << 24
 _ODD = mix64(np.arange(101, 101 + HASHES, dtype=np.uint64)) | np.uint64(1)
 _PLACE = mix64(np.arange(11, 11 + WORDS, dtype=np.uint64)) | np.uint64(1)
@@ -180,13 +182,28 @@ def components(edges: DataFrame) -> DataFrame:
         edges = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
 
 
-def _crossing(spread: DataFrame, labels: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+def _mixed(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """Members of buckets (key, doc_id, c) that hold several components, these buckets' sizes, and the numbers of rows and of pairs across."""
+    rows = members.join(labels, members.doc_id == labels.node, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    rows = written(rows, "near-members")
+    per = rows.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("m"), F.count("*").alias("parts"), F.sum(F.col("k") * F.col("k")).alias("own"))
+    mixed = written(per.where("parts > 1"), "near-mixed")
+    m, pairs = mixed.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2).cast("long"), F.lit(0))).first()
+    return rows.join(mixed.select("key", "m"), "key"), mixed, m, pairs
+
+
+def _led(rows: DataFrame, number: int) -> DataFrame:
+    """Each member of a bucket paired with one member that a digest chooses, if that is of another component."""
+    heads = written(rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", "key", F.lit(number)).alias("h"), F.col("doc_id").alias("d"), F.col("c").alias("c"))).alias("x")).select("key", F.col("x.d").alias("head"), F.col("x.c").alias("hc")), "near-heads")
+    both = rows.join(heads, "key").where("c <> hc")
+    return both.select(F.least("head", "doc_id").alias("a"), F.greatest("head", "doc_id").alias("b")).distinct()
+
+
+def _crossing(rows: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of one bucket but different components that survive the comparison of their signatures."""
     least = least_matches(percent / 100)
-    rows = written(spread.join(labels, spread.doc_id == labels.node, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c")), "near-members")
-    mixed = written(rows.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key", "m"), "near-mixed")
     part = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = rows.join(mixed, "key").withColumn("p", part).withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("p")).cast("int"))
+    rows = rows.withColumn("p", part).withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("p")).cast("int"))
     rows = rows.join(sigs.select("doc_id", "n", "sig"), "doc_id").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
     rows = rows.select("key", F.least("i", "o").alias("x"), F.greatest("i", "o").alias("y"), "i", "doc_id", "c", "n", "sig")
 
@@ -219,10 +236,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     pairs = shared.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = written(verified(pairs, sigs, docs, id_col, text_col, percent), "near-links")
     labels = written(components(links), "near-labels")
-    crossing = _crossing(shared.select("key", "doc_id"), labels, sigs, percent)
-    if not crossing.isEmpty():
-        more = verified(crossing, sigs, docs, id_col, text_col, percent)
-        labels = written(components(more.unionByName(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b"))), "near-labels")
+    merged = lambda more: written(components(more.unionByName(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b"))), "near-labels")
+    members = shared.select("key", "doc_id")
+    for number in range(LED):  # while there are far more pairs across than members, compare with members chosen at random first
+        rows, mixed, m, across = _mixed(members, labels)
+        if across <= 4 * m:
+            break
+        labels = merged(verified(_led(rows, number), sigs, docs, id_col, text_col, percent))
+        members = written(members.join(mixed.select("key"), "key", "left_semi"), "near-members")
+    else:
+        rows, mixed, m, across = _mixed(members, labels)
+    if m:
+        labels = merged(verified(_crossing(rows, sigs, percent), sigs, docs, id_col, text_col, percent))
     named = written(classes.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.coalesce("component", "rep").alias("_c")), "near-named")
     out = table.select("doc_id", "n", "k1", "k2").join(named, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & (F.col("n") > 0), "left")
     component = F.coalesce(F.when(F.col("n") > 0, F.col("_c")), F.col("doc_id"))
