@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, QUERIES, SEGMENTS, ROUNDS = 8192, 2048, 12, 10
+BLOCK, QUERIES, SEGMENTS, ROUNDS = 8192, 2048, 12, (0.5, 0.7, 1.0)
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, is_query: Column) -> DataFrame:
@@ -44,52 +44,50 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 class ImpactIndex:
-    """Postings of a block of integer vectors, by dimension and segment."""
+    """Postings of a block of integer vectors: each dimension's rows by value, cut into segments of quantised impact.
+
+    Values are kept as doubles: products and sums of scaled vectors are exact below 2**53.
+    """
 
     def __init__(self, x: np.ndarray):
-        self.x = x
+        self.x = x.astype(np.float64)
         n, d = x.shape
-        order = np.argsort(x, axis=0, kind="stable")
-        marks = np.unique(np.linspace(0, n, min(n, SEGMENTS) + 1).astype(int))
-        self.rows = [[order[a:b, j] for a, b in zip(marks[:-1], marks[1:], strict=True)] for j in range(d)]
-        self.values = [[x[r, j] for r in rows] for j, rows in enumerate(self.rows)]
-        self.low = np.array([[v[0] for v in values] for values in self.values])
-        self.high = np.array([[v[-1] for v in values] for values in self.values])
+        self.order = np.ascontiguousarray(np.argsort(x, axis=0, kind="stable").T)
+        self.values = np.ascontiguousarray(np.take_along_axis(self.x.T, self.order, 1))
+        self.marks = np.unique(np.linspace(0, n, min(n, SEGMENTS) + 1).astype(int))
+        self.low, self.high = self.values[:, self.marks[:-1]], self.values[:, self.marks[1:] - 1]
 
     def search(self, q: np.ndarray, k: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows, scores) of all vectors but ``skip`` that can be among the k best, ties included."""
         n, d = self.x.shape
+        q = q.astype(np.float64)
         k = min(k, n - len(skip))
         if k <= 0:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        impact = np.maximum(self.low * q[:, None], self.high * q[:, None])
-        order = np.argsort(-impact, axis=None, kind="stable")
-        steps = np.array_split(order, ROUNDS)
-        width = impact.shape[1]
-        nexts = np.where(q >= 0, width - 1, 0)  # each dimension's next segment
-        stride = np.where(q >= 0, -1, 1)
-        got = np.zeros(n, np.int64)
-        open_ = np.ones((n, d), bool)
-        for step in steps:
-            for s in step.tolist():
-                j = s // width
-                if not q[j]:
-                    continue
-                i = nexts[j]  # segments of one dimension come in the order of their impact
-                rows = self.rows[j][i]
-                got[rows] += self.values[j][i] * q[j]
-                open_[rows, j] = False
-                nexts[j] = i + stride[j]
-            left = [(impact[j, nexts[j]] if 0 <= nexts[j] < width else 0) if q[j] else 0 for j in range(d)]
-            bound = got + (open_ @ np.array(left, np.float64)).astype(np.int64)  # exact below 2**53
-            bound[skip] = np.iinfo(np.int64).min
-            best = np.argpartition(-bound, min(len(bound) - 1, 2 * k))[: 2 * k]
-            best = best[bound[best] > np.iinfo(np.int64).min]
-            sure = np.sort(self.x[best] @ q)[::-1][k - 1] if len(best) >= k else np.iinfo(np.int64).min
-            member = np.flatnonzero((bound >= sure) & (bound > np.iinfo(np.int64).min))
-            if len(member) <= max(4 * k, n // 16):
+        width = len(self.marks) - 1
+        impact = np.where(q[:, None] >= 0, self.high * q[:, None], self.low * q[:, None])
+        levels = -np.sort(-impact, axis=None)
+        for share in ROUNDS:  # the share of segments that are processed, by descending impact
+            least = levels[max(0, min(len(levels), int(share * len(levels))) - 1)]
+            done = (impact >= least).sum(1)  # a dimension's segments lie in the order of their impact
+            rows, gains, rest = [], [], 0.0
+            for j in range(d):
+                c = done[j]
+                left = 0.0 if c == width else impact[j, width - 1 - c] if q[j] >= 0 else impact[j, c]
+                rest += left
+                if c:
+                    part = slice(self.marks[width - c], n) if q[j] >= 0 else slice(0, self.marks[c])
+                    rows.append(self.order[j, part])
+                    gains.append(self.values[j, part] * q[j] - left)
+            bound = np.bincount(np.concatenate(rows), np.concatenate(gains), n) + rest
+            bound[skip] = -np.inf
+            best = np.argpartition(-bound, min(n - 1, 2 * k))[: 2 * k]
+            best = best[bound[best] > -np.inf]
+            sure = np.sort(self.x[best] @ q)[::-1][k - 1] if len(best) >= k else -np.inf
+            member = np.flatnonzero((bound >= sure) & (bound > -np.inf))  # all others are proved to be below
+            if len(member) <= max(4 * k, n // 4):
                 break
-        return member, self.x[member] @ q
+        return member, np.rint(self.x[member] @ q).astype(np.int64)
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256) -> DataFrame:

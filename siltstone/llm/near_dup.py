@@ -256,5 +256,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
 def without_near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with the same columns, of which one a component stays."""
-    gone = written(near_duplicates(docs, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    name = "gone"
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    gone = written(near_duplicates(docs, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias(name)).distinct(), "near-gone")
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.shared import _BASE, _BYTES, _INVERSE, batches, mix64, powers, written
+from siltstone.llm.shared import _BASE, _BYTES, _INVERSE, batches, mix64, powers, repeatable, written
 
 LENGTH, GRAM, SPLIT, HOT, FINE = 100, 32, 4 << 20, 4096, 5
 SPAN = LENGTH - GRAM + 1  # places of a gram in a window
@@ -244,7 +244,7 @@ def _table(columns: dict) -> pa.Table:
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row (and kept, the bytes that stay, and columns to carry along)."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, repeatable(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys((id_col, text_col, *carry))]), "passage-input")
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest") if carry else F.lit(None).cast("string").alias("rest"))
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = base.agg(F.sum(F.length("text"))).first()[0] or 0

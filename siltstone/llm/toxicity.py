@@ -6,24 +6,23 @@ norm that depends on the words' lengths.  An inserted character or a gap only le
 near ``idiot``.  Runs of three or more one-letter words (``i d i o t``) also count as the word they spell, and a word with
 marks before its last letter (``i-d-i-o-t``) also as the word without them.
 
-Learning.  Labelled documents are cut into sentences; a toxic document is a bag in which only some sentence, and in it only
-some word, need be toxic (MI-SVM: the strongest word stands for the bag, words of clean documents are negative, the hardest
-ones are mined in rounds).  Words are mapped to their kernels with ``LANDMARKS`` landmark words, whitened, and a linear
+Learning.  A labelled text, be it a sentence or a long document, is a bag of words of which only some word need be toxic
+(MI-SVM: the strongest word stands for a toxic bag, words of clean texts are negative, the hardest are mined in rounds).  Words are mapped to their kernels with ``LANDMARKS`` landmark words, whitened, and a linear
 machine with squared hinge loss is fitted by Newton steps.  As the kernel is an explicit inner product, the machine folds into one
 weight a subsequence, which scores any word exactly as the kernel expansion would, without visiting the landmarks.
 
-A text's margin is the largest margin of its words; a logistic curve makes it a score.  It is fitted on the driver on at most
+A text's score is a logistic curve over its largest word margin and the numbers and shares of its words above some margins
+(a word that is an insult by chance is rare in a long text).  All is fitted on the driver on at most
 ``MAX_TOXIC + MAX_CLEAN`` labelled documents of at most ``MAX_BYTES`` in all, chosen by a digest of their ids; every text
 is scored whole.
 
-Defined results: a null or empty text has the margin ``EMPTY``; labels that are null are left out, and a document labelled
+Defined results: a null or empty text has no words and the largest margin ``EMPTY``; labels that are null are left out, and a document labelled
 twice is toxic if any label says so; without labels of both kinds every score is 0; repeated rows are scored each; an empty table
 gives an empty result; only id and text are read.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,8 +32,9 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.shared import LOWER_BYTES, _IS_SPACE, batches, joined
 
-SPAN, DECAY, LANDMARKS, NOISY, COST = 5, 0.7, 320, 200, 10.0
-MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 2500, 3500, 48 << 20
+SPAN, DECAY, LANDMARKS, NOISY, MINED, COST = 5, 0.7, 256, 200, 2500, 10.0
+FOLDS = 3
+MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 1500, 2500, 16 << 20
 EMPTY = -2.0
 _PAIRS = [(g, h) for h in range(2, SPAN + 1) for g in range(1, h)]
 
@@ -108,42 +108,54 @@ def unmarked(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[tuple
     return [(i, w[~_MARK[w]].tobytes()) for i, w in found]
 
 
+#: Margins above which a text's words are counted.
+STEPS = (-0.5, 0.0, 0.5)
+
+
+def text_features(margin: np.ndarray, first: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """For each text: its largest word margin (held within 3), and how many and how large a share of its words lie above each step.
+
+    ``first``: where each text's margins begin (n + 1); a text without words has the margin EMPTY.
+    """
+    out = np.zeros((len(words), 1 + 2 * len(STEPS)))
+    out[:, 0] = EMPTY
+    some = np.flatnonzero(np.diff(first) > 0)
+    if len(some):
+        out[some, 0] = np.clip(np.maximum.reduceat(margin, first[some]), -3, 3)
+        for k, step in enumerate(STEPS):
+            above = np.add.reduceat((margin > step).astype(np.int64), first[some])
+            out[some, 1 + 2 * k] = np.log1p(above)
+            out[some, 2 + 2 * k] = np.log1p(100.0 * above / np.maximum(words[some], 1))
+    return out
+
+
 @dataclass
 class Model:
     weights: np.ndarray  # of the subsequences
     bias: float
-    slope: float
-    shift: float
+    texts: np.ndarray  # of a text's features, and the shift last
 
     def margins(self, texts: pa.Array) -> np.ndarray:
-        """The largest margin of the words of each text."""
+        """The log odds of each text."""
         data, starts = joined(texts)
         data = np.concatenate((np.array([32], np.uint8), data))
-        starts = starts + 1
-        out = np.full(len(texts), EMPTY)
         begin, end, margin = word_margins(data, self.weights)
-        if not len(begin):
-            return out
-        first = np.searchsorted(begin, starts)
-        runs = spelled(data, begin, end) + unmarked(data, begin, end)
+        first = np.searchsorted(begin, starts + 1)
+        runs = spelled(data, begin, end) + unmarked(data, begin, end) if len(begin) else []
         if runs:
             at = np.array([i for i, _ in runs])
             _, _, more = word_margins(np.frombuffer(b" " + b" ".join(w for _, w in runs) + b" ", np.uint8), self.weights)
             np.maximum.at(margin, at, more)
-        some = np.flatnonzero(np.diff(first) > 0)
-        out[some] = np.maximum.reduceat(margin, first[some]) + self.bias
-        return out
+        features = text_features(margin + self.bias, first, np.diff(first))
+        return features @ self.texts[:-1] + self.texts[-1]
 
     def scores(self, margins: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(margins, -30, 30)))
 
 
-def sentences(text: str) -> list[str]:
-    return [s for s in re.split(r"(?<=[.!?])\s+|\n+", text) if s.strip()]
-
-
-def _words(sentence: str) -> list[bytes]:
-    words = sentence.encode().translate(LOWER_BYTES).split()
+def _words(text: str) -> list[bytes]:
+    """A text's words, and those that its runs of letters and marked words stand for."""
+    words = text.encode().translate(LOWER_BYTES).split()
     data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
     spans = word_spans(data)
     return words + [w for _, w in spelled(data, *spans) + unmarked(data, *spans)]
@@ -180,6 +192,12 @@ class _Kernel:
         return np.bincount(self.owner, table[self.code] * self.value, self.n)
 
 
+def _score(words: list[bytes], weights: np.ndarray, bias: float, step: int = 20_000) -> np.ndarray:
+    """Margins of a list of words, some at a time."""
+    parts = [word_margins(np.frombuffer(b" " + b" ".join(words[i : i + step]) + b" ", np.uint8), weights)[2] for i in range(0, len(words), step)]
+    return np.concatenate(parts) + bias if parts else np.empty(0)
+
+
 def _svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
     """Squared-hinge linear machine, by Newton steps on its support vectors."""
     z1 = np.hstack([z, np.ones((len(z), 1))])
@@ -196,17 +214,19 @@ def _svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, fl
     return w[:-1], float(w[-1])
 
 
-def _logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of P(toxic | margin), with a ridge that keeps them finite on separable data."""
-    x = np.stack([m, np.ones(len(m))], 1)
-    w = np.array([1.0, 0.0])
-    for _ in range(50):
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
+    """Weights and shift of P(toxic | features), with a ridge that keeps them finite on separable data."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    keep = ridge * np.eye(x.shape[1])
+    keep[-1, -1] = 1e-3
+    w = np.zeros(x.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2), x.T @ (p - y) + 1e-2 * (w - np.array([1.0, 0.0])))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, x.T @ (p - y) + keep @ w)
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    return float(max(w[0], 1e-3)), float(w[1])
+    return w
 
 
 def _corrupted(word: bytes, rng: np.random.Generator) -> list[bytes]:
@@ -223,41 +243,63 @@ def _corrupted(word: bytes, rng: np.random.Generator) -> list[bytes]:
     return [*out, word[: at + 1] + word[at:], mark.decode().join(letters).encode()]
 
 
-def fit(texts: list[str], toxic: list[int], rounds: int = 4, seed: int = 5) -> Model:
-    """Learn from whole labelled documents."""
+def fit(texts: list[str], toxic: list[int], rounds: int = 3, seed: int = 5) -> Model:
+    """Learn from whole labelled documents.
+
+    The words are learnt once for each fold, on all other texts; the curve over a text's features is fitted on features out of
+    fold, and the machines, which are linear, are averaged.
+    """
     y = np.array(toxic)
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(1 << 21, np.float32), EMPTY, 1.0, -30.0)
+        return Model(np.zeros(1 << 21, np.float32), EMPTY, np.array([0.0] * (1 + 2 * len(STEPS)) + [-30.0]))
+    place: dict[bytes, int] = {}
+    rows, sizes = [], []
+    for t in texts:
+        ids = [place.setdefault(w, len(place)) for w in _words(t or "")]
+        rows.append(np.array(ids, np.int64))
+        sizes.append(len(ids))
+    vocab, sizes = list(place), np.array(sizes)
+    del place
+    fold = np.arange(len(y)) % FOLDS
+    features = np.zeros((len(y), 1 + 2 * len(STEPS)))
+    learnt = []
+    for k in range(FOLDS):
+        own, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+        if not len(rest) or y[rest].min() == y[rest].max():
+            rest = np.arange(len(y))
+        learnt.append(_fit_words(vocab, [rows[i] for i in rest], y[rest], rounds, seed + k))
+        if len(own):
+            score = _score(vocab, *learnt[-1])
+            features[own] = text_features(np.concatenate([score[rows[i]] for i in own]), np.concatenate(([0], np.cumsum(sizes[own]))), sizes[own])
+    weights, bias = (sum(x) / FOLDS for x in zip(*learnt, strict=True))
+    return Model(weights, bias, _logistic(features, y))
+
+
+def _fit_words(vocab: list[bytes], rows: list[np.ndarray], y: np.ndarray, rounds: int, seed: int) -> tuple[np.ndarray, float]:
+    """Weights of the subsequences, and the bias, from bags of words and their labels."""
     rng = np.random.default_rng(seed)
-    bags = [sorted({w for s in sentences(t or "") for w in _words(s)}) for t in texts]
-    df: dict[bytes, list[int]] = {}
-    for bag, label in zip(bags, y, strict=True):
-        for w in bag:
-            df.setdefault(w, [0, 0])[int(label)] += 1
-    vocab = list(df)
-    place = {w: i for i, w in enumerate(vocab)}
-    seen = np.array([df[w] for w in vocab], float)
-    odds = np.log((seen[:, 1] + 0.5) / (y.sum() + 1)) - np.log((seen[:, 0] + 0.5) / ((1 - y).sum() + 1))
-    rows = [np.array([place[w] for w in bag], np.int64) for bag in bags]
-    kernel = _Kernel(vocab)
+    rows = [np.unique(r) for r in rows]
+    empty = np.empty(0, np.int64)
+    seen = np.stack([np.bincount(np.concatenate([empty, *(r for r, label in zip(rows, y, strict=True) if label == k)]), minlength=len(vocab)) for k in (0, 1)], 1).astype(float)
+    score = np.log((seen[:, 1] + 0.5) / (y.sum() + 1)) - np.log((seen[:, 0] + 0.5) / ((1 - y).sum() + 1))
     clean = np.flatnonzero(seen[:, 0] > 0)
-    common = clean[np.argsort(-seen[clean, 0], kind="stable")[:4000]]
-    score, hard = odds, np.empty(0, np.int64)
-    weights, bias = np.zeros(1 << 21, np.float32), 0.0
+    common = clean[np.argsort(-seen[clean, 0], kind="stable")[:MINED]]
+    hard = empty
+    weights, bias = np.zeros(1 << 21, np.float32), EMPTY
     for _ in range(rounds):
         top = [int(r[np.argmax(score[r])]) for r, label in zip(rows, y, strict=True) if label and len(r)]
+        if not top or not len(clean):
+            break
         witness, bags_of = np.unique(top, return_counts=True)
         keep = seen[witness, 0] * (y.sum() + 1) < 0.2 * seen[witness, 1] * ((1 - y).sum() + 1)
         witness, bags_of = (witness[keep], bags_of[keep]) if keep.any() else (witness, bags_of)
         often = witness[np.argsort(-bags_of, kind="stable")[:NOISY]]
         noisy = [w for i in often for w in _corrupted(vocab[i], rng)]
-        negative = np.setdiff1d(np.concatenate([common, hard, clean[rng.permutation(len(clean))[:4000]]]), witness)
-        words = [vocab[i] for i in witness] + noisy + [vocab[i] for i in negative]
-        k = _Kernel(words)
+        negative = np.setdiff1d(np.concatenate([common, hard, clean[rng.permutation(len(clean))[:MINED]]]), witness)
+        k = _Kernel([vocab[i] for i in witness] + noisy + [vocab[i] for i in negative])
         label = np.array([1.0] * (len(witness) + len(noisy)) + [-1.0] * len(negative))
         cost = np.concatenate([np.log1p(bags_of) + 1, np.full(len(noisy), 1.0), 1 + np.log1p(seen[negative, 0]) / 4])
         cost[label > 0] *= cost[label < 0].sum() / cost[label > 0].sum()
-        cost *= COST
         best = np.argsort(-bags_of, kind="stable")[: LANDMARKS // 3]
         best = np.concatenate([best, len(witness) + rng.permutation(len(noisy))[: LANDMARKS // 3]])
         marks = np.concatenate([best, len(witness) + len(noisy) + rng.permutation(len(negative))[: LANDMARKS - len(best)]])
@@ -267,17 +309,13 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 4, seed: int = 5) -> M
         values, vectors = np.linalg.eigh(gram[marks] + 1e-9 * np.eye(len(marks)))
         good = values > 1e-6 * values.max()
         whiten = vectors[:, good] / np.sqrt(values[good])
-        w, bias = _svm(gram @ whiten, label, cost)
-        alpha = whiten @ w
+        w, bias = _svm(gram @ whiten, label, COST * cost)
         weights = np.zeros(1 << 21, np.float32)
-        for a, i in zip(alpha, marks, strict=True):
+        for a, i in zip(whiten @ w, marks, strict=True):
             weights += np.float32(a) * k.dense(int(i))
-        score = kernel.against(weights) + bias
-        hard = clean[np.argsort(-score[clean], kind="stable")[:4000]]
-    model = Model(weights, bias, 1.0, 0.0)
-    margins = np.array([score[r].max() if len(r) else EMPTY for r in rows])
-    model.slope, model.shift = _logistic(margins, y)
-    return model
+        score = _score(vocab, weights, bias)
+        hard = clean[np.argsort(-score[clean], kind="stable")[:MINED]]
+    return weights, bias
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[str], list[int]]:
