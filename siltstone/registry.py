@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from siltstone.plans import core, flagship, structure
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+FLAGSHIP = flagship.FLAGSHIP
+MODULES = (core, structure, flagship)  # their queries register themselves on import
 
-FLAGSHIP = "q_quality_by_source"
-
-
-def q_quality_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return docs.join(labels, "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.avg("quality").alias("mean_quality"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"q_quality_by_source": q_quality_by_source}
-SQL: dict[str, str] = {"q_quality_by_source": "SELECT source, count(*) AS n, avg(quality) AS mean_quality FROM documents JOIN labels USING (doc_id) GROUP BY source"}
+QUERIES = core.QUERIES
+SQL = core.SQL
