@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import batches, joined, mix64, repeatable, word_hashes, written
+from siltstone.llm.shared import batches, joined, mix64, repeatable, tidy, word_hashes, written
 
 SPLIT, SHARDED, HEAVY = 8 << 20, 2_500_000, 2000
 KEY = 48
@@ -149,7 +149,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
                 keys, counts = np.append(s.vocab[hot], [np.uint64(0), START]).astype(np.int64), np.append(all_[hot], [int(words.sum()), len(s.stream)])
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["k", "c"])
 
-    sums = rows.mapInArrow(common, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
+    sums = rows.mapInArrow(tidy(common), "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
     total = sums.where("k in (0, 1)").collect()
     tokens = {r["k"]: r["c"] for r in total}
     n_train, n_all = tokens.get(0, 0), tokens.get(1, 0)
@@ -217,7 +217,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("kind", "key", "shard", "data"), out, (pa.string(), pa.int64(), pa.int32(), pa.binary()), strict=True)})
 
     told = "kind string, key long, shard int, data binary"
-    first = written(rows.mapInArrow(ask, "shard int, split long, us binary, degrees binary, vs binary, counts binary").groupBy("shard").applyInArrow(count, told), "lm-counts")
+    first = written(rows.mapInArrow(tidy(ask), "shard int, split long, us binary, degrees binary, vs binary, counts binary").groupBy("shard").applyInArrow(tidy(count), told), "lm-counts")
 
     def asked_words(it):
         for batch in it:
@@ -250,9 +250,9 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
             del words
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("kind", "key", "shard", "data"), out, (pa.string(), pa.int64(), pa.int32(), pa.binary()), strict=True)})
 
-    wanted = rows.mapInArrow(asked_words, "kind string, key long, split long, data binary")
+    wanted = rows.mapInArrow(tidy(asked_words), "kind string, key long, split long, data binary")
     before = first.where("kind = 'before'").select("kind", "key", F.lit(0).cast("long").alias("split"), "data")
-    second = written(before.unionByName(wanted).groupBy("key").applyInArrow(count_before, told), "lm-words")
+    second = written(before.unionByName(wanted).groupBy("key").applyInArrow(tidy(count_before), told), "lm-words")
 
     add = lambda df, n: np.sum([np.frombuffer(r["data"], np.int64) for r in df.where("kind = 'sums'").select("data").collect()] or [np.zeros(n, np.int64)], axis=0)  # noqa: E731  a few numbers a shard
     of_pairs, of_words = add(first, 6), add(second, 7)
@@ -312,5 +312,5 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
         return pa.table({"doc_id": part["doc_id"], "train": part["train"], "n_tokens": pa.array(s.words + 1), "n_known": pa.array(fold((c > 0).astype(np.int64)[s.stream])), "train_tokens": pa.array(np.full(len(start), n_train)), "base_score": pa.array(fold(base)), "score": pa.array(fold(logs))})
 
     answers = first.where("kind = 'pairs'").unionByName(second.where("kind = 'words'"))
-    both = rows.mapInArrow(streams, told).unionByName(answers)
-    return both.groupBy("key").applyInArrow(score, f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("doc_id", id_col)
+    both = rows.mapInArrow(tidy(streams), told).unionByName(answers)
+    return both.groupBy("key").applyInArrow(tidy(score), f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("doc_id", id_col)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import MAX_ROWS, batches, joined, mix64, word_hashes, written
+from siltstone.llm.shared import MAX_ROWS, batches, joined, mix64, tidy, word_hashes, written
 
 WORDS, BANDS, ROWS, MISS = 5, 20, 5, 1e-6
 HASHES = BANDS * ROWS
@@ -98,7 +98,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * BANDS, BANDS), pa.int32()), pa.array(band.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size), pa.array(key[0].view(np.int64)), pa.array(key[1].view(np.int64)), bands, pa.array([r.tobytes() for r in short], pa.binary())], names=["doc_id", "n", "k1", "k2", "bands", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(sign, "doc_id long, n long, k1 long, k2 long, bands array<long>, sig binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(tidy(sign), "doc_id long, n long, k1 long, k2 long, bands array<long>, sig binary")
 
 
 def _alike(x: np.ndarray, y: np.ndarray, least: dict[int, int]) -> np.ndarray:
@@ -136,7 +136,7 @@ def verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, id_col: str, te
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).take(pa.array(_alike(_sigs(batch.column(2)), _sigs(batch.column(3)), least)))
 
-    left = written(both.select("a", "b", "sa", "sb").mapInArrow(prune, "a long, b long"), "near-pairs")
+    left = written(both.select("a", "b", "sa", "sb").mapInArrow(tidy(prune), "a long, b long"), "near-pairs")
     bits = docs.sparkSession.sparkContext.broadcast(bit_table(left.select(F.col("a").alias("i")).unionByName(left.select(F.col("b").alias("i"))), "i"))
     bit = F.pmod(F.xxhash64(F.col("_i")), F.lit(BITS))
 
@@ -146,7 +146,7 @@ def verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, id_col: str, te
             on = (bits.value[b >> 6] >> (b & 63)) & 1 == 1
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string())], names=["i", "t"]).filter(pa.array(on))
 
-    texts = docs.select(F.col(id_col).cast("long").alias("_i"), F.col(text_col).alias("_t")).where("_i is not null").withColumn("_b", bit).mapInArrow(asked, "i long, t string")
+    texts = docs.select(F.col(id_col).cast("long").alias("_i"), F.col(text_col).alias("_t")).where("_i is not null").withColumn("_b", bit).mapInArrow(tidy(asked), "i long, t string")
     texts = written(texts, "near-texts")
     rows = left.join(texts.select(F.col("i").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("i").alias("b"), F.col("t").alias("tb")), "b")
 
@@ -162,7 +162,7 @@ def verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, id_col: str, te
                         keep.append(x + i)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return rows.select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long")
+    return rows.select("a", "b", "ta", "tb").mapInArrow(tidy(exact), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def _crossing(rows: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
             out[1].append(np.maximum(ids[i], ids[j]))
         return pa.table({c: pa.array(np.concatenate(v)) for c, v in zip("ab", out, strict=True)})
 
-    return written(rows.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long").distinct(), "near-crossing")
+    return written(rows.groupBy("key", "x", "y").applyInArrow(tidy(compare), "a long, b long").distinct(), "near-crossing")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import batches, mix64, written
+from siltstone.llm.shared import batches, mix64, tidy, written
 from siltstone.llm.tokens import Encoder
 
 DIMENSIONS, BITS, TOP = 4, 10, 12
@@ -88,7 +88,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(document_keys(ids, counts, table)), pa.array(counts), pa.array(blobs, pa.binary())], names=["doc_id", "hkey", "n", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(encode, f"doc_id {kind}, hkey long, n long, ids binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(tidy(encode), f"doc_id {kind}, hkey long, n long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -132,4 +132,4 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, i
     kind = docs.schema[id_col].dataType.simpleString()
     schema = ", ".join(f"`{c}` {kind if c == id_col else 'binary' if c == 'ids' else 'long'}" for c in names)
     ordered = table.repartition("_range").sortWithinPartitions("_range", "hkey", "doc_id", "n")
-    return ordered.select("doc_id", "n", "ids", "_range").mapInArrow(cut, schema)
+    return ordered.select("doc_id", "n", "ids", "_range").mapInArrow(tidy(cut), schema)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import inspect
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -56,6 +60,38 @@ def repeatable(df: DataFrame, tag: str) -> DataFrame:
     return df
 
 
+def tidy(f):
+    """The function of a map over batches or groups, giving freed memory back to the system as it ends: workers live on."""
+    if inspect.isgeneratorfunction(f):
+        def batches_(it):
+            try:
+                yield from f(it)
+            finally:
+                _POWERS.clear()
+                _release()
+
+        return batches_
+
+    def group(table):
+        try:
+            return f(table)
+        finally:
+            if time.monotonic() - _LAST[0] > 0.5:
+                _release()
+
+    return group
+
+
+_LAST = [0.0]
+
+
+def _release() -> None:
+    _LAST[0] = time.monotonic()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of 64-bit integers (splitmix64 finaliser)."""
     with np.errstate(over="ignore"):

@@ -36,9 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.shared import _BASE, _BYTES, _INVERSE, batches, mix64, powers, repeatable, written
+from siltstone.llm.shared import _BASE, _BYTES, _INVERSE, batches, mix64, powers, repeatable, tidy, written
 
-LENGTH, GRAM, SPLIT, HOT, FINE = 100, 32, 4 << 20, 4096, 5
+LENGTH, GRAM, SPLIT, HOT, FINE = 100, 32, 3 << 20, 4096, 5
 SPAN = LENGTH - GRAM + 1  # places of a gram in a window
 HALF = SPAN // 2 + 1  # offsets below it share one core, the others another
 KEY = 48
@@ -268,7 +268,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return _table({"kind": (["flags"] * len(keys), pa.string()), "split": (table["split"].to_pylist(), pa.int64()), "shard": (table["shard"].to_pylist(), pa.int32()), "data": ([_zip(f) for f in flags], pa.binary())})
 
     told = "kind string, split long, shard int, data binary"
-    flags = written(base.drop("rest").mapInArrow(cores, "shard int, split long, keys binary, many binary").groupBy("shard").applyInArrow(count, told), "passage-flags")
+    flags = written(base.drop("rest").mapInArrow(tidy(cores), "shard int, split long, keys binary, many binary").groupBy("shard").applyInArrow(tidy(count), told), "passage-flags")
 
     def send(it):
         for batch in it:
@@ -279,7 +279,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     w.write_batch(part)
                 yield pa.RecordBatch.from_arrays([pa.array(["text"]), pa.array([key], pa.int64()), pa.array([0], pa.int32()), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["kind", "split", "shard", "data"])
 
-    texts = base.mapInArrow(send, told)
+    texts = base.mapInArrow(tidy(send), told)
 
     def opened(table: pa.Table) -> tuple[Split, pa.Table, dict]:
         got = {(k, i): x for k, i, x in zip(table["kind"].to_pylist(), table["shard"].to_pylist(), table["data"].to_pylist(), strict=True)}
@@ -324,8 +324,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         parts = np.split(bits, np.cumsum(get("n"))[:-1])
         return _table({"kind": (["bits"] * len(parts), pa.string()), "split": (get("split"), pa.int64()), "shard": (get("shard"), pa.int32()), "data": ([_zip(x, np.uint64) for x in parts], pa.binary())})
 
-    sent = texts.unionByName(flags).groupBy("split").applyInArrow(strings, "shard int, split long, core binary, text binary, low binary, high binary, ids binary, offs binary, n long")
-    answers = written(sent.groupBy("shard").applyInArrow(rank, told), "passage-bits")
+    sent = texts.unionByName(flags).groupBy("split").applyInArrow(tidy(strings), "shard int, split long, core binary, text binary, low binary, high binary, ids binary, offs binary, n long")
+    answers = written(sent.groupBy("shard").applyInArrow(tidy(rank), told), "passage-bits")
 
     def remove(table: pa.Table) -> pa.Table:
         s, part, got = opened(table)
@@ -349,7 +349,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
     schema = schema.add("kept", T.BinaryType()) if keep_text else schema
     schema = schema.add("rest", base.schema["rest"].dataType) if carry else schema
-    return texts.unionByName(flags).unionByName(answers).groupBy("split").applyInArrow(remove, schema).withColumnRenamed("doc_id", id_col)
+    return texts.unionByName(flags).unionByName(answers).groupBy("split").applyInArrow(tidy(remove), schema).withColumnRenamed("doc_id", id_col)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import batches, mix64, new_path, running_before
+from siltstone.llm.shared import batches, mix64, new_path, running_before, tidy
 from siltstone.llm.tokens import Encoder
 
 #: A chunk ends where the hash of the last WINDOW ids has MASK bits zero; lengths are held within LEAST and MOST.
@@ -109,7 +109,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, id_
             yield batch.take(pa.array(keep, pa.int64()))
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("_text"))
-    made = rows.mapInArrow(encode, schema).repartition("place").mapInArrow(once, schema)
+    made = rows.mapInArrow(tidy(encode), schema).repartition("place").mapInArrow(tidy(once), schema)
     stage = new_path(spark, "store")
     made.write.option("compression", "zstd").partitionBy("kind").parquet(stage)
     _move(spark, f"{stage}/kind=chunk", f"{path}/chunks", "digest binary, ids binary")
@@ -155,7 +155,7 @@ def _manifest(recipes: DataFrame) -> DataFrame:
         table = table.sort_by("row")
         return pa.table({"part": table["part"][:1], "documents": pa.array([len(table)], pa.int64()), "root": pa.array([merkle_root(table["root"].to_pylist())], pa.binary())})
 
-    return recipes.select(F.floor(F.col("row") / PART).cast("long").alias("part"), "row", "root").groupBy("part").applyInArrow(root, "part long, documents long, root binary")
+    return recipes.select(F.floor(F.col("row") / PART).cast("long").alias("part"), "row", "root").groupBy("part").applyInArrow(tidy(root), "part long, documents long, root binary")
 
 
 def _verified_recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -178,7 +178,7 @@ def _verified_recipes(spark: SparkSession, path: str) -> DataFrame:
             take = lambda c: batch.column(batch.schema.get_field_index(c)).take(which)
             yield pa.RecordBatch.from_arrays([take("doc_id"), take("row"), take("start"), take("n_tokens"), pa.array(seq, pa.int64()), pa.array([x for row in cols["digests"] for x in row], pa.binary()), pa.array(n), pa.array(last - ends)], names=["doc_id", "row", "start", "n_tokens", "seq", "digest", "n", "after"])
 
-    return recipes.mapInArrow(unfold, f"doc_id {id_type}, row long, start long, n_tokens long, seq long, digest binary, n long, after long")
+    return recipes.mapInArrow(tidy(unfold), f"doc_id {id_type}, row long, start long, n_tokens long, seq long, digest binary, n long, after long")
 
 
 def _verified_chunks(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
@@ -191,7 +191,7 @@ def _verified_chunks(spark: SparkSession, path: str, with_ids: bool) -> DataFram
             yield batch
 
     chunks = spark.read.schema("digest binary, ids binary").parquet(f"{path}/chunks")
-    return chunks.mapInArrow(check, "digest binary, ids binary") if with_ids else _crc(chunks)
+    return chunks.mapInArrow(tidy(check), "digest binary, ids binary") if with_ids else _crc(chunks)
 
 
 def _crc(chunks: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def _crc(chunks: DataFrame) -> DataFrame:
             wide = [zlib.crc32(x) for x in datas]
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([len(x) for x in datas], pa.int64()), pa.array(narrow, pa.int64()), pa.array(wide, pa.int64())], names=["digest", "bytes", "crc2", "crc4"])
 
-    return chunks.mapInArrow(crc, "digest binary, bytes long, crc2 long, crc4 long")
+    return chunks.mapInArrow(tidy(crc), "digest binary, bytes long, crc2 long, crc4 long")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
