@@ -301,7 +301,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
         bound = np.searchsorted(to[order], np.arange(shards + 1))
         for i in np.flatnonzero(np.diff(bound)).tolist():
             t[order[bound[i] : bound[i + 1]]] = _large(data["words", i])
-        p1 = (np.maximum(t - e[np.minimum(t, 3).astype(int)], 0) / types if types else 0) + g1 / (vocabulary + 1)
+        p1 = np.maximum(t - e[np.minimum(t, 3).astype(int)], 0) / max(types, 1) + g1 / (vocabulary + 1)
         own, context = c_pair - d[np.minimum(c_pair, 3).astype(int)], c[s.u]
         with np.errstate(divide="ignore", invalid="ignore"):
             p = np.where(context > 0, np.maximum(own, 0) / context + g[s.u] / context * p1[s.v], p1[s.v])

@@ -95,8 +95,9 @@ def test_near_duplicates_of_a_large_group_around_the_threshold(spark):
 
 
 def test_suffix_dedup(spark, rows):
-    long = "".join(random.Random(5).choice("abcdefgh ") for _ in range(900))
-    more = rows + [(2000, long), (2001, "q" + long[100:700] + "r"), (2002, long[:99] + "|" + long[300:450]), (2003, "ab" * 300), (2004, long + long)]
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    more = rows + [(2000, long), (2001, "q" + long[100:700] + "r"), (2002, long[:99] + "|" + long[300:450]), (2003, "ab" * 300), (2004, long + long), (2005, "e" * 500)]
     docs = make_docs(spark, more)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicated(docs).collect()}
     assert got == brute.deduplicated(more)

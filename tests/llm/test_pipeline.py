@@ -14,8 +14,9 @@ from siltstone.llm.registry import crc_rest, toxicity_model
 
 def test_stages(spark, tmp_path):
     texts, toxic = toxic_corpus(7, 150)
-    passage = " ".join(f"common{k}" for k in range(60))
-    rows = [(i, t) for i, t in enumerate(texts)] + [(500 + i, texts[i + 1]) for i in range(4)] + [(600 + i, f"start{i} {passage} end{i}") for i in range(4)] + [(700, None), (701, "")]
+    clean = [t for t, y in zip(texts, toxic, strict=True) if not y]
+    passage = max(clean, key=len)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(500 + i, texts[i + 1]) for i in range(4)] + [(600 + i, f"{clean[2 * i]} {passage} {clean[2 * i + 1]}") for i in range(4)] + [(700, None), (701, "")]
     docs = make_docs(spark, rows)
     labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
