@@ -5,12 +5,10 @@ one document a class goes on.  ``BANDS x ROWS`` MinHash values are cut into band
 Signatures of candidates are compared a batch at a time, and a pair is dropped as soon as the posterior probability (flat
 prior) that its similarity reaches the threshold falls below ``MISS``.  Survivors are verified exactly on full sets.
 
-No group is expanded into pairs: first every member of a band's bucket is compared with the smallest one only, and
-components are built from the links.  Then, while buckets hold far more pairs of different components than members, each member
-is compared with one that a digest chooses, a new one each round; as components grow, ever fewer members stand apart.  Last,
-where a bucket still holds several components, all members of different components are compared, in blocks, so that no link
-is lost, and the links that are found join components.  A pair at the threshold shares no band with probability
-``(1 - t ** ROWS) ** BANDS``, below 1e-5.
+No group is expanded into pairs of rows: first every member of a band's bucket is compared with the bucket's smallest document, its
+head, and components are built from the links.  Then, where the members of a head still belong to several components, these
+are compared across components in blocks, within the tasks, and only links that join components leave them, so that no link is
+lost.  A pair at the threshold shares no band with probability ``(1 - t ** ROWS) ** BANDS``, below 1e-5.
 
 Scale: signatures are one row a document; counts of shared bands are pre-aggregated; joins on hot keys are sort-merge joins of
 written tables, which Spark splits; texts are sent for candidates only (chosen by a bit table of fixed size).  Components are
@@ -34,7 +32,7 @@ WORDS, BANDS, ROWS, MISS = 5, 20, 5, 1e-6
 HASHES = BANDS * ROWS
 ROW_BITS = MAX_ROWS.bit_length() - 1  # of a shingle's 64-bit hash 50 bits are kept
 STEP = 20  # hashes compared at a time
-BLOCK, LED = 1024, 4
+BLOCK, SHINGLES = 1024, 500_000
 BITS = 1 << 24
 _ODD = mix64(np.arange(101, 101 + HASHES, dtype=np.uint64)) | np.uint64(1)
 _PLACE = mix64(np.arange(11, 11 + WORDS, dtype=np.uint64)) | np.uint64(1)
@@ -125,6 +123,21 @@ def bit_table(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
+def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """i and t, the texts of the ids in column i (and of a few others, by chance): one pass over the documents, no join."""
+    bits = docs.sparkSession.sparkContext.broadcast(bit_table(ids, "i"))
+
+    def asked(it):
+        for batch in it:
+            b = batch.column(2).to_numpy()
+            on = (bits.value[b >> 6] >> (b & 63)) & 1 == 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string())], names=["i", "t"]).filter(pa.array(on))
+
+    bit = F.pmod(F.xxhash64(F.col("_i")), F.lit(BITS))
+    rows = docs.select(F.col(id_col).cast("long").alias("_i"), F.col(text_col).alias("_t")).where("_i is not null").withColumn("_b", bit)
+    return written(rows.mapInArrow(tidy(asked), "i long, t string"), "near-texts")
+
+
 def verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """The pairs (a, b) with ``100 * intersection >= percent * union``."""
     least = least_matches(percent / 100)
@@ -137,17 +150,7 @@ def verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, id_col: str, te
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).take(pa.array(_alike(_sigs(batch.column(2)), _sigs(batch.column(3)), least)))
 
     left = written(both.select("a", "b", "sa", "sb").mapInArrow(tidy(prune), "a long, b long"), "near-pairs")
-    bits = docs.sparkSession.sparkContext.broadcast(bit_table(left.select(F.col("a").alias("i")).unionByName(left.select(F.col("b").alias("i"))), "i"))
-    bit = F.pmod(F.xxhash64(F.col("_i")), F.lit(BITS))
-
-    def asked(it):
-        for batch in it:
-            b = batch.column(2).to_numpy()
-            on = (bits.value[b >> 6] >> (b & 63)) & 1 == 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string())], names=["i", "t"]).filter(pa.array(on))
-
-    texts = docs.select(F.col(id_col).cast("long").alias("_i"), F.col(text_col).alias("_t")).where("_i is not null").withColumn("_b", bit).mapInArrow(tidy(asked), "i long, t string")
-    texts = written(texts, "near-texts")
+    texts = texts_of(docs, left.select(F.col("a").alias("i")).unionByName(left.select(F.col("b").alias("i"))), id_col, text_col)
     rows = left.join(texts.select(F.col("i").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("i").alias("b"), F.col("t").alias("tb")), "b")
 
     def exact(it):
@@ -182,46 +185,58 @@ def components(edges: DataFrame) -> DataFrame:
         edges = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
 
 
-def _mixed(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
-    """Members of buckets (key, doc_id, c) that hold several components, these buckets' sizes, and the numbers of rows and of pairs across."""
-    rows = members.join(labels, members.doc_id == labels.node, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    rows = written(rows, "near-members")
-    per = rows.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("m"), F.count("*").alias("parts"), F.sum(F.col("k") * F.col("k")).alias("own"))
-    mixed = written(per.where("parts > 1"), "near-mixed")
-    m, pairs = mixed.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2).cast("long"), F.lit(0))).first()
-    return rows.join(mixed.select("key", "m"), "key"), mixed, m, pairs
-
-
-def _led(rows: DataFrame, number: int) -> DataFrame:
-    """Each member of a bucket paired with one member that a digest chooses, if that is of another component."""
-    heads = written(rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", "key", F.lit(number)).alias("h"), F.col("doc_id").alias("d"), F.col("c").alias("c"))).alias("x")).select("key", F.col("x.d").alias("head"), F.col("x.c").alias("hc")), "near-heads")
-    both = rows.join(heads, "key").where("c <> hc")
-    return both.select(F.least("head", "doc_id").alias("a"), F.greatest("head", "doc_id").alias("b")).distinct()
+def crossing(members: DataFrame, labels: DataFrame, sigs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """Links (a, b) that join components of the members (head, doc_id) of one head, found by comparing all across components.
 
-
-def _crossing(rows: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of one bucket but different components that survive the comparison of their signatures."""
+    A pair that shares a bucket shares its head.  Heads have been compared with their members.  Members are dealt into blocks, of
+    at most BLOCK rows or SHINGLES shingles on average, and a task holds two of them.  Once members of two components are
+    linked these count as one, so that a task gives fewer links than it has rows, however alike they are.
+    """
     least = least_matches(percent / 100)
-    part = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = rows.withColumn("p", part).withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("p")).cast("int"))
-    rows = rows.join(sigs.select("doc_id", "n", "sig"), "doc_id").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
-    rows = rows.select("key", F.least("i", "o").alias("x"), F.greatest("i", "o").alias("y"), "i", "doc_id", "c", "n", "sig")
+    rows = members.join(labels, members.doc_id == labels.node, "left").select("head", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    rows = written(rows.join(sigs.select("doc_id", "n"), "doc_id"), "near-members")
+    groups = rows.groupBy("head").agg(F.count("*").alias("m"), F.sum("n").alias("s"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
+    parts = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("s") / SHINGLES)).cast("int")
+    groups = written(groups.select("head", parts.alias("p")), "near-mixed")
+    rows = written(rows.join(groups, "head").withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("p")).cast("int")), "near-members")
+    texts = texts_of(docs, rows.select(F.col("doc_id").alias("i")), id_col, text_col)
+    full = rows.join(sigs.select("doc_id", "sig"), "doc_id").join(texts.select(F.col("i").alias("doc_id"), "t"), "doc_id")
+    full = full.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
+    full = full.select("head", F.least("i", "o").alias("x"), F.greatest("i", "o").alias("y"), "i", "doc_id", "c", "n", "sig", "t")
 
     def compare(table: pa.Table) -> pa.Table:
         x, y = table["x"][0].as_py(), table["y"][0].as_py()
-        ids, comp, n, block = (table[k].to_numpy() for k in ("doc_id", "c", "n", "i"))
+        ids, n, block = (table[k].to_numpy() for k in ("doc_id", "n", "i"))
+        _, comp = np.unique(table["c"].to_numpy(), return_inverse=True)
         sig = _sigs(table["sig"])
-        out: list[list] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)]]
+        parts_ = [shingles(table["t"].combine_chunks().slice(a, MAX_ROWS)) for a in range(0, len(table), MAX_ROWS)]
+        sizes = np.concatenate([np.diff(f) for _, f in parts_])
+        first = np.concatenate(([0], np.cumsum(sizes)))
+        known, which = np.unique(np.concatenate([s for s, _ in parts_]), return_inverse=True)
+        mine = np.zeros(len(known), bool)
+        out: list[list] = [[], []]
         right = np.flatnonzero(block == y)
         for i in np.flatnonzero(block == x).tolist():
             j = right[(comp[right] != comp[i]) & (n[right] * 100 >= n[i] * percent) & (n[i] * 100 >= n[right] * percent)]
             j = j[j > i] if x == y else j
             j = j[_alike(np.broadcast_to(sig[i], (len(j), HASHES)), sig[j], least)]
-            out[0].append(np.minimum(ids[i], ids[j]))
-            out[1].append(np.maximum(ids[i], ids[j]))
-        return pa.table({c: pa.array(np.concatenate(v)) for c, v in zip("ab", out, strict=True)})
-
-    return written(rows.groupBy("key", "x", "y").applyInArrow(tidy(compare), "a long, b long").distinct(), "near-crossing")
+            if not len(j):
+                continue
+            own = which[first[i] : first[i + 1]]
+            mine[own] = True
+            if len(j) < 16:
+                common = np.array([np.count_nonzero(mine[which[first[k] : first[k + 1]]]) for k in j.tolist()])
+            else:
+                common = np.add.reduceat(mine[which].astype(np.int64), first[:-1])[j]
+            mine[own] = False
+            for k in j[100 * common >= percent * (n[i] + n[j] - common)].tolist():
+                if comp[k] != comp[i]:
+                    comp[comp == comp[k]] = comp[i]
+                    out[0].append(min(ids[i], ids[k]))
+                    out[1].append(max(ids[i], ids[k]))
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip("ab", out, strict=True)})
+
+    return written(full.groupBy("head", "x", "y").applyInArrow(tidy(compare), "a long, b long").distinct(), "near-crossing")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,18 +251,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     pairs = shared.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = written(verified(pairs, sigs, docs, id_col, text_col, percent), "near-links")
     labels = written(components(links), "near-labels")
-    merged = lambda more: written(components(more.unionByName(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b"))), "near-labels")
-    members = shared.select("key", "doc_id")
-    for number in range(LED):  # while there are far more pairs across than members, compare with members chosen at random first
-        rows, mixed, m, across = _mixed(members, labels)
-        if across <= 4 * m:
-            break
-        labels = merged(verified(_led(rows, number), sigs, docs, id_col, text_col, percent))
-        members = written(members.join(mixed.select("key"), "key", "left_semi"), "near-members")
-    else:
-        rows, mixed, m, across = _mixed(members, labels)
-    if m:
-        labels = merged(verified(_crossing(rows, sigs, percent), sigs, docs, id_col, text_col, percent))
+    more = crossing(shared.where("doc_id <> head").select("head", "doc_id").distinct(), labels, sigs, docs, id_col, text_col, percent)
+    if not more.isEmpty():
+        labels = written(components(more.unionByName(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b"))), "near-labels")
     named = written(classes.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.coalesce("component", "rep").alias("_c")), "near-named")
     out = table.select("doc_id", "n", "k1", "k2").join(named, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & (F.col("n") > 0), "left")
     component = F.coalesce(F.when(F.col("n") > 0, F.col("_c")), F.col("doc_id"))
