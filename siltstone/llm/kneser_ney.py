@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import batches, joined, mix64, repeatable, tidy, word_hashes, written
+from siltstone.llm.shared import batches, in_small_batches, joined, mix64, repeatable, tidy, word_hashes, written
 
 SPLIT, SHARDED, HEAVY = 8 << 20, 2_500_000, 2000
 KEY = 48
@@ -137,7 +137,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     """doc_id, training, n_tokens, n_known, train_tokens, base_score and score of every row, learning from those in training."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = repeatable(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(training, F.lit(False)).alias("train"), F.col(text_col).alias("text")), "lm-input")
+    rows = repeatable(in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(training, F.lit(False)).alias("train"), F.col(text_col).alias("text")), "lm-input")
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "train", "text")
 
     def common(it):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import MAX_ROWS, batches, joined, mix64, tidy, word_hashes, written
+from siltstone.llm.shared import MAX_ROWS, batches, in_small_batches, joined, mix64, tidy, word_hashes, written
 
 WORDS, BANDS, ROWS, MISS = 5, 20, 5, 1e-6
 HASHES = BANDS * ROWS
@@ -241,7 +241,7 @@ def crossing(members: DataFrame, labels: DataFrame, sigs: DataFrame, docs: DataF
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the document is its component's smallest) of every row."""
-    table = written(signatures(docs, id_col, text_col), "near-signatures")
+    table = written(signatures(in_small_batches(docs), id_col, text_col), "near-signatures")
     full = table.where("n > 0 and doc_id is not null")
     classes = written(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "near-classes")
     sigs = written(full.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), "near-reps")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import batches, mix64, tidy, written
+from siltstone.llm.shared import batches, in_small_batches, mix64, tidy, written
 from siltstone.llm.tokens import Encoder
 
 DIMENSIONS, BITS, TOP = 4, 10, 12
@@ -93,7 +93,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and the ids, as 4-byte integers)."""
-    table = written(encoded(docs, tokenizer, end_id, id_col, text_col), "packing")
+    table = written(encoded(in_small_batches(docs), tokenizer, end_id, id_col, text_col), "packing")
     shift = DIMENSIONS * BITS - TOP
     table = table.withColumn("_top", F.shiftright("hkey", shift).cast("int"))
     counts = {r["_top"]: r["c"] for r in table.groupBy("_top").agg(F.count("*").alias("c")).collect()}  # at most 4096 rows

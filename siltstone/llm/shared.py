@@ -60,6 +60,18 @@ def repeatable(df: DataFrame, tag: str) -> DataFrame:
     return df
 
 
+#: Rows of an Arrow batch, where the session has Spark's default of 10,000: whole texts make large batches.
+BATCH_ROWS = 2000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The table; batches sent to Python are kept small, so that a worker's memory is bounded by a few texts' size."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def tidy(f):
     """The function of a map over batches or groups, giving freed memory back to the system as it ends: workers live on."""
     if inspect.isgeneratorfunction(f):

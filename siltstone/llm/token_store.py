@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import batches, mix64, new_path, running_before, tidy
+from siltstone.llm.shared import batches, in_small_batches, mix64, new_path, running_before, tidy
 from siltstone.llm.tokens import Encoder
 
 #: A chunk ends where the hash of the last WINDOW ids has MASK bits zero; lengths are held within LEAST and MOST.
@@ -108,7 +108,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, id_
                         seen.add(d)
             yield batch.take(pa.array(keep, pa.int64()))
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("_text"))
+    rows = in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("_text"))
     made = rows.mapInArrow(tidy(encode), schema).repartition("place").mapInArrow(tidy(once), schema)
     stage = new_path(spark, "store")
     made.write.option("compression", "zstd").partitionBy("kind").parquet(stage)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import LOWER_BYTES, _IS_SPACE, batches, joined, tidy
+from siltstone.llm.shared import LOWER_BYTES, _IS_SPACE, batches, in_small_batches, joined, tidy
 
 SPAN, DECAY, LANDMARKS, NOISY, MINED, COST = 5, 0.7, 256, 200, 2500, 10.0
 FOLDS = 3
@@ -346,7 +346,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(m), pa.array(sent.value.scores(m))], names=[id_col, "margin", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(tidy(score), f"`{id_col}` {kind}, margin double, score double")
+    return in_small_batches(docs).select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(tidy(score), f"`{id_col}` {kind}, margin double, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -364,4 +364,4 @@ def clean_documents(docs: DataFrame, model: Model, text_col: str = "text", thres
                 part = batch.slice(a, b - a)
                 yield part.filter(pa.array(sent.value.scores(sent.value.margins(part.column(at))) < threshold))
 
-    return docs.mapInArrow(tidy(keep), docs.schema)
+    return in_small_batches(docs).mapInArrow(tidy(keep), docs.schema)
