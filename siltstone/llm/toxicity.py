@@ -181,15 +181,23 @@ class _Kernel:
         self.owner, self.code, self.value = (np.concatenate(x)[order] for x in (at, code, value))
         self.value = (self.value / _norm(end - begin)[self.owner]).astype(np.float32)
         self.n = len(words)
+        self.known, self.column = np.unique(self.code, return_inverse=True)
+        self.begin = np.searchsorted(self.owner, np.arange(self.n + 1))
 
-    def dense(self, i: int) -> np.ndarray:
-        table = np.zeros(1 << 21, np.float32)
-        a, b = np.searchsorted(self.owner, [i, i + 1])
-        np.add.at(table, self.code[a:b], self.value[a:b])
-        return table
+    def one(self, i: int) -> np.ndarray:
+        """The weights of one word's subsequences, a place for each that is known."""
+        part = slice(self.begin[i], self.begin[i + 1])
+        return np.bincount(self.column[part], self.value[part], len(self.known))
 
     def against(self, table: np.ndarray) -> np.ndarray:
-        return np.bincount(self.owner, table[self.code] * self.value, self.n)
+        """The kernel of all words with a combination of words."""
+        return np.bincount(self.owner, table[self.column] * self.value, self.n)
+
+    def spread(self, table: np.ndarray) -> np.ndarray:
+        """A combination as one weight for each possible subsequence."""
+        out = np.zeros(1 << 21, np.float32)
+        out[self.known] = table
+        return out
 
 
 def _score(words: list[bytes], weights: np.ndarray, bias: float, step: int = 20_000) -> np.ndarray:
@@ -305,14 +313,15 @@ def _fit_words(vocab: list[bytes], rows: list[np.ndarray], y: np.ndarray, rounds
         marks = np.concatenate([best, len(witness) + len(noisy) + rng.permutation(len(negative))[: LANDMARKS - len(best)]])
         gram = np.empty((k.n, len(marks)))
         for j, i in enumerate(marks):
-            gram[:, j] = k.against(k.dense(int(i)))
+            gram[:, j] = k.against(k.one(int(i)))
         values, vectors = np.linalg.eigh(gram[marks] + 1e-9 * np.eye(len(marks)))
         good = values > 1e-6 * values.max()
         whiten = vectors[:, good] / np.sqrt(values[good])
         w, bias = _svm(gram @ whiten, label, COST * cost)
-        weights = np.zeros(1 << 21, np.float32)
+        both = np.zeros(len(k.known))
         for a, i in zip(whiten @ w, marks, strict=True):
-            weights += np.float32(a) * k.dense(int(i))
+            both += a * k.one(int(i))
+        weights = k.spread(both)
         score = _score(vocab, weights, bias)
         hard = clean[np.argsort(-score[clean], kind="stable")[:MINED]]
     return weights, bias

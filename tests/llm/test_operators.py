@@ -326,10 +326,10 @@ def test_toxicity_on_held_out_texts():
 def test_collapsed_weights_equal_the_kernel():
     words = [b"grubface", b"grubfac", b"dolt", b"a"]
     k = toxicity._Kernel(words)
-    gram = np.array([[k.against(k.dense(j))[i] for j in range(4)] for i in range(4)])
+    gram = np.array([[k.against(k.one(j))[i] for j in range(4)] for i in range(4)])
     assert np.allclose(gram, gram.T, atol=1e-5) and np.linalg.eigvalsh((gram + gram.T) / 2).min() > -1e-5
     data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
-    assert np.allclose(toxicity.word_margins(data, k.dense(0))[2], gram[:, 0], atol=1e-5)
+    assert np.allclose(toxicity.word_margins(data, k.spread(k.one(0)))[2], gram[:, 0], atol=1e-5)
 
 
 def test_toxicity_query_paths(spark):
