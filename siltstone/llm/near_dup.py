@@ -267,3 +267,21 @@ def without_near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "d
         name += "_"
     gone = written(near_duplicates(docs, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias(name)).distinct(), "near-gone")
     return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
+
+
+#: DuckDB SQL for the rows of :func:`near_duplicates` with its defaults.
+SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS s FROM w),
+g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(x, y) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a),
+c AS (SELECT x, min(y) AS c FROM r GROUP BY x)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.c, s.doc_id) AS component_id, s.doc_id = coalesce(c.c, s.doc_id) AS kept FROM s LEFT JOIN c ON c.x = s.doc_id
+"""

@@ -96,6 +96,7 @@ hit AS (
   FROM r JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s))
 SELECT r.page_id, r.host, r.path, hit.rule, coalesce(hit.v, 'allow') AS verdict FROM r LEFT JOIN hit ON hit.page_id = r.page_id AND hit.n = 1
 """,
+    "op5_near_duplicates": near_dup.SQL,
     "op7_impact_search": impact_search.SQL,
     "op9_mixing": mixing.SQL,
 }
