@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.prefix import running_sum
 from siltstone.operators.ranks import average_rank, top_count
 
 Groups = Sequence[str]
@@ -89,10 +90,9 @@ def calibration_at(df: DataFrame, groups: Groups, label: str, score: str, thresh
 def ecdf(df: DataFrame, baseline: DataFrame, value: str, base: str) -> DataFrame:
     """``percentile``: share of the baseline at or below the value (0.5 for an empty baseline).
 
-    Both sides are merged and swept once with a running count; the baseline is never joined to each row.
+    Both sides are merged into one row a value, whose running counts need no task that holds them all.
     """
     both = df.select(F.col(value).alias("_v"), F.lit(1).alias("_row"), F.lit(0).alias("_base")).unionByName(baseline.select(F.col(base).alias("_v"), F.lit(0).alias("_row"), F.lit(1).alias("_base")))
     per = both.groupBy("_v").agg(F.sum("_row").alias("_rows"), F.sum("_base").alias("_n"))
-    w = Window.orderBy("_v")
-    per = per.withColumn("_upto", F.sum("_n").over(w)).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
+    per = running_sum(per, "_v", "_n", "_upto").withColumn("_all", F.lit(baseline.count()))
     return per.where("_rows > 0").select(F.col("_v").alias(value), F.col("_rows").alias("rows"), F.coalesce(F.try_divide("_upto", "_all"), F.lit(0.5)).alias("percentile"))

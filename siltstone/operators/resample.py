@@ -6,10 +6,12 @@ cost is replicates x groups and results rerun to the same digits.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.operators.ranks import average_rank
+from siltstone.operators.prefix import with_average_rank
 
 
 def uniform(*parts: Column) -> Column:
@@ -17,15 +19,25 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def times(u: Column) -> Column:
+    """A Poisson number of mean 1 from a uniform one."""
+    cuts, total, term = [], 0.0, math.exp(-1)
+    for k in range(12):
+        total += term
+        cuts.append(total)
+        term /= k + 1
+    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= u))
+
+
 def group_bootstrap(df: DataFrame, group: str, numerator: Column, denominator: Column, draws: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:
-    """Ratio of two sums, with the interval between index percentiles over draws of groups with replacement."""
+    """Ratio of two sums, with the interval between index percentiles over draws of groups with replacement.
+
+    How often a draw takes a group is Poisson with mean 1, the limit of sampling with replacement, so that groups need no numbers.
+    """
     sums = df.groupBy(group).agg(F.sum(numerator).alias("_a"), F.sum(denominator).alias("_b"))
-    order = Window.orderBy(group)
-    sums = sums.withColumn("_i", F.row_number().over(order) - 1)
-    n = sums.agg(F.count("*").alias("_g"), (F.sum("_a") / F.sum("_b")).alias("point"))
-    slots = sums.select("_i").crossJoin(F.broadcast(n)).withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    picked = slots.withColumn("_pick", F.floor(uniform(F.lit(seed), F.col("_d"), F.col("_i")) * F.col("_g")).cast("int")).select("_d", "_pick", "point")
-    values = picked.join(sums.select(F.col("_i").alias("_pick"), "_a", "_b"), "_pick").groupBy("_d").agg((F.sum("_a") / F.sum("_b")).alias("_v"), F.first("point").alias("point"))
+    point = sums.agg((F.sum("_a") / F.sum("_b")).alias("point"))
+    drawn = sums.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_k", times(uniform(F.lit(seed), F.col("_d"), F.col(group)))).where("_k > 0")
+    values = drawn.groupBy("_d").agg((F.sum(F.col("_a") * F.col("_k")) / F.sum(F.col("_b") * F.col("_k"))).alias("_v")).crossJoin(F.broadcast(point))  # one row
     ranked = values.withColumn("_r", F.row_number().over(Window.orderBy("_v")))
     low, high = int(alpha / 2 * draws) + 1, min(draws, int((1 - alpha / 2) * draws) + 1)
     return ranked.agg(F.first("point").alias("point"), F.max(F.when(F.col("_r") == low, F.col("_v"))).alias("low"), F.max(F.when(F.col("_r") == high, F.col("_v"))).alias("high"), F.count("*").alias("draws"))
@@ -33,7 +45,7 @@ def group_bootstrap(df: DataFrame, group: str, numerator: Column, denominator: C
 
 def permutation_p(df: DataFrame, label: str, score: str, record: str, draws: int = 100, seed: int = 0) -> DataFrame:
     """AUC, and the share of label permutations that reach it, ``(b + 1) / (draws + 1)``."""
-    rows = df.select(F.col(record).alias("_id"), F.col(label).alias("_y"), average_rank(score).alias("_r"))
+    rows = with_average_rank(df.select(F.col(record).alias("_id"), F.col(label).alias("_y"), F.col(score).alias("_s0")), "_s0", "_r").drop("_s0")
     pos = rows.agg(F.sum("_y").alias("_p"), F.count("*").alias("_n"), F.sum(F.col("_y") * F.col("_r")).alias("_s"))
     spread = rows.withColumn("_d", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_u", F.md5(F.concat_ws("|", F.lit(str(seed)), "_d", "_id")))
     ranked = spread.withColumn("_k", F.row_number().over(Window.partitionBy("_d").orderBy("_u", "_id"))).crossJoin(F.broadcast(pos))

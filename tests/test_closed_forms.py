@@ -78,6 +78,19 @@ def test_average_ranks(spark):
     assert sorted(r[0] for r in df.where("v < 30").select(ranks.percentile("v")).collect()) == [0.0, 0.75, 0.75]
 
 
+def test_ranks_of_a_whole_table(spark):
+    from siltstone.operators.prefix import running_sum, with_average_rank
+
+    values = [(i * 7919 % 101) / 4 for i in range(500)] + [-3.5, 1e9]
+    df = frame(spark, [(v,) for v in values], "v double").repartition(4)
+    order = sorted(values)
+    want = {v: (order.index(v) + 1 + order.index(v) + order.count(v)) / 2 for v in values}
+    assert {r.v: r.average_rank for r in with_average_rank(df, "v").collect()} == want
+    sums = running_sum(df.withColumn("one", F.lit(1)), "v", "one", "n", 8)
+    assert {r.v: r.n for r in sums.collect()} == {v: sum(x <= v for x in values) for v in values}
+    assert running_sum(df.limit(0).withColumn("one", F.lit(1)), "v", "one", "n").count() == 0
+
+
 def test_conflicts_then_duplicates(spark):
     df = frame(spark, [(1, "k", 1.0), (2, "k", 2.0), (3, "m", 1.0), (4, "m", 1.0), (5, "m", None)], "i long, k string, v double")
     got = {r.i: r.status for r in dedupe.status(df, ["k"], "v", ["k", "v"], ["i"]).collect()}
