@@ -10,7 +10,7 @@ could still be members are then scored exactly.
 Queries are dealt into blocks as well: a task holds one block of each, so that neither side is sent whole to all workers.
 
 Defined results: vectors that are null, empty, hold null or non-finite components, or whose length isn't the commonest one
-take no part; ties go to the smaller id; repeated rows are candidates each (a query's own id never is); an empty table gives an
+take no part; ties go to the smaller id; repeated rows are one query, and candidates each (a query's own id never is); an empty table gives an
 empty result; only id and vector are read.
 """
 
@@ -94,7 +94,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
     """query_id, rank, vec_id, score: each query's k largest inner products of ``floor(scale * x)`` vectors."""
     rows, _, n = of_one_length(usable(df, id_col, vec_col, is_query))
     rows = rows.withColumn("vec", F.transform("vec", lambda x: F.floor(x * scale).cast("long")))
-    asked = rows.where("is_query")
+    asked = rows.where("is_query").dropDuplicates(["vec_id"])
     parts, slots = max(1, -(-n // BLOCK)), max(1, -(-asked.count() // QUERIES))
     deal = lambda c, m: F.pmod(F.xxhash64("vec_id", "vec"), F.lit(m)).cast("int").alias(c)
     every = lambda c, m: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(c)

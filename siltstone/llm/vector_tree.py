@@ -9,7 +9,7 @@ precision.
 A leaf with many rows is dealt into blocks of about ``BLOCK`` rows, so that copies of one vector don't meet in one task.
 
 Defined results: vectors that are null, empty, zero, hold null or non-finite components, or whose length isn't the commonest one
-take no part; ties go to the smaller id; a query visits leaves until these hold at least ``4 * (k + 1)`` rows, whatever was
+take no part; ties go to the smaller id; repeated rows are one query, and candidates each (a query's own id never is); a query visits leaves until these hold at least ``4 * (k + 1)`` rows, whatever was
 calibrated; an empty table gives an empty result; only id and vector are read.
 """
 
@@ -149,7 +149,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(leaf, pa.int64()), pa.array(block, pa.int64())], names=["vec_id", "vec", "is_query", "leaf", "block"])
 
-    asked = rows.where("is_query").mapInArrow(walk, "vec_id long, vec array<double>, is_query boolean, leaf long, block long")
+    asked = rows.where("is_query").dropDuplicates(["vec_id"]).mapInArrow(walk, "vec_id long, vec array<double>, is_query boolean, leaf long, block long")
     block = F.pmod(F.xxhash64("vec_id", "vec"), F.element_at(F.lit(blocks), (F.col("leaf") + 1).cast("int"))).cast("long")
     both = placed.select("vec_id", "vec", F.lit(False).alias("is_query"), "leaf", block.alias("block")).unionByName(asked)
 

@@ -344,3 +344,26 @@ def test_toxicity_query_paths(spark):
     assert clean.columns == docs.columns and 900 in {r.doc_id for r in clean.collect()}
     assert toxicity.score_documents(docs.limit(0), model).collect() == []
     assert all(r.score < 0.5 for r in toxicity.toxicity(docs, labels.limit(0)).collect())
+
+
+def test_rows_without_an_id(spark):
+    path = tokenizer_path("word_bpe_49k.json")
+    docs = make_docs(spark, [(None, "a few words here"), (None, None), (4, "some other words"), (None, "a few words here")])
+    store = new_path(spark, "test-store")
+    token_store.write_store(docs, path, store)
+    assert sorted((r.doc_id is None, r.start) for r in token_store.document_digests(spark, store).collect())[-1][0]
+    assert packing.pack(docs, path).select("doc_id").count() == 4
+    mixed = mixing.mix_sources(docs).collect()
+    assert len(mixed) == 4 and sum(r.taken for r in mixed) <= 1.5 * 11
+    assert suffix_dedup.deduplicated(docs).count() == 4 and near_dup.near_duplicates(docs).count() == 4
+    assert kneser_ney.score_texts(docs, F.lit(True)).count() == 4
+    model = toxicity.fit(*toxic_corpus(1, 60))
+    assert toxicity.score_documents(docs, model).count() == 4
+
+
+def test_repeated_query_rows(spark):
+    _, df = vectors(spark, 200)
+    twice = df.unionByName(df)
+    for found, k in ((impact_search.top_k(twice, F.col("vec_id") % 50 == 0), 5), (vector_tree.nearest(twice, F.col("vec_id") % 50 == 0), 10)):
+        rows = found.groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("rank").alias("ranks")).collect()
+        assert rows and all(r.n == k == r.ranks for r in rows)
