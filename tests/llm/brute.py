@@ -70,8 +70,8 @@ def discounts(n):
     return out
 
 
-def kneser_ney(rows):
-    """{id: (n_tokens, n_known, train tokens, base, score)} of (id, text, training)."""
+def model(rows):
+    """(P(v | u), token counts) of the rows (id, text, training) that are trained on."""
     pairs, tokens = Counter(), Counter()
     for _, t, train in rows:
         if train:
@@ -85,7 +85,7 @@ def kneser_ney(rows):
         before[v] += 1
     d = discounts([sum(c == k for c in pairs.values()) for k in (1, 2, 3, 4)])
     e = discounts([sum(c == k for c in before.values()) for k in (1, 2, 3, 4)])
-    total, n, vocabulary = len(pairs), sum(tokens.values()), len(tokens)
+    total, vocabulary = len(pairs), len(tokens)
     g1 = sum(e[min(c, 3)] for c in before.values()) / total if total else 1.0
 
     def p1(v):
@@ -96,6 +96,13 @@ def kneser_ney(rows):
             return p1(v)
         return max(pairs[u, v] - d[min(pairs[u, v], 3)], 0) / context[u] + sum(d[k] * kinds[u][k] for k in (1, 2, 3)) / context[u] * p1(v)
 
+    return p, tokens
+
+
+def kneser_ney(rows):
+    """{id: (n_tokens, n_known, train tokens, base, score)} of (id, text, training)."""
+    p, tokens = model(rows)
+    n, vocabulary = sum(tokens.values()), len(tokens)
     out = {}
     for i, t, _ in rows:
         w = [*words(t), "END"]

@@ -132,17 +132,10 @@ def test_kneser_ney(spark, rows):
     assert kneser_ney.score_texts(make_docs(spark, rows).limit(0), F.lit(True)).collect() == []
 
 
-def test_kneser_ney_sums_to_one():
-    rows = [(i, t, True) for i, t in corpus(n=20)]
-    words = {w for _, t, _ in rows for w in brute.words(t)}
-    some = next(iter(words)).decode()
-    texts = [(f"p{k}", f"{some} {w.decode()}", False) for k, w in enumerate(sorted(words))] + [("end", some, False), ("unk", f"{some} never", False)]
-    scored = brute.kneser_ney(rows + texts)
-    end = scored["end"][4]
-
-    # P(first) * P(w | first) * P(end | w), so that the last factor has to be taken out: compare by the pair alone
-    both = brute.kneser_ney(rows + [(f"q{k}", w.decode(), False) for k, w in enumerate(sorted(words))])
-    assert end < 0 and len(both) == len(rows) + len(words)
+def test_probabilities_sum_to_one():
+    p, tokens = brute.model([(i, t, True) for i, t in corpus(n=20)])
+    for u in ["START", "never seen", *list(tokens)[:5]]:
+        assert sum(p(u, v) for v in tokens) + p(u, "unknown") == pytest.approx(1.0)
 
 
 def test_mixing(spark, rows):
