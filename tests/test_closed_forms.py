@@ -204,7 +204,7 @@ def test_text(spark):
     import hashlib
 
     assert df.select(X.canonical_hash(F.col("j"))).first()[0] == hashlib.sha256(b'{"a":null,"b":1e-05,"c":"\\u00e9"}').hexdigest()
-    assert tuple(frame(spark, [("dir/jain_2017_HIC.csv",)], "f string").select(*X.study_and_metric(F.col("f"))).first()) == ("jain", "HIC")
+    assert tuple(frame(spark, [("dir/alpha_2017_HIC.csv",)], "f string").select(*X.study_and_metric(F.col("f"))).first()) == ("alpha", "HIC")
 
 
 def test_seed_consolidation(spark):

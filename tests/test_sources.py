@@ -19,10 +19,10 @@ def test_fasta(spark, tmp_path):
 
 
 def test_assay_csv(spark, tmp_path):
-    (tmp_path / "jain_2017_HIC.csv").write_text("heavy,light,HIC - RRT,fitness\nac d,EF,9.5,1.5\nGG,,8,\n")
-    (tmp_path / "sulea_Tm.csv").write_text("heavy,Tm\nKK,x\n")
-    rows = readers.read_assay_csv(spark, [str(tmp_path / "jain_2017_HIC.csv"), str(tmp_path / "sulea_Tm.csv")])
-    assert {tuple(r) for r in rows.collect()} == {("jain", "HIC", "ACD", "EF", 1.5), ("jain", "HIC", "GG", None, 8.0), ("sulea", "Tm", "KK", None, None)}
+    (tmp_path / "alpha_2017_HIC.csv").write_text("heavy,light,HIC - RRT,fitness\nac d,EF,9.5,1.5\nGG,,8,\n")
+    (tmp_path / "beta_Tm.csv").write_text("heavy,Tm\nKK,x\n")
+    rows = readers.read_assay_csv(spark, [str(tmp_path / "alpha_2017_HIC.csv"), str(tmp_path / "beta_Tm.csv")])
+    assert {tuple(r) for r in rows.collect()} == {("alpha", "HIC", "ACD", "EF", 1.5), ("alpha", "HIC", "GG", None, 8.0), ("beta", "Tm", "KK", None, None)}
 
 
 def test_repertoire(spark, tmp_path):
