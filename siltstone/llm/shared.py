@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import inspect
+import shutil
 import tempfile
 import time
 import uuid
@@ -27,7 +29,9 @@ def work_dir(spark: SparkSession) -> str:
     if found is None:
         found = getattr(spark.sparkContext, "_siltstone_dir", None)
         if found is None:
-            found = "file://" + tempfile.mkdtemp(prefix="siltstone-")
+            folder = tempfile.mkdtemp(prefix="siltstone-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            found = "file://" + folder
             spark.sparkContext._siltstone_dir = found
     return found.rstrip("/")
 
