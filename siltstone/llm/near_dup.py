@@ -1,14 +1,15 @@
 """Near-duplicate documents by MinHash banding and sequential Bayesian verification.
 
 A document's set holds the 50-bit hashes of its distinct five-word shingles.  Documents with equal sets form a class, and only
-one document a class goes on.  ``BANDS x ROWS`` MinHash values are cut into bands; documents that share a band are candidates.
+one document a class goes on.  MinHash values are cut into bands, as many as :func:`layout` derives from the threshold; documents
+that share a band are candidates.
 Signatures of candidates are compared a batch at a time, and a pair is dropped as soon as the posterior probability (flat
 prior) that its similarity reaches the threshold falls below ``MISS``.  Survivors are verified exactly on full sets.
 
 No group is expanded into pairs of rows: first every member of a band's bucket is compared with the bucket's smallest document, its
 head, and components are built from the links.  Then, where the members of a head still belong to several components, these
 are compared across components in blocks, within the tasks, and only links that join components leave them, so that no link is
-lost.  A pair at the threshold shares no band with probability ``(1 - t ** ROWS) ** BANDS``, below 1e-5.
+lost.  A pair at the threshold t shares no band with probability ``(1 - t ** rows) ** bands``, below LOST at every threshold.
 
 Scale: signatures are one row a document; counts of shared bands are pre-aggregated; joins on hot keys are sort-merge joins of
 written tables, which Spark splits; texts are sent for candidates only (chosen by a bit table of fixed size).  Components are
@@ -21,6 +22,8 @@ and text are read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,13 +31,12 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.shared import MAX_ROWS, batches, in_small_batches, joined, mix64, tidy, word_hashes, written
 
-WORDS, BANDS, ROWS, MISS = 5, 20, 5, 1e-6
-HASHES = BANDS * ROWS
+WORDS, ROWS, LOST, MISS = 5, 5, 1e-5, 1e-6
 ROW_BITS = MAX_ROWS.bit_length() - 1  # of a shingle's 64-bit hash 50 bits are kept
 STEP = 20  # hashes compared at a time
+MOST = 200  # hashes beyond which bands get fewer rows
 BLOCK, SHINGLES = 1024, 500_000
 BITS = 1 << 24
-_ODD = mix64(np.arange(101, 101 + HASHES, dtype=np.uint64)) | np.uint64(1)
 _PLACE = mix64(np.arange(11, 11 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -58,11 +60,27 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return mix64((key << bits) >> bits), np.searchsorted(row, np.arange(n + 1))
 
 
-def least_matches(threshold: float) -> dict[int, int]:
+def layout(percent: int) -> tuple[int, int]:
+    """(bands, rows of a band): the fewest bands with which a pair at the threshold shares none with probability below LOST.
+
+    Bands have ROWS rows, fewer where that takes more than MOST hashes; the number of hashes is a multiple of STEP.
+    """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must lie between 1 and 100")
+    for rows in range(ROWS, 0, -1):
+        shared = (percent / 100) ** rows
+        bands = math.floor(math.log(LOST) / math.log1p(-shared)) + 1 if shared < 1 else 1
+        step = STEP // math.gcd(rows, STEP)
+        bands = -(-bands // step) * step
+        if bands * rows <= MOST or rows == 1:
+            return bands, rows
+
+
+def least_matches(threshold: float, hashes: int) -> dict[int, int]:
     """For each number of hashes compared, the fewest matches that keep P(similarity >= threshold) at MISS or more."""
     grid = (np.arange(20000) + 0.5) / 20000
     out = {}
-    for n in range(STEP, HASHES + 1, STEP):
+    for n in range(STEP, hashes + 1, STEP):
         for m in range(n + 1):
             logs = m * np.log(grid) + (n - m) * np.log1p(-grid)
             mass = np.exp(logs - logs.max())
@@ -72,8 +90,11 @@ def least_matches(threshold: float) -> dict[int, int]:
     return out
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """doc_id, n (set size), k1 and k2 (keys of the set), bands (hashes), sig (two bytes a hash)."""
+    n_bands, n_rows = layout(percent)
+    hashes = n_bands * n_rows
+    odd = mix64(np.arange(101, 101 + hashes, dtype=np.uint64)) | np.uint64(1)
 
     def sign(it):
         for batch in it:
@@ -81,19 +102,19 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sets, first = shingles(batch.column(1).slice(a, b - a))
                 size = np.diff(first)
                 some = np.flatnonzero(size)
-                sig = np.zeros((b - a, HASHES), np.uint64)
+                sig = np.zeros((b - a, hashes), np.uint64)
                 key = np.zeros((2, b - a), np.uint64)
                 if len(some):
-                    for k in range(HASHES):
-                        sig[some, k] = np.minimum.reduceat(sets * _ODD[k], first[some])
+                    for k in range(hashes):
+                        sig[some, k] = np.minimum.reduceat(sets * odd[k], first[some])
                     key[0, some] = np.add.reduceat(sets, first[some])
                     key[1, some] = np.add.reduceat(mix64(sets), first[some])
-                band = np.zeros((b - a, BANDS), np.uint64)
-                for k in range(ROWS):
-                    band = mix64(band + sig[:, k::ROWS] + np.uint64(k + 1))
-                band = mix64(band + np.arange(BANDS, dtype=np.uint64))
+                band = np.zeros((b - a, n_bands), np.uint64)
+                for k in range(n_rows):
+                    band = mix64(band + sig[:, k::n_rows] + np.uint64(k + 1))
+                band = mix64(band + np.arange(n_bands, dtype=np.uint64))
                 short = (sig >> np.uint64(48)).astype("<u2")
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * BANDS, BANDS), pa.int32()), pa.array(band.view(np.int64).ravel()))
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * n_bands, n_bands), pa.int32()), pa.array(band.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size), pa.array(key[0].view(np.int64)), pa.array(key[1].view(np.int64)), bands, pa.array([r.tobytes() for r in short], pa.binary())], names=["doc_id", "n", "k1", "k2", "bands", "sig"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(tidy(sign), "doc_id long, n long, k1 long, k2 long, bands array<long>, sig binary")
@@ -110,7 +131,7 @@ def _alike(x: np.ndarray, y: np.ndarray, least: dict[int, int]) -> np.ndarray:
 
 
 def _sigs(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, HASHES)
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), -1)
 
 
 def bit_table(ids: DataFrame, column: str) -> np.ndarray:
@@ -140,7 +161,7 @@ def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Dat
 
 def verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """The pairs (a, b) with ``100 * intersection >= percent * union``."""
-    least = least_matches(percent / 100)
+    least = least_matches(percent / 100, np.prod(layout(percent)))
     sides = [sigs.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b").where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
 
@@ -192,7 +213,7 @@ def crossing(members: DataFrame, labels: DataFrame, sigs: DataFrame, docs: DataF
     at most BLOCK rows or SHINGLES shingles on average, and a task holds two of them.  Once members of two components are
     linked these count as one, so that a task gives fewer links than it has rows, however alike they are.
     """
-    least = least_matches(percent / 100)
+    least = least_matches(percent / 100, np.prod(layout(percent)))
     rows = members.join(labels, members.doc_id == labels.node, "left").select("head", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     rows = written(rows.join(sigs.select("doc_id", "n"), "doc_id"), "near-members")
     groups = rows.groupBy("head").agg(F.count("*").alias("m"), F.sum("n").alias("s"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
@@ -219,7 +240,7 @@ def crossing(members: DataFrame, labels: DataFrame, sigs: DataFrame, docs: DataF
         for i in np.flatnonzero(block == x).tolist():
             j = right[(comp[right] != comp[i]) & (n[right] * 100 >= n[i] * percent) & (n[i] * 100 >= n[right] * percent)]
             j = j[j > i] if x == y else j
-            j = j[_alike(np.broadcast_to(sig[i], (len(j), HASHES)), sig[j], least)]
+            j = j[_alike(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], least)]
             if not len(j):
                 continue
             own = which[first[i] : first[i + 1]]
@@ -241,7 +262,7 @@ def crossing(members: DataFrame, labels: DataFrame, sigs: DataFrame, docs: DataF
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the document is its component's smallest) of every row."""
-    table = written(signatures(in_small_batches(docs), id_col, text_col), "near-signatures")
+    table = written(signatures(in_small_batches(docs), id_col, text_col, percent), "near-signatures")
     full = table.where("n > 0 and doc_id is not null")
     classes = written(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "near-classes")
     sigs = written(full.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), "near-reps")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from test_operators import INSULTS, make_docs, toxic_corpus
 
-from siltstone.llm import toxicity
+from siltstone.llm import near_dup, toxicity
 from siltstone.llm.registry import crc_rest, toxicity_model
 
 
@@ -49,3 +49,21 @@ def test_stages(spark, tmp_path):
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert again.agg(F.sum("length")).first() == five.agg(F.sum("length")).first()
     assert crc_rest(5) is not None and toxicity.EMPTY < 0
+
+
+def test_the_near_copies_stage_links_pairs_from_80_percent(spark, tmp_path):
+    rows = []
+    for i in range(12):
+        w = [f"d{i}w{k}" for k in range(119)]  # 115 shingles; two changed words take 10, 105 / 125 = 0.84
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(["x" if k in (30, 70) else x for k, x in enumerate(w)]))]
+    docs = make_docs(spark, rows)
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, str(tmp_path)).collect()}
+    assert kept == {i for i, (_, c) in brute.near_duplicates(rows, 80).items() if i == c} == set(range(0, 24, 2))
+    assert all(c == i for i, (_, c) in brute.near_duplicates(rows, 85).items())
+
+
+def test_bands_follow_from_the_threshold():
+    assert near_dup.layout(85) == (20, 5) and near_dup.layout(80) == (32, 5)
+    for percent in range(1, 101):
+        bands, rows = near_dup.layout(percent)
+        assert (1 - (percent / 100) ** rows) ** bands < 1e-5
