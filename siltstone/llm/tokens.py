@@ -8,7 +8,8 @@ The ids are always those of the ``tokenizers`` library for the given file:
   distinct word of a batch is encoded once (words told apart by 64-bit hashes, so that a wrong id needs a collision of two
   words in one worker's cache) and the ids are gathered.  Words of Latin letters go through ``tiktoken`` with a byte 0 as
   the end mark, all others through ``tokenizers``.
-* ``whole``: any other tokenizer encodes each text as it is.
+* ``whole``: any other tokenizer encodes each text as it is.  So does every kind with texts that may hold an added token
+  of the file (``<|endoftext|>``), which ``tokenizers`` cuts out before anything else.
 
 On first use the fast ways are compared with ``tokenizers`` on probe texts, and dropped if they ever differ.
 """
@@ -20,6 +21,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from siltstone.llm.shared import joined, word_hashes
@@ -45,7 +47,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, norm = spec.get("pre_tokenizer") or {}, json.dumps(spec.get("normalizer"))
@@ -54,6 +55,10 @@ class Encoder:
             self.kind = "lead" if self._ranked(spec) else "whole"
         elif '"\\\\s+"' in norm and pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed":
             self.kind = "apart" if self._marked(spec) else "whole"
+        added = spec.get("added_tokens") or []
+        if spec.get("normalizer") is not None and any(t["normalized"] for t in added):
+            self.kind = "whole"  # such a token is looked for in normalized texts, not in these
+        self.added = [t["content"] for t in added]
         self.limit = cache_words
         self._clear()
         if self.kind != "whole" and not self._agrees():
@@ -129,6 +134,21 @@ class Encoder:
         self.offset = np.zeros(1, np.int64)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.kind == "whole" or not self.added:
+            return self._encode_plain(column)
+        marked = np.zeros(len(column), bool)
+        for content in self.added:
+            marked |= pc.fill_null(pc.match_substring(column, content), False).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self._encode_plain(column)
+        ids, counts = self._encode_plain(pc.if_else(pa.array(marked), pa.scalar("", column.type), column))
+        at = np.flatnonzero(marked)
+        rows = np.split(ids, np.cumsum(counts)[:-1])
+        for i, e in zip(at.tolist(), self.tok.encode_batch_fast(column.take(pa.array(at)).to_pylist(), add_special_tokens=False), strict=True):
+            rows[i], counts[i] = np.array(e.ids, np.uint32), len(e.ids)
+        return np.concatenate(rows), counts
+
+    def _encode_plain(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.kind == "lead":
             rows = [self.fast.encode_ordinary(t) if t else () for t in column.to_pylist()]
         elif self.kind == "whole":

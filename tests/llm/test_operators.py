@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import impact_search, kneser_ney, mixing, near_dup, packing, suffix_dedup, token_store, toxicity, url_filter, vector_tree
+from siltstone.llm import impact_search, kneser_ney, mixing, near_dup, packing, suffix_dedup, token_store, tokens, toxicity, url_filter, vector_tree
 from siltstone.llm.registry import URL_RULES, tokenizer_path
 from siltstone.llm.shared import new_path
 
@@ -360,3 +360,27 @@ def test_repeated_query_rows(spark):
     for found, k in ((impact_search.top_k(twice, F.col("vec_id") % 50 == 0), 5), (vector_tree.nearest(twice, F.col("vec_id") % 50 == 0), 10)):
         rows = found.groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("rank").alias("ranks")).collect()
         assert rows and all(r.n == k == r.ranks for r in rows)
+
+
+@pytest.mark.parametrize("name, kind, first", [("byte_bpe_50k.json", "lead", [64, 220, 50256, 275]), ("word_bpe_49k.json", "apart", [320, 49407, 321])])
+def test_added_tokens_within_texts(spark, name, kind, first):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path(name)
+    tok = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "plain words", None, "", "x<|startoftext|>y <|EndOfText|> z", "<|endoftext|><|endoftext|>", "  é <|endoftext|>\n日本", "last"]
+    encoder = tokens.Encoder(path)
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert encoder.kind == kind and want[0] == first
+    for column in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(["", *texts]).slice(1)):
+        ids, counts = encoder.encode(column)
+        assert ids.tolist() == [x for w in want for x in w] and counts.tolist() == [len(w) for w in want]
+    rows = list(enumerate(texts))
+    if kind == "lead":
+        got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.pack(make_docs(spark, rows), path, keep_ids=True).collect()}
+        assert got == {i: [*w, 1] for i, w in enumerate(want)}
+    else:
+        store = new_path(spark, "test-store")
+        token_store.write_store(make_docs(spark, rows), path, store)
+        starts = np.concatenate(([0], np.cumsum([len(w) + 1 for w in want]))).tolist()
+        assert {r.doc_id: (r.start, r.ids) for r in token_store.read_documents(spark, store).collect()} == {i: (starts[i], [*w, 1]) for i, w in enumerate(want)}
