@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -257,3 +258,12 @@ def test_learners(spark):
     slope, shift = learners.platt(out, "y", "score")
     assert slope > 0 and learners.platt(out.limit(5), "y", "score") == (1.0, 0.0)
     assert out.select(F.min(learners.calibrated(F.col("score"), slope, shift))).first()[0] >= 0
+
+
+def test_queries_beyond_one_block_lose_nothing(spark):
+    rng = random.Random(3)
+    v = frame(spark, [(i, [rng.random() - 0.5 for _ in range(4)]) for i in range(60)], "i long, e array<double>")
+    q = v.where("i % 2 = 0")
+    assert sorted(map(tuple, overlap.knn(q, v, "i", "e", 3, most=7).collect())) == sorted(map(tuple, overlap.knn(q, v, "i", "e", 3).collect()))
+    got, want = (overlap.near_by_cosine(v, q, "i", "e", 0.3, **most).collect() for most in ({"most_b": 7}, {}))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
