@@ -275,6 +275,12 @@ def kmer_jaccard_pairs(spark, sf_dir):
     return rounded(graph.kmer_pairs(rows, "p_partkey", "p_name", 4, 0.6))
 
 
+@query("""WITH k AS (SELECT p_partkey AS id, list_distinct(list_transform(range(1, length(p_name) - 2), lambda i: substr(p_name, CAST(i AS INT), 4))) AS g FROM part WHERE length(p_name) >= 4)
+SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::DOUBLE, 6) AS jaccard FROM k a JOIN k b ON a.id < b.id WHERE len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::DOUBLE >= 0.6""")
+def kmer_jaccard_pairs_whole(spark, sf_dir):
+    return rounded(graph.kmer_pairs(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", 4, 0.6))
+
+
 @query("""WITH RECURSIVE n AS (SELECT o_orderkey AS i, o_custkey AS c FROM orders WHERE o_custkey % 7 = 0), k AS (SELECT DISTINCT c FROM n),
 e AS (SELECT c AS a, CASE WHEN c % 3 = 0 THEN c ELSE c - 7 END AS b FROM k), b AS (SELECT a, b FROM e WHERE b IN (SELECT c FROM k) UNION SELECT b, a FROM e WHERE b IN (SELECT c FROM k)),
 r(x, y) AS (SELECT c, c FROM k UNION SELECT r.x, b.b FROM r JOIN b ON r.y = b.a) SELECT x AS node, min(y) AS component FROM r GROUP BY x""")

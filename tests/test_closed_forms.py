@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone import registry
 from siltstone.functions import sequence as Q
 from siltstone.functions import text as X
 from siltstone.operators import contract, dedupe, evaluation, graph, learners, metrics, overlap, ranks, resample, splits
@@ -267,3 +268,16 @@ def test_queries_beyond_one_block_lose_nothing(spark):
     assert sorted(map(tuple, overlap.knn(q, v, "i", "e", 3, most=7).collect())) == sorted(map(tuple, overlap.knn(q, v, "i", "e", 3).collect()))
     got, want = (overlap.near_by_cosine(v, q, "i", "e", 0.3, **most).collect() for most in ({"most_b": 7}, {}))
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
+
+
+def test_kmer_pairs_of_equal_texts_equal_brute_force(spark):
+    words = ["abcdef", "abcdef", "abcdeg", "zz", "abcdef", "", None, "a", "zz", "abcdeg"]
+    sets = [{w[k : k + 2] for k in range(len(w) - 1)} if w else set() for w in words]
+    want = {(a, b, round(len(x & y) / len(x | y), 9)) for b, y in enumerate(sets) for a, x in enumerate(sets[:b]) if x and y and len(x & y) >= 0.6 * len(x | y)}
+    got = graph.kmer_pairs(frame(spark, list(enumerate(words)), "i long, s string"), "i", "s", 2, 0.6).collect()
+    assert {(r.a, r.b, round(r.jaccard, 9)) for r in got} == want and len(got) == len(want)
+
+
+def test_kmer_jaccard_pairs_of_all_parts(spark, tmp_path):
+    frame(spark, [(1, "blue ring", 1), (2, "blue ring", 40), (3, "blue rings", 50)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    assert {(r.a, r.b) for r in registry.QUERIES["kmer_jaccard_pairs_whole"](spark, str(tmp_path)).collect()} == {(1, 2), (1, 3), (2, 3)}
