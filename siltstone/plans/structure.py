@@ -285,7 +285,18 @@ def kmer_jaccard_pairs_whole(spark, sf_dir):
 e AS (SELECT c AS a, CASE WHEN c % 3 = 0 THEN c ELSE c - 7 END AS b FROM k), b AS (SELECT a, b FROM e WHERE b IN (SELECT c FROM k) UNION SELECT b, a FROM e WHERE b IN (SELECT c FROM k)),
 r(x, y) AS (SELECT c, c FROM k UNION SELECT r.x, b.b FROM r JOIN b ON r.y = b.a) SELECT x AS node, min(y) AS component FROM r GROUP BY x""")
 def identity_components(spark, sf_dir):
-    k = table(spark, sf_dir, "orders").where("o_custkey % 7 = 0").select(F.col("o_custkey").alias("node")).distinct()
+    return customer_components(table(spark, sf_dir, "orders").where("o_custkey % 7 = 0"))
+
+
+@query("""WITH RECURSIVE k AS (SELECT DISTINCT o_custkey AS c FROM orders),
+e AS (SELECT c AS a, CASE WHEN c % 3 = 0 THEN c ELSE c - 7 END AS b FROM k), b AS (SELECT a, b FROM e WHERE b IN (SELECT c FROM k) UNION SELECT b, a FROM e WHERE b IN (SELECT c FROM k)),
+r(x, y) AS (SELECT c, c FROM k UNION SELECT r.x, b.b FROM r JOIN b ON r.y = b.a) SELECT x AS node, min(y) AS component FROM r GROUP BY x""")
+def identity_components_whole(spark, sf_dir):
+    return customer_components(table(spark, sf_dir, "orders"))
+
+
+def customer_components(orders):
+    k = orders.select(F.col("o_custkey").alias("node")).distinct()
     edges = k.select(F.col("node").alias("a"), F.when(F.col("node") % 3 == 0, F.col("node")).otherwise(F.col("node") - 7).alias("b"))
     edges = edges.join(k.select(F.col("node").alias("b")), "b", "left_semi")
     return graph.components(k, "node", edges)

@@ -281,3 +281,9 @@ def test_kmer_pairs_of_equal_texts_equal_brute_force(spark):
 def test_kmer_jaccard_pairs_of_all_parts(spark, tmp_path):
     frame(spark, [(1, "blue ring", 1), (2, "blue ring", 40), (3, "blue rings", 50)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     assert {(r.a, r.b) for r in registry.QUERIES["kmer_jaccard_pairs_whole"](spark, str(tmp_path)).collect()} == {(1, 2), (1, 3), (2, 3)}
+
+
+def test_identity_components_of_all_customers(spark, tmp_path):
+    frame(spark, [(i, c) for i, c in enumerate([1, 8, 15, 22, 7, 14, 21, 5, 5])], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.node: r.component for r in registry.QUERIES["identity_components_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 8: 1, 15: 15, 22: 15, 7: 7, 14: 7, 21: 21, 5: 5}
