@@ -157,7 +157,16 @@ WEIGHTS = [i / 10 for i in range(11)]
 
 @query(spearman_sql("SELECT w, l_extendedprice AS x, w * l_quantity + (1 - w) * 50 * l_tax * 10 AS y FROM lineitem, (SELECT unnest([" + ", ".join(f"{w}::DOUBLE" for w in WEIGHTS) + "]) AS w) WHERE l_linenumber = 1", "w"))
 def blend_weights(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").withColumn("w", F.explode(F.array(*[F.lit(w) for w in WEIGHTS])))
+    return blended(table(spark, sf_dir, "lineitem").where("l_linenumber = 1"))
+
+
+@query(spearman_sql("SELECT w, l_extendedprice AS x, w * l_quantity + (1 - w) * 50 * l_tax * 10 AS y FROM lineitem, (SELECT unnest([" + ", ".join(f"{w}::DOUBLE" for w in WEIGHTS) + "]) AS w)", "w"))
+def blend_weights_whole(spark, sf_dir):
+    return blended(table(spark, sf_dir, "lineitem"))
+
+
+def blended(rows):
+    rows = rows.withColumn("w", F.explode(F.array(*[F.lit(w) for w in WEIGHTS])))
     rows = rows.withColumn("y", F.col("w") * F.col("l_quantity") + (1 - F.col("w")) * 50 * F.col("l_tax") * 10)
     return rounded(metrics.spearman(rows, ["w"], "l_extendedprice", "y"))
 
