@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import LOWER_BYTES, _IS_SPACE, batches, in_small_batches, joined, tidy
+from siltstone.llm.shared import LOWER_BYTES, _IS_SPACE, batches, in_small_batches, joined, tidy, written
 
 SPAN, DECAY, LANDMARKS, NOISY, MINED, COST = 5, 0.7, 256, 200, 2500, 10.0
 FOLDS = 3
@@ -328,20 +328,29 @@ def _fit_words(vocab: list[bytes], rows: list[np.ndarray], y: np.ndarray, rounds
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[str], list[int]]:
-    """A bounded sample of labelled documents, the same on every run."""
+    """A bounded sample of labelled documents, the same on every run.
+
+    Texts are chosen by their lengths before any is collected; one that doesn't fit into what is left is left out alone.
+    """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(F.col(label_col)) > 0).cast("int").alias("_y"))
     some = known.limit(0)
     for label, most in ((1, MAX_TOXIC), (0, MAX_CLEAN)):
         some = some.unionByName(known.where(F.col("_y") == label).orderBy(F.xxhash64("_id"), "_id").limit(most))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(some), "_id").dropDuplicates(["_id"])
-    texts, toxic, size = [], [], 0
-    for r in sorted(rows.select("_id", "_t", "_y").collect(), key=lambda r: str(r["_id"])[::-1]):
-        size += len(r["_t"] or "")
-        if size > MAX_BYTES:
-            break
-        texts.append(r["_t"] or "")
-        toxic.append(r["_y"])
-    return texts, toxic
+    rows = written(rows.select("_id", "_t", "_y", F.coalesce(F.octet_length("_t"), F.lit(0)).alias("_n")), "toxicity-rows")
+    order = lambda r: str(r["_id"])[::-1]
+    sizes = sorted(rows.select("_id", "_y", "_n").collect(), key=order)
+    taken, size = [], 0
+    for r in sizes:
+        if size + r["_n"] <= MAX_BYTES:
+            size += r["_n"]
+            taken.append(r)
+    if lost := {r["_y"] for r in sizes} - {r["_y"] for r in taken}:
+        raise ValueError(f"no text with the label {lost.pop()} fits into {MAX_BYTES} bytes")
+    if len(taken) < len(sizes):
+        rows = rows.where(F.col("_id").isin([r["_id"] for r in taken]))
+    found = sorted(rows.select("_id", "_t", "_y").collect(), key=order)
+    return [r["_t"] or "" for r in found], [r["_y"] for r in found]
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

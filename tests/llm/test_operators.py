@@ -384,3 +384,12 @@ def test_added_tokens_within_texts(spark, name, kind, first):
         token_store.write_store(make_docs(spark, rows), path, store)
         starts = np.concatenate(([0], np.cumsum([len(w) + 1 for w in want]))).tolist()
         assert {r.doc_id: (r.start, r.ids) for r in token_store.read_documents(spark, store).collect()} == {i: (starts[i], [*w, 1]) for i, w in enumerate(want)}
+
+
+def test_a_text_that_does_not_fit_is_left_out_alone(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_BYTES", 100)
+    docs = make_docs(spark, [(1, "é" * 60), (2, "bad words"), (3, "fine words"), (4, None)])
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (4, 0)], "doc_id long, toxic int")
+    assert toxicity.training_rows(docs, labels, "doc_id", "text", "toxic") == (["bad words", "fine words", ""], [1, 0, 0])
+    with pytest.raises(ValueError, match="no text with the label 1 fits"):
+        toxicity.training_rows(docs, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int"), "doc_id", "text", "toxic")
