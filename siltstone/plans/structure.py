@@ -309,6 +309,11 @@ def alignment_identity(spark, sf_dir):
     return rounded(both.select("p_partkey", graph.alignment_identity(F.col("p_name"), F.col("other")).alias("identity")))
 
 
+@query(None)
+def alignment_identity_families(spark, sf_dir):
+    return graph.identity_families(sequences(spark, sf_dir), "p_partkey", "s")
+
+
 PAIRS = "WITH c AS (SELECT conv_id, turn, role, text, count(*) FILTER (role = 'user') OVER w AS u, count(*) FILTER (role = 'assistant') OVER w AS a, max(CASE WHEN role = 'user' THEN text END) OVER w AS tu, max(CASE WHEN role = 'assistant' THEN text END) OVER w AS ta FROM conversations WINDOW w AS (PARTITION BY conv_id)) "
 
 

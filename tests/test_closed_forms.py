@@ -294,3 +294,25 @@ def test_blend_weights_of_all_lines(spark, tmp_path):
     frame(spark, rows, "l_linenumber int, l_extendedprice double, l_quantity double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.w: (r.n, r.spearman) for r in registry.QUERIES["blend_weights_whole"](spark, str(tmp_path)).collect()}
     assert len(got) == 11 and got[1.0] == (4, pytest.approx(-0.2)) and got[0.0] == (4, 0.0)
+
+
+def test_identity_pairs_and_families_equal_brute_force(spark):
+    rng = random.Random(5)
+    texts = [None, "", "A", "A", "ACDEFGHI", "ACDEFGHK"]
+    for _ in range(6):
+        base = "".join(rng.choice("ACDE") for _ in range(rng.choice((9, 10, 18, 19, 40))))
+        texts += [base, base]
+        for _ in range(6):
+            w = list(base)
+            for _ in range(rng.randint(1, max(1, len(base) // 8))):
+                i = rng.randrange(len(w))
+                w[i : i + 1] = rng.choice(([], [rng.choice("ACDE")], [w[i], rng.choice("ACDE")]))
+            texts.append("".join(w))
+    first = {t: texts.index(t) for t in texts if t}
+    want = {(a, b) for t, a in first.items() for u, b in first.items() if a < b and 0.85 <= len(t) / len(u) <= 1.15 and graph.aligned_identity(t, u) >= 0.9}
+    df = frame(spark, list(enumerate(texts)), "i long, s string")
+    assert {(r.a, r.b) for r in graph.identity_pairs(df, "i", "s").collect()} == want and any(b - a > 1 for a, b in want)
+    family = list(range(len(texts)))
+    for a, b in sorted(want) + [(first[t], i) for i, t in enumerate(texts) if t]:
+        family = [min(family[a], family[b]) if f in (family[a], family[b]) else f for f in family]
+    assert {r.i: r.component for r in graph.identity_families(df, "i", "s").collect()} == dict(enumerate(family))
