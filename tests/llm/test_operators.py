@@ -219,31 +219,57 @@ def test_token_store(spark, rows):
         assert (d.start, d.n_tokens, d.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         assert whole[i].ids == ids and whole[i].start == at
         at += len(ids)
-    chunks = spark.read.parquet(f"{store}/chunks")
-    assert chunks.count() == chunks.select("digest").distinct().count()
+    stored = lambda at: [d for r in spark.read.parquet(f"{at}/chunks").collect() for d in token_store._each(bytes(r.digests))]
+    chunks = stored(store)
+    assert len(chunks) == len(set(chunks))
     empty = new_path(spark, "test-store")
     token_store.write_store(docs.limit(0), path, empty)
     assert token_store.document_digests(spark, empty).collect() == []
     again = new_path(spark, "test-store")
     token_store.write_store(docs.unionByName(docs), path, again)
-    assert spark.read.parquet(f"{again}/chunks").count() == chunks.count() and token_store.document_digests(spark, again).count() == 2 * len(digests)
+    assert sorted(stored(again)) == sorted(chunks) and token_store.document_digests(spark, again).count() == 2 * len(digests)
 
 
-def test_a_damaged_store_is_refused(spark):
+def test_a_damaged_store_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "ROW", 1)  # a chunk a row
     path = new_path(spark, "test-store")
-    token_store.write_store(make_docs(spark, [(1, "some words here"), (2, "other words")]), tokenizer_path("word_bpe_49k.json"), path)
-    chunks = spark.read.parquet(f"{path}/chunks").collect()
-    spark.createDataFrame([(r.digest, bytes(r.ids[:-1]) + b"\xff") for r in chunks], "digest binary, ids binary").write.mode("overwrite").parquet(f"{path}/chunks")
-    with pytest.raises(Exception, match="doesn't match its digest"):
-        token_store.document_digests(spark, path).collect()
-
-
-def test_crc_parts_combine():
-    rng = np.random.default_rng(1)
-    data = rng.integers(0, 256, 5000, np.uint8).tobytes()
-    marks = [0, 10, 11, 400, 4096, 5000]
-    crc = np.array([zlib.crc32(data[a:b]) for a, b in zip(marks, marks[1:], strict=False)])
-    assert np.bitwise_xor.reduce(token_store.crc_moved(crc, np.array([5000 - b for b in marks[1:]]))) == zlib.crc32(data)
+    token_store.write_store(make_docs(spark, [(i, f"some words here {i} " * 40) for i in range(6)]), tokenizer_path("word_bpe_49k.json"), path)
+    assert token_store.document_digests(spark, path).count() == 6
+    tables = {t: spark.read.parquet(f"{path}/{t}") for t in ("chunks", "recipes", "manifest")}
+    whole = {t: (df.schema, [r.asDict() for r in df.collect()]) for t, df in tables.items()}
+
+    def put(table, rows):
+        spark.createDataFrame(rows, whole[table][0]).write.mode("overwrite").parquet(f"{path}/{table}")
+
+    def refused(table, rows, message):
+        put(table, rows)
+        with pytest.raises(Exception, match=message):
+            token_store.document_digests(spark, path).collect()
+        put(table, whole[table][1])
+
+    chunks, recipes, manifest = (whole[t][1] for t in ("chunks", "recipes", "manifest"))
+    refused("chunks", chunks[1:], "is missing")
+    refused("chunks", [r | {"ids": token_store._zip(b"\xff" + token_store._unzip(bytes(r["ids"]))[1:])} for r in chunks], "doesn't match its digest")
+    refused("recipes", [r for r in recipes if r["doc_id"] != 3], "doesn't match its recipes")
+    refused("recipes", [r | {"digests": bytes(r["digests"])[:-1] + b"\0"} for r in recipes], "doesn't match its Merkle root")
+    for level, message in enumerate(["doesn't match its recipes", "doesn't match its recipes", "no row for the whole store"]):
+        refused("manifest", [r for r in manifest if r["level"] != level], message)
+    assert token_store.document_digests(spark, path).count() == 6
+
+
+def test_a_store_of_many_ranges_and_blocks(spark, monkeypatch):
+    for name, size in (("RANGE", 7), ("PART", 3), ("BLOCK", 900), ("ROW", 200), ("SHARD", 4000)):
+        monkeypatch.setattr(token_store, name, size)
+    test_token_store(spark, corpus(n=60) + ODD)
+
+
+def test_a_store_with_ids_of_another_type(spark):
+    docs = spark.createDataFrame([("b", "two words"), ("a", "one"), (None, "none"), ("c", None)], "doc_id string, text string")
+    path = new_path(spark, "test-store")
+    token_store.write_store(docs, tokenizer_path("word_bpe_49k.json"), path)
+    rows = token_store.document_digests(spark, path).collect()
+    rows.sort(key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, "a", "b", "c"] and [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows[:-1])]).tolist()
 
 
 def vectors(spark, n=600, d=16, seed=2):
