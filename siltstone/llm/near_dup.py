@@ -1,23 +1,26 @@
 """Near-duplicate documents by MinHash banding and sequential Bayesian verification.
 
-A document's set holds the 50-bit hashes of its distinct five-word shingles.  Documents with equal sets form a class, and only
-one document a class goes on.  MinHash values are cut into bands, as many as :func:`layout` derives from the threshold; documents
-that share a band are candidates.
+A document's set holds the 64-bit hashes of its distinct five-word shingles.  Documents with equal sets (by size and two sums of
+mixed hashes, 128 bits) form a class, and only one document a class goes on.  MinHash values are cut into bands, as many as
+:func:`layout` derives from the threshold; documents that share a band are candidates.
 Signatures of candidates are compared a batch at a time, and a pair is dropped as soon as the posterior probability (flat
 prior) that its similarity reaches the threshold falls below ``MISS``.  Survivors are verified exactly on full sets.
 
-No group is expanded into pairs of rows: first every member of a band's bucket is compared with the bucket's smallest document, its
-head, and components are built from the links.  Then, where the members of a head still belong to several components, these
-are compared across components in blocks, within the tasks, and only links that join components leave them, so that no link is
+No group is expanded into pairs of rows.  First every member of a band's bucket is compared with the bucket's smallest document, its
+head, and components are built from the links.  Where the members of a head still belong to several components, the smallest
+member outside the first one becomes a second head, for REHEADS rounds, so that large groups of copies close up.  Whatever is
+still mixed then is compared across components in blocks, within the tasks: first by signatures alone, which tells the
+members that can have a link at all, then, for these, on full sets.  Only links that join components leave a task, and no link is
 lost.  A pair at the threshold t shares no band with probability ``(1 - t ** rows) ** bands``, below LOST at every threshold.
 
 Scale: signatures are one row a document; counts of shared bands are pre-aggregated; joins on hot keys are sort-merge joins of
-written tables, which Spark splits; texts are sent for candidates only (chosen by a bit table of fixed size).  Components are
+written tables, which Spark splits; a head's members are dealt into slots, and its text is read once a slot; texts are sent for
+candidates only (chosen by a bit table of at most BITS bits, and beyond BITS / 8 candidates by a join as well).  Components are
 built by the large-star / small-star rounds of Kiveris et al., on tables in the shared folder.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; with one to four words the
-whole sequence is the one shingle; rows that repeat an id share its component; an empty table gives an empty result; only id
-and text are read.
+whole sequence is the one shingle; rows that repeat an id share its component; an id must be a whole number (a TypeError tells
+if the column isn't), one that is null is linked with nothing; an empty table gives an empty result; only id and text are read.
 """
 
 from __future__ import annotations
@@ -29,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import MAX_ROWS, batches, in_small_batches, joined, mix64, tidy, word_hashes, written
+from siltstone.llm.shared import MAX_ROWS, batches, in_small_batches, joined, mix64, tidy, whole_numbers, word_hashes, written
 
 WORDS, ROWS, LOST, MISS = 5, 5, 1e-5, 1e-6
-ROW_BITS = MAX_ROWS.bit_length() - 1  # of a shingle's 64-bit hash 50 bits are kept
 STEP = 20  # hashes compared at a time
 MOST = 200  # hashes beyond which bands get fewer rows
-BLOCK, SHINGLES = 1024, 500_000
-BITS = 1 << 24
+REHEADS = 2  # rounds with further heads
+SLOT, SIGNED, BLOCK, SHINGLES = 1024, 1024, 1024, 500_000  # members of a head compared in a task: with it, by signatures, on sets
+BITS = 1 << 26
 _PLACE = mix64(np.arange(11, 11 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -53,11 +56,11 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for k in range(WORDS):
         found += np.where(k < left, padded[at + k], np.uint64(0)) * _PLACE[k]
     found = mix64(found)
-    bits = np.uint64(ROW_BITS)  # the row in the top bits, so that one sort does all rows
-    key = np.sort((owner.astype(np.uint64) << (np.uint64(64) - bits)) | (found >> bits))
-    key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
-    row = (key >> (np.uint64(64) - bits)).astype(np.int64)
-    return mix64((key << bits) >> bits), np.searchsorted(row, np.arange(n + 1))
+    order = np.argsort(found)
+    order = order[np.argsort(owner[order].astype(np.uint16), kind="stable")]  # by row, then by hash
+    key, row = found[order], owner[order]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (row[1:] != row[:-1]))) if len(key) else np.empty(0, bool)
+    return key[new], np.searchsorted(row[new], np.arange(n + 1))
 
 
 def layout(percent: int) -> tuple[int, int]:
@@ -134,33 +137,38 @@ def _sigs(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), -1)
 
 
-def bit_table(ids: DataFrame, column: str) -> np.ndarray:
-    """A table of BITS bits with one set for each id: its size doesn't depend on the number of ids."""
-    bit = F.pmod(F.xxhash64(F.col(column)), F.lit(BITS))
+def bit_table(ids: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A table of so many bits with one set for each id."""
+    bit = F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
     rows = ids.select(bit.alias("b")).groupBy(F.shiftright("b", 6).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("v"))
-    out = np.zeros(BITS >> 6, np.int64)
-    table = rows.toArrow()  # at most BITS / 64 rows
+    out = np.zeros(bits >> 6, np.int64)
+    table = rows.toArrow()  # at most bits / 64 rows
     out[table["w"].to_numpy()] = table["v"].to_numpy()
     return out
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """i and t, the texts of the ids in column i (and of a few others, by chance): one pass over the documents, no join."""
-    bits = docs.sparkSession.sparkContext.broadcast(bit_table(ids, "i"))
+    """i and t, the texts of the ids in column i (and of a few others, by chance): one pass over the documents."""
+    n = ids.count()
+    bits = min(BITS, 1 << max(10, (16 * n).bit_length()))
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(ids, "i", bits))
 
     def asked(it):
         for batch in it:
             b = batch.column(2).to_numpy()
-            on = (bits.value[b >> 6] >> (b & 63)) & 1 == 1
+            on = (table.value[b >> 6] >> (b & 63)) & 1 == 1
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string())], names=["i", "t"]).filter(pa.array(on))
 
-    bit = F.pmod(F.xxhash64(F.col("_i")), F.lit(BITS))
+    bit = F.pmod(F.xxhash64(F.col("_i")), F.lit(bits))
     rows = docs.select(F.col(id_col).cast("long").alias("_i"), F.col(text_col).alias("_t")).where("_i is not null").withColumn("_b", bit)
-    return written(rows.mapInArrow(tidy(asked), "i long, t string"), "near-texts")
+    found = rows.mapInArrow(tidy(asked), "i long, t string")
+    if n > BITS // 8:  # the table is too full to choose alone
+        found = found.join(ids.select("i").distinct(), "i", "left_semi")
+    return written(found, "near-texts")
 
 
 def verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """The pairs (a, b) with ``100 * intersection >= percent * union``."""
+    """The pairs (a, b), many of them with one a, with ``100 * intersection >= percent * union``."""
     least = least_matches(percent / 100, np.prod(layout(percent)))
     sides = [sigs.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b").where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
@@ -172,21 +180,29 @@ def verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, id_col: str, te
 
     left = written(both.select("a", "b", "sa", "sb").mapInArrow(tidy(prune), "a long, b long"), "near-pairs")
     texts = texts_of(docs, left.select(F.col("a").alias("i")).unionByName(left.select(F.col("b").alias("i"))), id_col, text_col)
-    rows = left.join(texts.select(F.col("i").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("i").alias("b"), F.col("t").alias("tb")), "b")
+    many = written(left.groupBy("a").agg(F.ceil(F.count("*") / SLOT).cast("int").alias("p")), "near-slots")
+    members = left.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("p")).cast("int").alias("slot"))
+    members = members.join(texts, members.b == texts.i).select("a", "slot", "b", "t")
+    heads = many.join(texts, many.a == texts.i).select("a", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("slot"), F.lit(None).cast("long").alias("b"), "t")
 
     def exact(it):
+        now, own = None, None
         for batch in it:
-            for x, y in batches(batch.column(2).cast(pa.large_string()), 2 << 20):
+            for x, y in batches(batch.column(3).cast(pa.large_string()), 2 << 20):
                 keep = []
-                own = [shingles(batch.column(c).slice(x, y - x)) for c in (2, 3)]
-                for i in range(y - x):
-                    p, q = (s[f[i] : f[i + 1]] for s, f in own)
-                    common = len(np.intersect1d(p, q, assume_unique=True))
-                    if common and 100 * common >= percent * (len(p) + len(q) - common):
-                        keep.append(x + i)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).take(pa.array(keep, pa.int64()))
+                sets, first = shingles(batch.column(3).slice(x, y - x))
+                for i, (a, slot, b) in enumerate(zip(*(batch.column(c).slice(x, y - x).to_pylist() for c in range(3)), strict=True)):
+                    q = sets[first[i] : first[i + 1]]
+                    if b is None:  # the head comes first
+                        now, own = (a, slot), q.copy()
+                    elif now == (a, slot):
+                        common = len(np.intersect1d(own, q, assume_unique=True))
+                        if common and 100 * common >= percent * (len(own) + len(q) - common):
+                            keep.append(x + i)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return rows.select("a", "b", "ta", "tb").mapInArrow(tidy(exact), "a long, b long")
+    rows = heads.unionByName(members).repartition("a", "slot").sortWithinPartitions("a", "slot", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(tidy(exact), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -206,24 +222,70 @@ def components(edges: DataFrame) -> DataFrame:
         edges = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
 
 
+def joined_labels(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """The components after some more links."""
+    return written(components(links.unionByName(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b"))), "near-labels")
+
+
+def mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """head, doc_id and component c of the members of heads whose members belong to several components."""
+    rows = members.join(labels, members.doc_id == labels.node, "left").select("head", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    some = rows.groupBy("head").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("head")
+    return written(rows.join(some, "head"), "near-mixed")
+
+
+def dealt(rows: DataFrame, size: int, weight: int, *columns: str) -> DataFrame:
+    """Members (head, doc_id, c, n, ...) dealt into blocks, and every two blocks of a head brought together as (head, x, y).
+
+    A block has at most ``size`` rows, or ``weight`` shingles, on average.
+    """
+    parts = F.greatest(F.ceil(F.count("*") / size), F.ceil(F.sum("n") / weight)).cast("int")
+    rows = rows.join(written(rows.groupBy("head").agg(parts.alias("p")), "near-parts"), "head").withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("p")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
+    return rows.select("head", F.least("i", "o").alias("x"), F.greatest("i", "o").alias("y"), "i", "doc_id", "c", "n", *columns)
+
+
 def crossing(members: DataFrame, labels: DataFrame, sigs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """Links (a, b) that join components of the members (head, doc_id) of one head, found by comparing all across components.
+    """The labels after all links between members (head, doc_id) of one head.
 
-    A pair that shares a bucket shares its head.  Heads have been compared with their members.  Members are dealt into blocks, of
-    at most BLOCK rows or SHINGLES shingles on average, and a task holds two of them.  Once members of two components are
-    linked these count as one, so that a task gives fewer links than it has rows, however alike they are.
+    A pair that shares a bucket shares its head, and heads have been compared with their members.  Once members of two
+    components are linked these count as one, so that a task gives fewer links than it has rows, however alike they are.
     """
     least = least_matches(percent / 100, np.prod(layout(percent)))
-    rows = members.join(labels, members.doc_id == labels.node, "left").select("head", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    rows = written(rows.join(sigs.select("doc_id", "n"), "doc_id"), "near-members")
-    groups = rows.groupBy("head").agg(F.count("*").alias("m"), F.sum("n").alias("s"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
-    parts = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("s") / SHINGLES)).cast("int")
-    groups = written(groups.select("head", parts.alias("p")), "near-mixed")
-    rows = written(rows.join(groups, "head").withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("p")).cast("int")), "near-members")
+    for _ in range(REHEADS):
+        rows = mixed(members, labels)
+        if rows.isEmpty():
+            return labels
+        outside = rows.join(rows.groupBy("head").agg(F.min("c").alias("c0")), "head").where("c <> c0")
+        second = outside.groupBy("head").agg(F.min(F.struct("doc_id", "c")).alias("s"))
+        pairs = rows.join(second, "head").where("c <> s.c").select(F.col("s.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+        links = written(verified(pairs, sigs, docs, id_col, text_col, percent), "near-links")
+        if links.isEmpty():
+            break
+        labels = joined_labels(links, labels)
+    rows = mixed(members, labels)
+    if rows.isEmpty():
+        return labels
+    rows = written(rows.join(sigs.select("doc_id", "n", "sig"), "doc_id"), "near-members")
+
+    def possible(table: pa.Table) -> pa.Table:
+        """Members that some member of another component may be linked with, by their signatures."""
+        x, y = table["x"][0].as_py(), table["y"][0].as_py()
+        n, block, comp, sig = table["n"].to_numpy(), table["i"].to_numpy(), table["c"].to_numpy(), _sigs(table["sig"])
+        on = np.zeros(len(n), bool)
+        right = np.flatnonzero(block == y)
+        for i in np.flatnonzero(block == x).tolist():
+            j = right[~on[right]] if on[i] else right
+            j = j[(comp[j] != comp[i]) & (n[j] * 100 >= n[i] * percent) & (n[i] * 100 >= n[j] * percent)]
+            j = j[_alike(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], least)]
+            if len(j):
+                on[i] = on[j] = True
+        return table.select(["head", "doc_id"]).filter(pa.array(on))
+
+    some = dealt(rows, SIGNED, 1 << 62, "sig").groupBy("head", "x", "y").applyInArrow(tidy(possible), "head long, doc_id long").distinct()
+    rows = written(rows.join(some, ["head", "doc_id"]), "near-members")
     texts = texts_of(docs, rows.select(F.col("doc_id").alias("i")), id_col, text_col)
-    full = rows.join(sigs.select("doc_id", "sig"), "doc_id").join(texts.select(F.col("i").alias("doc_id"), "t"), "doc_id")
-    full = full.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
-    full = full.select("head", F.least("i", "o").alias("x"), F.greatest("i", "o").alias("y"), "i", "doc_id", "c", "n", "sig", "t")
+    full = dealt(rows.join(texts.select(F.col("i").alias("doc_id"), "t"), "doc_id"), BLOCK, SHINGLES, "sig", "t")
 
     def compare(table: pa.Table) -> pa.Table:
         x, y = table["x"][0].as_py(), table["y"][0].as_py()
@@ -257,26 +319,24 @@ def crossing(members: DataFrame, labels: DataFrame, sigs: DataFrame, docs: DataF
                     out[1].append(max(ids[i], ids[k]))
         return pa.table({c: pa.array(v, pa.int64()) for c, v in zip("ab", out, strict=True)})
 
-    return written(full.groupBy("head", "x", "y").applyInArrow(tidy(compare), "a long, b long").distinct(), "near-crossing")
+    links = written(full.groupBy("head", "x", "y").applyInArrow(tidy(compare), "a long, b long").distinct(), "near-crossing")
+    return labels if links.isEmpty() else joined_labels(links, labels)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the document is its component's smallest) of every row."""
-    table = written(signatures(in_small_batches(docs), id_col, text_col, percent), "near-signatures")
+    table = written(signatures(in_small_batches(whole_numbers(docs, id_col)), id_col, text_col, percent), "near-signatures")
     full = table.where("n > 0 and doc_id is not null")
-    classes = written(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "near-classes")
+    classes = written(full.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "near-classes")
     sigs = written(full.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), "near-reps")
     spread = sigs.select("doc_id", F.explode("bands").alias("key"))
     heads = written(spread.groupBy("key").agg(F.min("doc_id").alias("head"), F.count("*").alias("m")).where("m > 1").select("key", "head"), "near-heads")
-    shared = written(spread.join(heads, "key").select("key", "doc_id", "head"), "near-shared")
-    pairs = shared.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = written(verified(pairs, sigs, docs, id_col, text_col, percent), "near-links")
-    labels = written(components(links), "near-labels")
-    more = crossing(shared.where("doc_id <> head").select("head", "doc_id").distinct(), labels, sigs, docs, id_col, text_col, percent)
-    if not more.isEmpty():
-        labels = written(components(more.unionByName(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b"))), "near-labels")
-    named = written(classes.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.coalesce("component", "rep").alias("_c")), "near-named")
-    out = table.select("doc_id", "n", "k1", "k2").join(named, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & (F.col("n") > 0), "left")
+    members = written(spread.join(heads, "key").where("doc_id <> head").select("head", "doc_id").distinct(), "near-shared")
+    links = written(verified(members.select(F.col("head").alias("a"), F.col("doc_id").alias("b")), sigs, docs, id_col, text_col, percent), "near-links")
+    labels = crossing(members, written(components(links), "near-labels"), sigs, docs, id_col, text_col, percent)
+    keys = ("n", "k1", "k2")
+    named = written(classes.join(labels, F.col("rep") == F.col("node"), "left").select(*[F.col(k).alias(f"_{k}") for k in keys], F.coalesce("component", "rep").alias("_c")), "near-named")
+    out = table.select("doc_id", *keys).join(named, [F.col(k) == F.col(f"_{k}") for k in keys], "left")
     component = F.coalesce(F.when(F.col("n") > 0, F.col("_c")), F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

@@ -24,9 +24,11 @@ LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only on one machine where it is unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = getattr(spark.sparkContext, "_siltstone_dir", None)
         if found is None:
             folder = tempfile.mkdtemp(prefix="siltstone-")
@@ -210,34 +212,9 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, spans: bool = False, lower
     return (hashes, np.searchsorted(begin, starts), *((begin, np.concatenate(ends)) if spans else ()))
 
 
-def running_before(df: DataFrame, key: str, value: str, ties: str, out: str, ranges: int = 512) -> DataFrame:
-    """Add ``out``: the sum of ``value`` over all rows before each row in the order (``key``, ``ties``); null keys first.
-
-    Rows are cut into ranges at quantiles of ``key`` (long); only one sum a range reaches the driver, and each range is
-    summed in a task of its own.
-    """
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
-    marks = df.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
-    marks = sorted(set(marks))
-    part = F.when(F.col(key).isNull(), F.lit(0)).otherwise(F.expr(_bisect(marks, key)) + 1) if marks else F.lit(0)
-    df = df.withColumn("_range", part.cast("int"))
-    sums = np.zeros(len(marks) + 3, np.int64)
-    for r in df.groupBy("_range").agg(F.sum(value).alias("s")).collect():  # at most ``ranges`` + 1 rows
-        sums[r["_range"] + 1] = r["s"]
-    first = np.cumsum(sums).tolist()
-    window = Window.partitionBy("_range").orderBy(F.col(key).asc_nulls_first(), ties).rowsBetween(Window.unboundedPreceding, -1)
-    within = F.coalesce(F.sum(value).over(window), F.lit(0))
-    return df.withColumn(out, within + F.element_at(F.lit(first), F.col("_range") + 1)).drop("_range")
-
-
-def _bisect(marks: list[int], key: str) -> str:
-    """SQL for the number of marks that are at most the key, as a tree of comparisons (no loop over all marks)."""
-    def tree(a: int, b: int) -> str:
-        if a == b:
-            return str(a)
-        m = (a + b) // 2
-        return f"if({key} < {marks[m]}L, {tree(a, m)}, {tree(m + 1, b)})"
-
-    return tree(0, len(marks))
+def whole_numbers(docs: DataFrame, id_col: str) -> DataFrame:
+    """The table, if its ids are whole numbers, which are compared and sent as 8-byte integers; an error at once if not."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"ids must be whole numbers, but {id_col} is {kind}; number the rows first")
+    return docs

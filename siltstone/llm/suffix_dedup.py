@@ -19,8 +19,8 @@ with more than ``HOT`` places is cut into finer cores, which spread over the sha
 gathered in one task, and nothing but numbers reaches the driver.
 
 Defined results: a null text is empty; texts shorter than ``LENGTH`` bytes are kept whole; places are (id, start), null ids first,
-and rows that repeat an id share their places, so that neither removes the other's bytes; an empty table gives an empty result;
-only id and text are read.
+and rows that repeat an id share their places, so that neither removes the other's bytes; an id must be a whole number (a
+TypeError tells if the column isn't); an empty table gives an empty result; only id and text are read.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.shared import _BASE, _BYTES, _INVERSE, batches, in_small_batches, mix64, powers, repeatable, tidy, written
+from siltstone.llm.shared import _BASE, _BYTES, _INVERSE, batches, in_small_batches, mix64, powers, repeatable, tidy, whole_numbers, written
 
 LENGTH, GRAM, SPLIT, HOT, FINE = 100, 32, 2 << 20, 4096, 5
 SPAN = LENGTH - GRAM + 1  # places of a gram in a window
@@ -244,7 +244,7 @@ def _table(columns: dict) -> pa.Table:
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row (and kept, the bytes that stay, and columns to carry along)."""
-    spark, docs = docs.sparkSession, repeatable(in_small_batches(docs).select(*[F.col(f"`{c}`") for c in dict.fromkeys((id_col, text_col, *carry))]), "passage-input")
+    spark, docs = docs.sparkSession, repeatable(in_small_batches(whole_numbers(docs, id_col)).select(*[F.col(f"`{c}`") for c in dict.fromkeys((id_col, text_col, *carry))]), "passage-input")
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest") if carry else F.lit(None).cast("string").alias("rest"))
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = base.agg(F.sum(F.length("text"))).first()[0] or 0

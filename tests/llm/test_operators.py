@@ -94,6 +94,35 @@ def test_near_duplicates_of_a_large_group_around_the_threshold(spark):
     assert got == brute.near_duplicates(rows)
 
 
+@pytest.mark.parametrize("reheads", [0, 2])
+def test_near_duplicates_compared_in_many_blocks(spark, monkeypatch, reheads):
+    """Two groups of one head that no member of the first links, but some of the others do; and texts that stay apart."""
+    for name, size in (("REHEADS", reheads), ("SLOT", 3), ("SIGNED", 4), ("BLOCK", 3), ("BITS", 1 << 10)):
+        monkeypatch.setattr(near_dup, name, size)
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for k in range(0, (i % 30) * 2, 2):  # a chain: neighbours are alike, the ends aren't
+            w[k] = f"y{k}"
+        if i >= 60:
+            w[100:140] = [f"z{k}" for k in range(40)]
+        if rng.random() < 0.5:
+            w[rng.randrange(150, 200)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    want = brute.near_duplicates(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(make_docs(spark, rows)).collect()}
+    assert got == want and 1 < len({c for _, c in want.values()}) < 90
+
+
+def test_ids_that_are_not_whole_numbers(spark):
+    docs = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    for operator in (near_dup.near_duplicates, suffix_dedup.deduplicated):
+        with pytest.raises(TypeError, match="whole numbers"):
+            operator(docs)
+
+
 def test_suffix_dedup(spark, rows):
     rng = random.Random(5)
     long = "".join(rng.choice("abcdefgh ") for _ in range(900))
