@@ -6,11 +6,13 @@ ordered by the distance to the centroids, and visits leaves in that order.  How
 widened until sample queries find ``recall`` of their true neighbours in the sample.  Candidates are compared exactly, in double
 precision.
 
-A leaf with many rows is dealt into blocks of about ``BLOCK`` rows, so that copies of one vector don't meet in one task.
+A leaf with many rows is dealt into blocks of about ``BLOCK`` rows, so that copies of one vector don't meet in one task.  The tree
+is that of the commonest length of vectors; those of another length are compared with all of their own length, in blocks.
 
-Defined results: vectors that are null, empty, zero, hold null or non-finite components, or whose length isn't the commonest one
-take no part; ties go to the smaller id; repeated rows are one query, and candidates each (a query's own id never is); a query visits leaves until these hold at least ``4 * (k + 1)`` rows, whatever was
-calibrated; an empty table gives an empty result; only id and vector are read.
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part; a vector is compared with
+those of its own length; ties go to the smaller id; rows that repeat an id are one query (its smallest vector, component by
+component), and candidates each (a query's own id never is); a query visits leaves until these hold at least ``4 * (k + 1)`` rows,
+whatever was calibrated; ids must be whole numbers; an empty table gives an empty result; only id and vector are read.
 """
 
 from __future__ import annotations
@@ -23,9 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.impact_search import matrix, of_one_length, usable
+from siltstone.llm.impact_search import lengths, matrix, queries, usable
+from siltstone.llm.shared import written
 
 SAMPLE, LEAVES, BRANCHES, BLOCK = 20_000, 4096, 12, 2048
+#: Components of the sample in all, which bounds its bytes whatever the vectors' length is.
+COMPONENTS = 1 << 23
 
 
 @dataclass
@@ -37,18 +42,32 @@ class Tree:
     leaf: list[int] = field(default_factory=list)
     leaves: int = 0
 
-    def add(self, x: np.ndarray, most: int, rng: np.random.Generator) -> int:
-        at = len(self.centers)
+    def grow(self, x: np.ndarray, most: int, rng: np.random.Generator) -> Tree:
+        """Split the fullest node, from the root on, until none has more than ``most`` rows or there are LEAVES of them."""
+        open_ = [(-len(x), self._node(x), x)]
+        while open_ and self.leaves + len(open_) + BRANCHES - 1 <= LEAVES and -open_[0][0] > most:
+            _, at, part = heapq.heappop(open_)
+            label = kmeans(part, BRANCHES, rng)
+            if label.max() == label.min():  # copies of one vector
+                self._close(at)
+                continue
+            for j in np.unique(label):
+                child = part[label == j]
+                self.children[at].append(self._node(child))
+                heapq.heappush(open_, (-len(child), self.children[at][-1], child))
+        for _, at, _ in sorted(open_, key=lambda node: node[1]):
+            self._close(at)
+        return self.pack()
+
+    def _node(self, x: np.ndarray) -> int:
         self.centers.append(x.mean(0))
         self.children.append([])
         self.leaf.append(-1)
-        label = kmeans(x, BRANCHES, rng) if len(x) > most else None
-        if label is None or label.max() == label.min():
-            self.leaf[at] = self.leaves
-            self.leaves += 1
-        else:
-            self.children[at] = [self.add(x[label == j], most, rng) for j in np.unique(label)]
-        return at
+        return len(self.centers) - 1
+
+    def _close(self, at: int) -> None:
+        self.leaf[at] = self.leaves
+        self.leaves += 1
 
     def pack(self) -> Tree:
         self.stacked = [np.stack([self.centers[c] for c in ch]) if ch else None for ch in self.children]
@@ -111,47 +130,54 @@ def calibrated(tree: Tree, x: np.ndarray, k: int, recall: float, rng: np.random.
 
 def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.985, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found by Euclidean distance."""
-    rows, _, n = of_one_length(usable(df, id_col, vec_col, is_query).where(F.exists("vec", lambda x: x != 0)))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").toArrow()
-    if not n:
+    rows = usable(df, id_col, vec_col, is_query).where(F.exists("vec", lambda x: x != 0))
+    sizes = lengths(rows)
+    if not sizes:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    x = matrix(sample["vec"])
+    d, (n, _) = next(iter(sizes.items()))
+    main, asked, spark = rows.where(F.col("d") == d), queries(rows), rows.sparkSession
+    size = max(1, min(SAMPLE, COMPONENTS // d))
+    x = matrix(main.orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).select("vec").toArrow()["vec"])
     rng = np.random.default_rng(seed)
-    tree = Tree()
-    tree.add(x, max(len(x) // LEAVES * 2, min(64, max(8, len(x) // 16)) if n <= SAMPLE else max(8, int(256 * len(x) / n)), 8), rng)
-    tree.pack()
+    tree = Tree().grow(x, min(64, max(8, len(x) // 16)) if n <= size else max(8, int(256 * len(x) / n)), rng)
     visits = calibrated(tree, x, k, recall, rng)
-    sent = rows.sparkSession.sparkContext.broadcast(tree)
+    sent = spark.sparkContext.broadcast(tree)
 
     def place(it):
         for batch in it:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.assign(matrix(batch.column(1))))], names=["vec_id", "vec", "is_query", "leaf"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.assign(matrix(batch.column(1))))], names=["vec_id", "vec", "leaf"])
 
-    placed = rows.mapInArrow(place, "vec_id long, vec array<double>, is_query boolean, leaf long")
+    placed = written(main.select("vec_id", "vec").mapInArrow(place, "vec_id long, vec array<double>, leaf long"), "vector-leaves")
+    others = rows.where(F.col("d") != d).select("vec_id", "vec", (-F.col("d")).cast("long").alias("leaf"))  # a leaf for each other length
     counts = {r["leaf"]: r["c"] for r in placed.groupBy("leaf").agg(F.count("*").alias("c")).collect()}  # at most LEAVES rows
-    blocks = [max(1, -(-counts.get(i, 0) // BLOCK)) for i in range(tree.leaves)]
-    sizes = rows.sparkSession.sparkContext.broadcast(np.array([counts.get(i, 0) for i in range(tree.leaves)]))
+    counts |= {-length: c for length, (c, _) in sizes.items() if length != d}
+    blocks = {leaf: -(-c // BLOCK) for leaf, c in counts.items()}
+    held = spark.sparkContext.broadcast((counts, blocks))
 
     def walk(it):
         for batch in it:
+            counts, blocks = held.value
             keep, leaf, block = [], [], []
             for i, q in enumerate(matrix(batch.column(1))):
-                held = seen = 0
+                rows_ = seen = 0
                 for v in sent.value.visit(q):
-                    if seen >= visits and held >= 4 * (k + 1):
+                    if seen >= visits and rows_ >= 4 * (k + 1):
                         break
-                    seen, held = seen + 1, held + sizes.value[v]
-                    if sizes.value[v]:
-                        for b in range(blocks[v]):
-                            keep.append(i)
-                            leaf.append(v)
-                            block.append(b)
+                    seen, rows_ = seen + 1, rows_ + counts.get(v, 0)
+                    for b in range(blocks.get(v, 0)):
+                        keep.append(i)
+                        leaf.append(v)
+                        block.append(b)
             take = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(leaf, pa.int64()), pa.array(block, pa.int64())], names=["vec_id", "vec", "is_query", "leaf", "block"])
-
-    asked = rows.where("is_query").dropDuplicates(["vec_id"]).mapInArrow(walk, "vec_id long, vec array<double>, is_query boolean, leaf long, block long")
-    block = F.pmod(F.xxhash64("vec_id", "vec"), F.element_at(F.lit(blocks), (F.col("leaf") + 1).cast("int"))).cast("long")
-    both = placed.select("vec_id", "vec", F.lit(False).alias("is_query"), "leaf", block.alias("block")).unionByName(asked)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(leaf, pa.int64()), pa.array(block, pa.int64())], names=["vec_id", "vec", "leaf", "block"])
+
+    many = F.element_at(F.create_map(*[F.lit(int(v)).cast("long") for kv in blocks.items() for v in kv]), F.col("leaf"))
+    found = asked.where(F.col("d") == d).select("vec_id", "vec").mapInArrow(walk, "vec_id long, vec array<double>, leaf long, block long")
+    if len(sizes) > 1:
+        rest = asked.where(F.col("d") != d).select("vec_id", "vec", (-F.col("d")).cast("long").alias("leaf"))
+        found = found.unionByName(rest.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), many - 1))))
+        placed = placed.unionByName(others)
+    both = placed.select("vec_id", "vec", F.lit(False).alias("is_query"), "leaf", F.pmod(F.xxhash64("vec_id", "vec"), many).alias("block")).unionByName(found.withColumn("is_query", F.lit(True)))
 
     def compare(table: pa.Table) -> pa.Table:
         is_q = table["is_query"].to_numpy(zero_copy_only=False)

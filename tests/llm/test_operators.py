@@ -313,6 +313,7 @@ def test_impact_search(spark):
     x, df = vectors(spark)
     rows = {i: np.floor(256 * v.astype(np.float32).astype(float)).astype(np.int64) for i, v in enumerate(x)}
     rows[650] = np.zeros(16, np.int64)
+    # row 605 has another length and is compared with none
     got = {}
     for r in impact_search.top_k(df, F.col("vec_id") % 50 == 0).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
@@ -325,6 +326,57 @@ def test_impact_search(spark):
     assert sorted(r["rank"] for r in few) == [1, 2]
 
 
+def test_impact_search_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(impact_search, "BLOCK", 90)
+    monkeypatch.setattr(impact_search, "QUERIES", 3)
+    test_impact_search(spark)
+
+
+def test_impact_index_stops_on_proof():
+    rng = np.random.default_rng(4)
+    x = np.rint(rng.normal(size=(4000, 24)) * (rng.random((4000, 24)) < 0.1) * 200).astype(np.int64)
+    x[7] = x[8] = x[9] = 900  # ties at the top
+    index = impact_search.ImpactIndex.opened(impact_search.ImpactIndex(x).packed(), 24)
+    reads = []
+    for q in [x[7], x[100], -x[200], x[300], np.zeros(24, np.int64)]:
+        member, score = index.search(q, 5, np.array([7]))
+        true = x @ q
+        assert (score == true[member]).all()
+        order = np.lexsort((np.arange(len(x)), -np.where(np.arange(len(x)) == 7, -(2**60), true)))[:5]
+        best = member[np.lexsort((member, -score))[:5]]
+        assert (true[best] == true[order]).all() and set(np.flatnonzero(true > true[order[-1]])) - {7} <= set(member.tolist())
+        reads.append(index.read)
+    assert min(reads) < x.size / 3
+
+
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=3 + i % 3).round(2).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = {i: np.array(v) for i, v in rows}
+    top, near = {}, {}
+    for r in impact_search.top_k(df, F.col("vec_id") % 20 == 0).collect():
+        top.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    for r in vector_tree.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        near.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    for q in range(0, 300, 20):
+        own = [i for i in x if i != q and len(x[i]) == len(x[q])]
+        scaled = {i: np.floor(256 * x[i]).astype(np.int64) for i in [*own, q]}
+        want = sorted((-int(scaled[i] @ scaled[q]), i) for i in own)[:5]
+        assert [top[q][k + 1] for k in range(5)] == [(i, -s) for s, i in want]
+        assert {len(x[i]) for i in near[q].values()} == {len(x[q])} and sorted(near[q]) == list(range(1, 11))
+        if len(x[q]) != 3:  # not the commonest length: exact
+            assert [near[q][k + 1] for k in range(10)] == sorted(own, key=lambda i: (np.sqrt(((x[i] - x[q]) ** 2).sum()), i))[:10]
+
+
+def test_tree_has_no_more_leaves_than_are_sent(monkeypatch):
+    monkeypatch.setattr(vector_tree, "LEAVES", 50)
+    x = np.random.default_rng(3).normal(size=(3000, 8))
+    tree = vector_tree.Tree().grow(x, 8, np.random.default_rng(1))
+    assert 39 <= tree.leaves <= 50 and set(tree.assign(x).tolist()) == set(range(tree.leaves))
+    assert vector_tree.Tree().grow(np.ones((200, 4)), 8, np.random.default_rng(1)).leaves == 1
+
+
 def test_vector_tree(spark):
     x, df = vectors(spark, 2000)
     x = x.astype(np.float32).astype(float)
