@@ -2,32 +2,36 @@
 
 A rule is (host, path prefix, verdict).  It fits its host and all subdomains when the url's path starts with the rule's
 path; the longest rule string (host + path) wins.  Rules are kept as sorted xxhash64 keys of ``host + path`` beside their
-full strings; a key that is found counts only if the stored string equals the probed one.
+full strings; a key that is found counts only if the stored string equals the probed one.  The array is one file for each
+``SHARD`` rules or so, cut by the first bits of the keys, so that a list may have any number of rules.
 
 Defined results: a null url or one without ``://`` has an empty host and path and gets the default verdict; repeated rows
-are judged one by one; an empty table gives an empty result; only the id and url columns are read, so that other columns
-may have any name.
+are judged one by one; of several rules with one host and path the last counts; a rule whose host holds a ``/`` or whose path
+doesn't begin with one (or is empty) is refused; an empty table gives an empty result; only the id and url columns are read, so
+that other columns may have any name.
 """
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import os
+import shutil
 import tempfile
-import uuid
 from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.shared import LOWER, UPPER
 
-#: The largest rule list that is sent to every worker.
-MAX_RULES = 5_000_000
+#: Rules of a file.
+SHARD = 1_000_000
 
 
 class DigestArray:
@@ -76,6 +80,44 @@ class DigestArray:
         return out
 
 
+class Shards:
+    """Digest arrays that share the 64-bit keys by their first bits."""
+
+    def __init__(self, paths: Sequence[str]):
+        self.arrays = [DigestArray(p) for p in paths]
+        self.lengths = sorted({int(n) for a in self.arrays for n in a.lengths})
+
+    @staticmethod
+    def shard_of(key: int, shards: int) -> int:
+        return key * shards >> 64
+
+    def probe(self, strings: list[bytes], key=xxhash.xxh64_intdigest) -> tuple[np.ndarray, np.ndarray]:
+        """(shard, index or -1) of each string."""
+        shard = np.array([self.shard_of(key(s), len(self.arrays)) for s in strings] if len(self.arrays) > 1 else [0] * len(strings), np.int64)
+        found = np.full(len(strings), -1, np.int64)
+        for i in np.unique(shard).tolist():
+            at = np.flatnonzero(shard == i)
+            found[at] = self.arrays[i].probe([strings[j] for j in at.tolist()], key)
+        return shard, found
+
+
+def shared_files(spark: SparkSession, strings: list[str], codes: list[int], path_lengths: list[int]) -> list[str]:
+    """Names of the files of the rules, sent to every worker; the same rules are sent once."""
+    sent = spark.sparkContext.__dict__.setdefault("_siltstone_rules", {})
+    name = hashlib.blake2b(repr((SHARD, strings, codes)).encode(), digest_size=16).hexdigest()
+    if name not in sent:
+        folder = tempfile.mkdtemp(prefix="siltstone-")  # of the driver, which serves the files while it lives
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        shards = max(1, -(-len(strings) // SHARD))
+        part = np.array([Shards.shard_of(xxhash.xxh64_intdigest(s.encode()), shards) for s in strings], np.int64)
+        sent[name] = [f"rules-{name}-{i}" for i in range(shards)]
+        for i, file in enumerate(sent[name]):
+            at = np.flatnonzero(part == i).tolist()
+            DigestArray.build(os.path.join(folder, file), [strings[j] for j in at], [codes[j] for j in at], [path_lengths[j] for j in at])
+            spark.sparkContext.addFile(os.path.join(folder, file))
+    return sent[name]
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     """(host, path); both empty for null and where there is no ``://``."""
     if url is None or (at := url.find("://")) < 0:
@@ -90,29 +132,25 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 def url_filter(df: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """Judge every url of ``df``: id, host, path, rule, verdict.  ``rules``: (host, path prefix, verdict)."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules are more than {MAX_RULES}; shard them by host first")
     once: dict[str, tuple[int, str]] = {}
     for host, path, verdict in rules:
+        if "/" in host or path[:1] not in ("", "/"):
+            raise ValueError(f"{host!r}, {path!r} isn't a host and a path")
         once[host + path] = (len(path), verdict)
     verdicts = sorted({v for _, v in once.values()})
-    path = os.path.join(tempfile.mkdtemp(), f"rules-{uuid.uuid4().hex}")
-    DigestArray.build(path, list(once), [verdicts.index(v) for _, v in once.values()], (n for n, _ in once.values()))
-    df.sparkSession.sparkContext.addFile(path)
-    name = os.path.basename(path)
+    names = shared_files(df.sparkSession, list(once), [verdicts.index(v) for _, v in once.values()], [n for n, _ in once.values()])
     id_type = df.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, id_type), *(T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict"))])
 
     def judge(it):
-        index = DigestArray(SparkFiles.get(name))
-        lengths = [int(n) for n in index.lengths]
+        index = Shards([SparkFiles.get(name) for name in names])
         for batch in it:
             parts = [split_url(u) for u in batch.column(1).to_pylist()]
             owner, probes = [], []
             for i, (host, path) in enumerate(parts):
                 if not host:
                     continue
-                pieces = [n for n in lengths if n <= len(path)]
+                pieces = [n for n in index.lengths if n <= len(path)]
                 at = 0
                 while at >= 0:
                     suffix = host[at:]
@@ -121,14 +159,14 @@ def url_filter(df: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: str
                         probes.append((suffix + path[:n]).encode())
                     dot = host.find(".", at)
                     at = dot + 1 if dot >= 0 else -1
-            hits = index.probe(probes)
-            best: dict[int, tuple[int, int]] = {}
-            for j in np.flatnonzero(hits >= 0):
-                found = (len(probes[j].decode()), int(hits[j]))
-                if found > best.get(owner[j], (-1, -1)):
+            shard, hits = index.probe(probes)
+            best: dict[int, tuple[int, int, int]] = {}
+            for j in np.flatnonzero(hits >= 0).tolist():
+                found = (len(probes[j].decode()), int(shard[j]), int(hits[j]))
+                if found > best.get(owner[j], (-1, -1, -1)):
                     best[owner[j]] = found
-            rule = [index.stored(best[i][1]).decode() if i in best else None for i in range(len(parts))]
-            verdict = [verdicts[index.codes[best[i][1]]] if i in best else default for i in range(len(parts))]
+            rule = [index.arrays[best[i][1]].stored(best[i][2]).decode() if i in best else None for i in range(len(parts))]
+            verdict = [verdicts[index.arrays[best[i][1]].codes[best[i][2]]] if i in best else default for i in range(len(parts))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.string()) for x in ([h for h, _ in parts], [p for _, p in parts], rule, verdict))], names=[f.name for f in schema])
 
     return df.select(F.col(id_col), F.col(url_col).alias("_url")).mapInArrow(judge, schema)
