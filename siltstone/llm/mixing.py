@@ -1,16 +1,17 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling, with DataFrame expressions only.
 
-Every document gets the exponential key ``-ln(u) / weight`` (u from a digest of its id, so that reruns agree; the weight
-grows with the document's quality).  Within a source, documents sorted by their keys are a weighted sample without
+Every document gets the exponential key ``-ln(u) / weight`` (u from a digest of its id, so that reruns agree; the weight is
+that of the document's quality, from a table of weights by id, and 1 where that has none).  Within a source, documents sorted by their keys are a weighted sample without
 replacement of any length.  A source's target is first met by complete epochs; what remains is taken from the front of the
 sorted documents until the prefix sum of sizes reaches it, cutting the last document.
 
-No source is ever sorted in one task: keys fall into ``BUCKETS`` ranges, the sizes of (source, range) are pre-aggregated,
-and only the range that holds a source's cut is sorted.  What all rows are joined with is one row a source.
+No source is ever sorted in one task: keys fall into ranges, at least ``BUCKETS`` and one for each ``BUCKET_ROWS`` rows, the
+sizes of (source, range) are pre-aggregated and written, and only the range that holds a source's cut is sorted.  What all rows are joined with is one row a source.
 
 Defined results: a null text has size 0 and no words are taken from a document of size 0; a null source is a source of its
 own, last in the order; repeated rows of one id share one key and, at the cut, share what is taken; an empty table gives
-an empty result; other columns are ignored, whatever their names.
+an empty result; other columns are ignored, whatever their names; a weight that is null, not finite or not positive counts as
+1, and of several weights of one id the largest counts.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.shared import written
 
-BUCKETS = 1024
+BUCKETS, MAX_BUCKETS, BUCKET_ROWS = 1024, 1 << 20, 50_000
 #: One row a source is broadcast up to so many sources; beyond it the join is an ordinary one.
 MAX_BROADCAST = 100_000
+#: The same for the weights by id, of some 16 bytes each.
+MAX_WEIGHTS = 1_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -32,11 +35,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")), F.lit(0)).cast("long")
 
 
-def quality_weight(size: Column) -> Column:
-    """The default document weight: longer documents are likelier to be taken."""
-    return F.log(size.cast("double") + F.lit(2.0))
-
-
 def uniform(id_: Column, seed: int) -> Column:
     """A number strictly between 0 and 1 from the md5 of ``id:seed``."""
     digest = F.substring(F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 13)
@@ -60,19 +58,31 @@ def source_targets(sums: DataFrame, weights: Sequence[float], share: float, cap:
     return level.withColumn("_level", F.max("_level").over(whole)).withColumn("target", F.least(full, F.col("_w") * F.col("_level"))).drop("_w", "_level")
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, weight: Column | None) -> DataFrame:
+def weighed(rows: DataFrame, quality: DataFrame | None, id_col: str) -> DataFrame:
+    """Add ``_q``, the weight of each row's id in the table ``quality`` (id, weight), else 1."""
+    if quality is None:
+        return rows.withColumn("_q", F.lit(1.0))
+    id_, weight = (F.col(f"`{c}`") for c in quality.columns)
+    weight = weight.cast("double")
+    fine = quality.select(id_.alias("_qi"), weight.alias("_q")).where(id_.isNotNull() & (weight > 0) & (weight < float("inf")))
+    fine = written(fine.groupBy("_qi").agg(F.max("_q").alias("_q")), "mixing-weights")
+    fine = F.broadcast(fine) if fine.count() <= MAX_WEIGHTS else fine
+    return rows.join(fine, F.col(id_col) == F.col("_qi"), "left").withColumn("_q", F.coalesce("_q", F.lit(1.0))).drop("_qi")
+
+
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, quality: DataFrame | None) -> DataFrame:
     """doc_id, source, size and key of every row."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *([] if weight is None else [weight.cast("double").alias("_q")]))
-    quality = quality_weight(F.col("size")) if weight is None else F.greatest(F.coalesce(F.col("_q"), F.lit(1.0)), F.lit(1e-6))
-    return base.select("doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"), seed)) / quality).alias("key"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    return weighed(base, quality, "doc_id").select("doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"), seed)) / F.col("_q")).alias("key"))
 
 
 def mixing_plan(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """One row a source: its size, target, complete epochs, and where its sorted documents are cut (key, id, words, size there)."""
-    scale = rows.agg(F.coalesce(F.avg("key"), F.lit(1.0))).first()[0] or 1.0  # only spreads the keys over the ranges
-    bucket = F.least(F.floor((1 - F.exp(-F.col("key") / F.lit(float(scale)))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+    scale, n = rows.agg(F.avg("key"), F.count("*")).first()
+    scale, buckets = scale or 1.0, min(MAX_BUCKETS, max(BUCKETS, n // BUCKET_ROWS))  # the scale only spreads the keys over the ranges
+    bucket = F.least(F.floor((1 - F.exp(-F.col("key") / F.lit(float(scale)))) * buckets), F.lit(buckets - 1)).cast("int")
     rows = rows.withColumn("_b", bucket)
-    hist = rows.groupBy("source", "_b").agg(F.sum("size").alias("_n"))
+    hist = written(rows.groupBy("source", "_b").agg(F.sum("size").alias("_n")), "mixing-sizes")
     sums = hist.groupBy("source").agg(F.sum("_n").alias("source_size"))
     budget = F.floor(F.col("target")).cast("long")
     plan = source_targets(sums, weights, share, cap).withColumn("_epochs", F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0)).cast("long"))
@@ -103,18 +113,18 @@ def with_taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return both.withColumn("taken", taken).drop("_s", "_epochs", "_key", "_id", "_part", "_all")
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, weight: Column | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, quality: DataFrame | None = None) -> DataFrame:
     """doc_id, size, source_size, target and taken (words of the document in the mix, repeats counted) of every row."""
-    rows = written(sized(docs, id_col, text_col, source_col, seed, weight), "mixing")
+    rows = written(sized(docs, id_col, text_col, source_col, seed, quality), "mixing")
     return with_taken(rows, mixing_plan(rows, weights, share, cap)).select(F.col("doc_id").alias(id_col), "size", "source_size", "target", "taken")
 
 
-def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, quality: DataFrame | None = None) -> DataFrame:
     """The mix itself: a row for each complete copy, and one cut after its last word taken where a source's target ends."""
-    rows = written(sized(docs, id_col, text_col, source_col, seed, None), "mixing")
+    rows = written(sized(docs, id_col, text_col, source_col, seed, quality), "mixing")
     plan = mixing_plan(rows, weights, share, cap)
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("_text"))
-    keyed = keyed.withColumn("size", word_count(F.col("_text"))).withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("size")))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"))
+    keyed = weighed(keyed, quality, "doc_id").withColumn("_text", F.col("_row").getField(text_col)).withColumn("size", word_count(F.col("_text"))).withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("_q"))
     copies = F.expr("transform(sequence(1L, (taken + size - 1) div size), i -> least(size, taken - (i - 1) * size))")
     out = with_taken(keyed, plan).where("taken > 0").withColumn("_words", F.explode(copies))
     words = F.expr("array_join(slice(array_remove(split(_text, '[\\\\x20\\\\x09-\\\\x0D]+'), ''), 1, cast(_words as int)), ' ')")
@@ -122,12 +132,13 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share
     return out.select(*[text.alias(c) if c == text_col else (F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("_row").getField(c).alias(c)) for c in docs.columns])
 
 
-#: DuckDB SQL for the rows of :func:`mix_sources` with its defaults.
+#: DuckDB SQL for the rows of :func:`mix_sources` with its defaults, and the weights 2 and 0.5 of labelled documents of quality 1 and 0.
 SQL = """
-WITH d AS (
+WITH q AS (SELECT doc_id, max(CASE WHEN quality > 0 THEN 2.0 ELSE 0.5 END :: DOUBLE) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
 k AS (
-  SELECT *, -ln((CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':17'), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0) / ln(CAST(size AS DOUBLE) + 2.0) AS key FROM d),
+  SELECT *, -ln((CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':17'), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0) / coalesce(q.q, 1.0::DOUBLE) AS key FROM d LEFT JOIN q USING (doc_id)),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END :: DOUBLE AS w FROM d GROUP BY source),
 l AS (

@@ -72,8 +72,13 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def quality_weights(labels: DataFrame) -> DataFrame:
+    """doc_id and weight of the documents whose quality is known: good ones are four times as likely as others to be drawn next."""
+    return labels.where("quality is not null").select("doc_id", F.when(F.col("quality") > 0, 2.0).otherwise(0.5).alias("weight"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), quality=quality_weights(table(spark, sf_dir, "labels")))
 
 
 def op10_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
