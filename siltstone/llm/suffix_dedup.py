@@ -14,7 +14,7 @@ cover of this period.  Windows are told apart by what lies before their cover po
    ranks, cut to the bucket's depth, and the earliest place of every class of equal windows is found.
 3. Splits are told, a bit a window, whether an earlier place exists, and remove what these windows cover.
 
-Comparisons are on bytes; hashes only choose candidates (and find equal strings within a split, by 64 bits and lengths).  A core
+Comparisons are on bytes: hashes (of 48 bits) only choose candidates, and strings of a split that share one are compared.  A core
 with more than ``HOT`` places is cut into finer cores, which spread over the shards.  No document, passage or group is
 gathered in one task, and nothing but numbers reaches the driver.
 
@@ -126,6 +126,8 @@ class Split:
         text = mix64(self.hashed(self.at - self.high, self.at + LENGTH - self.low) + (self.low * 128 + self.high).astype(np.uint64)) ^ mix64(self.core)
         order = np.lexsort((self.at, text))
         new = np.concatenate(([True], text[order][1:] != text[order][:-1])) if len(order) else np.empty(0, bool)
+        old = np.flatnonzero(~new)
+        new[old] = ~self._equal(order[old], order[old - 1])
         self.first = order[new]  # the earliest place of each string
         self.member = np.empty(len(order), np.int64)
         self.member[order] = np.cumsum(new) - 1
@@ -134,6 +136,15 @@ class Split:
         back[rank] = np.arange(len(rank))
         self.first, self.member = self.first[rank], back[self.member]
 
+    def _equal(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the strings of two units, and the places of the cover positions in them, are equal."""
+        out = (self.low[x] == self.low[y]) & (self.high[x] == self.high[y])
+        a, b, size = self.at[x] - self.high[x], self.at[y] - self.high[y], LENGTH - self.low[x] + self.high[x]
+        for k in range(int(size.max()) if len(size) else 0):
+            on = np.flatnonzero(out & (size > k))
+            out[on] = self.data[a[on] + k] == self.data[b[on] + k]
+        return out
+
     def place(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id, offset) of positions."""
         row = np.searchsorted(self.starts, at, side="right") - 1

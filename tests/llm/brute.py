@@ -108,3 +108,21 @@ def kneser_ney(rows):
         w = [*words(t), "END"]
         out[i] = (len(w), sum(tokens[x] > 0 for x in w), n, sum(math.log10((tokens[x] + 1) / (n + vocabulary + 1)) for x in w), sum(math.log10(p(u, v)) for u, v in zip(["START", *w], w, strict=False)))
     return out
+
+
+def subsequence_kernel(x, y, span, decay):
+    """Sum over all subsequences of three bytes that both words hold, each weighted by its spans in both, over the words' norms."""
+
+    def spread(word):
+        w, out = b" " + word.translate(LOWER) + b" ", defaultdict(float)
+        for i in range(len(w)):
+            for k in range(i + 2, min(len(w), i + span + 1)):
+                for j in range(i + 1, k):
+                    out[w[i], w[j], w[k]] += decay ** (k - i)
+        return out
+
+    def norm(word):
+        return math.sqrt(sum(max(len(word) + 2 - h, 0) * (h - 1) * decay ** (2 * h) for h in range(2, span + 1)))
+
+    a, b = spread(x), spread(y)
+    return sum(v * b[k] for k, v in a.items() if k in b) / (norm(x) * norm(y))

@@ -67,6 +67,19 @@ def test_digests_that_collide_are_told_apart(tmp_path):
     assert [index.stored(i) if i >= 0 else None for i in index.probe([b"bb", b"zz", b"ccc", b"aa", b"d"], key=same)] == [b"bb", None, b"ccc", b"aa", None]
 
 
+def test_url_rules_in_many_files(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "SHARD", 7)
+    rules = [(f"h{i}.org", "/a/" if i % 2 else "", f"v{i % 3}") for i in range(60)] + [("h3.org", "/a/", "last")]
+    df = spark.createDataFrame([(i, f"http://www.h{i}.org/a/b") for i in range(80)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.url_filter(df, rules).collect()}
+    want = {i: (f"h{i}.org" + ("/a/" if i % 2 else ""), f"v{i % 3}") if i < 60 else (None, "allow") for i in range(80)}
+    assert got == want | {3: ("h3.org/a/", "last")}
+    assert len(url_filter.shared_files(spark, ["a"] * 9, [0] * 9, [0] * 9)) == 2
+    for bad in (("a/b", "/", "x"), ("a", "b", "x")):
+        with pytest.raises(ValueError, match="isn't a host and a path"):
+            url_filter.url_filter(df, [bad])
+
+
 def test_near_duplicates(spark, rows):
     docs = make_docs(spark, rows + [(None, "n n n n n n")])
     got = [r for r in near_dup.near_duplicates(docs).collect()]
@@ -195,6 +208,19 @@ def test_mixing(spark, rows):
     assert len(twice) == 2 * len(got) and all(r.taken <= 2 * r["size"] for r in twice)
 
 
+def test_mixing_prefers_quality(spark):
+    rows = [(i, "w " * 10) for i in range(600)]
+    docs = make_docs(spark, rows, ["s"] * 600)
+    quality = spark.createDataFrame([(i, 20.0 if i % 2 else 0.05) for i in range(600)] + [(1, 0.01), (None, 9.0), (2, -1.0), (4, None)], "doc_id long, weight double")
+    taken = {r.doc_id: r.taken for r in mixing.mix_sources(docs, share=0.5, quality=quality).collect()}
+    good, bad = (sum(t for i, t in taken.items() if i % 2 == k) for k in (1, 0))
+    assert good + bad == 3000 and good > 0.9 * 3000
+    plain = {r.doc_id: r.taken for r in mixing.mix_sources(docs, share=0.5).collect()}
+    assert 0.4 < sum(t for i, t in plain.items() if i % 2) / 3000 < 0.6
+    mixed = mixing.mixed_documents(docs, share=0.5, quality=quality).collect()
+    assert sorted(r.doc_id for r in mixed) == sorted(i for i, t in taken.items() if t)
+
+
 def test_packing(spark, rows):
     from tokenizers import Tokenizer
 
@@ -432,6 +458,17 @@ def test_collapsed_weights_equal_the_kernel():
     assert np.allclose(toxicity.word_margins(data, k.spread(k.one(0)))[2], gram[:, 0], atol=1e-5)
 
 
+def test_kernel_against_all_subsequences():
+    words = [b"grubface", b"grub*face", b"gr-u-bf-ace", b"Dolt", b"dolt", b"a", b"face", "\u00e9t\u00e9s".encode(), b"grubfacegrubface"]
+    gram = np.array([[brute.subsequence_kernel(x, y, toxicity.SPAN, toxicity.DECAY) for y in words] for x in words])
+    k = toxicity._Kernel(words)
+    assert np.allclose(np.array([k.against(k.one(j)) for j in range(len(words))]), gram, atol=1e-5)
+    data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
+    for j in range(len(words)):
+        assert np.allclose(toxicity.word_margins(data, k.spread(k.one(j)))[2], gram[j], atol=1e-5)
+    assert gram[3, 3] == gram[3, 4] and gram[0, 1] > 0.6 > 0.2 > gram[0, 3]  # an inserted character costs little
+
+
 def test_toxicity_query_paths(spark):
     texts, toxic = toxic_corpus(3, 200)
     rows = list(enumerate(texts)) + [(900, None), (901, ""), (902, "grubface " * 20_000)]
