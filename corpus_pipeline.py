@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import mixing, near_dup, packing, suffix_dedup, toxicity
-from siltstone.llm.registry import table, tokenizer_path, toxicity_model
+from siltstone.llm.registry import quality_weights, table, tokenizer_path, toxicity_model
 from siltstone.llm.shared import written
 
 
@@ -28,7 +28,7 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_documents(docs)
+    return mixing.mixed_documents(docs, quality=quality_weights(table(spark, sf_dir, "labels")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
