@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators.metrics import rank_auc
+from siltstone.operators.prefix import numbered
 
 #: Domains from best to worst.
 DOMAINS = ("in_domain", "borderline", "out_of_domain")
@@ -24,9 +25,10 @@ def consolidated(df: DataFrame, keys: Sequence[str], score: str, distance: str,
 
 def uncertainty_summary(rows: DataFrame, share: float = 0.95) -> DataFrame:
     """Records by domain, mean disagreement and its value at place ``floor(share * n)`` of the sorted ones."""
+    ranked = numbered(rows, ["disagreement"], "_r")
     n = rows.agg(F.count("*").alias("_n"))
-    ranked = rows.withColumn("_r", F.row_number().over(Window.orderBy("disagreement"))).crossJoin(F.broadcast(n))  # one row
-    at = F.least(F.floor(F.col("_n") * share), F.col("_n") - 1) + 1
+    ranked = ranked.crossJoin(F.broadcast(n))  # one row
+    at = F.least(F.floor(F.col("_n") * share), F.col("_n") - 1)
     counts = [F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS]
     return ranked.agg(F.count("*").alias("records"), *counts, F.avg("disagreement").alias("mean_disagreement"), F.max(F.when(F.col("_r") == at, F.col("disagreement"))).alias("high_disagreement"))
 

@@ -75,10 +75,11 @@ def reliability(df: DataFrame, groups: Groups, label: str, score: str, bins: int
 
 
 def calibration_error(df: DataFrame, groups: Groups, label: str, score: str, bins: int = 10, last_closed: bool = True) -> DataFrame:
-    """Brier score and expected calibration error."""
-    parts = df.withColumn("_b", bin_of(F.col(score), bins, last_closed)).groupBy(*groups, "_b").agg(F.count("*").alias("_n"), F.sum(score).alias("_s"), F.sum(label).alias("_l"), F.sum(F.pow(F.col(score) - F.col(label), 2)).alias("_q"))
+    """Brier score and expected calibration error.  Sums are decimal, so that they don't depend on the order of the rows."""
+    exact = lambda c: F.sum(c.cast("decimal(38,18)")).cast("double")
+    parts = df.withColumn("_b", bin_of(F.col(score), bins, last_closed)).groupBy(*groups, "_b").agg(F.count("*").alias("_n"), exact(F.col(score)).alias("_s"), F.sum(label).alias("_l"), F.sum(F.pow(F.col(score) - F.col(label), 2).cast("decimal(38,18)")).alias("_q"))
     gap = F.when(F.col("_b").isNotNull(), F.abs(F.col("_s") - F.col("_l"))).otherwise(0.0)
-    return parts.groupBy(*groups).agg(F.sum("_n").alias("n"), (F.sum("_q") / F.sum("_n")).alias("brier"), (F.sum(gap) / F.sum("_n")).alias("ece"))
+    return parts.groupBy(*groups).agg(F.sum("_n").alias("n"), (F.sum("_q").cast("double") / F.sum("_n")).alias("brier"), (F.sum(gap) / F.sum("_n")).alias("ece"))
 
 
 def calibration_at(df: DataFrame, groups: Groups, label: str, score: str, threshold: float, least: int = 20) -> DataFrame:

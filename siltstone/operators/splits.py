@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.prefix import numbered
+
 
 def hash_order(seed: object, *cols: str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]), 256)
@@ -40,16 +42,15 @@ def calibration_split(df: DataFrame, strata: Sequence[str], record: str, share:
 def grouped_folds(df: DataFrame, group: str, folds: int, seed: int = 0) -> DataFrame:
     """``fold`` of every row: whole groups, the largest first, dealt in turn."""
     sizes = df.groupBy(group).agg(F.count("*").alias("_size"))
-    order = Window.orderBy(F.col("_size").desc(), F.sha1(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string"))), group)
-    return df.join(sizes.withColumn("fold", (F.row_number().over(order) - 1) % folds).drop("_size"), group)
+    order = [F.col("_size").desc(), F.sha1(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string"))), F.col(group)]
+    return df.join(numbered(sizes, order, "_at").withColumn("fold", (F.col("_at") % folds).cast("int")).drop("_size", "_at"), group)
 
 
 def cumulative_split(df: DataFrame, group: str, test_rows: int, seed: int = 0) -> DataFrame:
     """``part``: test for whole groups, the smallest first, until they hold the rows asked for (the group that crosses is in)."""
     sizes = df.groupBy(group).agg(F.count("*").alias("_size"))
-    order = Window.orderBy("_size", hash_order(seed, group), group).rowsBetween(Window.unboundedPreceding, -1)
-    parts = sizes.withColumn("part", F.when(F.coalesce(F.sum("_size").over(order), F.lit(0)) < test_rows, "test").otherwise("train"))
-    return df.join(parts.drop("_size"), group)
+    placed = numbered(sizes, [F.col("_size"), hash_order(seed, group), F.col(group)], "_at", "_size", "_before")
+    return df.join(placed.withColumn("part", F.when(F.col("_before") < test_rows, "test").otherwise("train")).drop("_size", "_at", "_before"), group)
 
 
 def fraction_split(df: DataFrame, record: str, train: float = 0.7, validation: float = 0.15, seed: int = 0) -> DataFrame:

@@ -35,6 +35,15 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def settled(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded half up in decimals, without what lies beyond the twelfth digit: sums of doubles differ there by their order."""
+    return df.select(*[F.round(F.col(c).cast("decimal(30,12)"), digits).cast("double").alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def settled_sql(value: str, digits: int = 6) -> str:
+    return f"CAST(round(CAST({value} AS DECIMAL(30, 12)), {digits}) AS DOUBLE)"
+
+
 def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with labels: record, source, label and a score in [0, 1) from the text's length."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
@@ -285,9 +294,9 @@ def reliability_bins(spark, sf_dir):
     return rounded(metrics.reliability(labeled(spark, sf_dir), ["lang"], "label", "score"))
 
 
-@query(LABELED + f", b AS (SELECT source, {BINS} AS b, count(*) AS n, sum(score) AS s, sum(label) AS y, sum(pow(score - label, 2)) AS q FROM l GROUP BY ALL) SELECT source, sum(n)::BIGINT AS n, round(sum(q) / sum(n), 6) AS brier, round(sum(abs(s - y)) / sum(n), 6) AS ece FROM b GROUP BY source")
+@query(LABELED + f", b AS (SELECT source, {BINS} AS b, count(*) AS n, CAST(sum(CAST(score AS DECIMAL(38, 18))) AS DOUBLE) AS s, sum(label) AS y, sum(CAST(pow(score - label, 2) AS DECIMAL(38, 18))) AS q FROM l GROUP BY ALL) SELECT source, sum(n)::BIGINT AS n, {settled_sql('sum(q)::DOUBLE / sum(n)')} AS brier, {settled_sql('sum(abs(s - y)) / sum(n)')} AS ece FROM b GROUP BY source")
 def brier_ece(spark, sf_dir):
-    return rounded(metrics.calibration_error(labeled(spark, sf_dir), ["source"], "label", "score"))
+    return settled(metrics.calibration_error(labeled(spark, sf_dir), ["source"], "label", "score"))
 
 
 @query(LABELED + "SELECT source, count(*) AS n, count(*) < 20 AS abstain, CASE WHEN count(*) >= 20 THEN round(avg(CAST(score >= 0.5 AS INT)), 6) END AS predicted_positive, CASE WHEN count(*) >= 20 THEN round(avg(CASE WHEN score >= 0.5 THEN label END), 6) END AS observed_positive FROM l GROUP BY source")

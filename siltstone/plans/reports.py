@@ -87,10 +87,10 @@ def array_summaries(spark, sf_dir):
     return rounded(table(spark, sf_dir, "embeddings").select("vec_id", *reporting.array_summary(F.col("embedding"), 0.05)))
 
 
-@query("WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), p AS (SELECT a.vec_id, a.label, b.label AS guess, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) AS n FROM v a JOIN v b ON a.vec_id % 25 = 0 AND a.vec_id <> b.vec_id) SELECT label, count(*) AS n, round(avg(CAST(label = guess AS INT)), 6) AS accuracy FROM p WHERE n = 1 GROUP BY label")
+@query("WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), p AS (SELECT a.vec_id, a.label, b.label AS guess, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) AS n FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) SELECT label, count(*) AS n, round(avg(CAST(label = guess AS INT)), 6) AS accuracy FROM p WHERE n = 1 GROUP BY label")
 def nearest_copy_accuracy(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    near = overlap.knn(v.where(F.pmod("vec_id", F.lit(25)) == 0), v, "vec_id", "embedding", 1)
+    near = overlap.knn(v.where(F.pmod("vec_id", F.lit(20)) == 0), v, "vec_id", "embedding", 1)
     own, other = v.select(F.col("vec_id").alias("query_id"), "label"), v.select(F.col("vec_id").alias("neighbour_id"), F.col("label").alias("guess"))
     both = near.join(own, "query_id").join(other, "neighbour_id")
     return rounded(both.groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("guess")).cast("int")).alias("accuracy")))
@@ -127,14 +127,14 @@ def json_property_means(spark, sf_dir):
     return rounded(e.groupBy("k").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value")))
 
 
-CHAIN = "SELECT p_partkey, 'QV' || 'C' || s || 'WV' || s || 'C' || substr(s, 1, 9) || 'WGQG' AS vh FROM (SELECT p_partkey, substr(regexp_replace(upper(p_name || p_type), '[^A-Z]', '', 'g'), 1, 12) AS s FROM part)"
+CHAIN = "SELECT p_partkey, 'QV' || 'C' || substr(s, 1, 12) || 'WV' || s || 'C' || s || 'WGQG' AS vh FROM (SELECT p_partkey, regexp_replace(upper(p_name || p_type), '[^A-Z]', '', 'g') AS s FROM part)"
 
 
 @query(f"SELECT p_partkey, regexp_extract(substr(vh, 1, 80), 'C([A-Z]{{5,18}})W[IV]', 1) AS first_loop, regexp_extract(vh, 'C([A-Z]{{3,40}})WG.G', 1) AS third_loop, substr(sha256(substr(vh, 1, 3) || substr(vh, 20, 5)), 1, 16) AS framework FROM ({CHAIN})")
 def heavy_loops(spark, sf_dir):
-    s = F.substring(F.regexp_replace(F.upper(F.concat("p_name", "p_type")), "[^A-Z]", ""), 1, 12)
+    s = F.regexp_replace(F.upper(F.concat("p_name", "p_type")), "[^A-Z]", "")
     rows = table(spark, sf_dir, "part").select("p_partkey", s.alias("s"))
-    rows = rows.select("p_partkey", F.concat(F.lit("QVC"), "s", F.lit("WV"), "s", F.lit("C"), F.substring("s", 1, 9), F.lit("WGQG")).alias("vh"))
+    rows = rows.select("p_partkey", F.concat(F.lit("QVC"), F.substring("s", 1, 12), F.lit("WV"), "s", F.lit("C"), "s", F.lit("WGQG")).alias("vh"))
     first, third = Q.heavy_loops(F.col("vh"))
     return rows.select("p_partkey", first.alias("first_loop"), third.alias("third_loop"), F.substring(F.sha2(F.concat(F.substring("vh", 1, 3), F.substring("vh", 20, 5)), 256), 1, 16).alias("framework"))
 
@@ -155,18 +155,9 @@ def median_labels(spark, sf_dir):
 WEIGHTS = [i / 10 for i in range(11)]
 
 
-@query(spearman_sql("SELECT w, l_extendedprice AS x, w * l_quantity + (1 - w) * 50 * l_tax * 10 AS y FROM lineitem, (SELECT unnest([" + ", ".join(f"{w}::DOUBLE" for w in WEIGHTS) + "]) AS w) WHERE l_linenumber = 1", "w"))
-def blend_weights(spark, sf_dir):
-    return blended(table(spark, sf_dir, "lineitem").where("l_linenumber = 1"))
-
-
 @query(spearman_sql("SELECT w, l_extendedprice AS x, w * l_quantity + (1 - w) * 50 * l_tax * 10 AS y FROM lineitem, (SELECT unnest([" + ", ".join(f"{w}::DOUBLE" for w in WEIGHTS) + "]) AS w)", "w"))
-def blend_weights_whole(spark, sf_dir):
-    return blended(table(spark, sf_dir, "lineitem"))
-
-
-def blended(rows):
-    rows = rows.withColumn("w", F.explode(F.array(*[F.lit(w) for w in WEIGHTS])))
+def blend_weights(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("w", F.explode(F.array(*[F.lit(w) for w in WEIGHTS])))
     rows = rows.withColumn("y", F.col("w") * F.col("l_quantity") + (1 - F.col("w")) * 50 * F.col("l_tax") * 10)
     return rounded(metrics.spearman(rows, ["w"], "l_extendedprice", "y"))
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from siltstone.functions import scales as S
 from siltstone.functions import sequence as Q
 from siltstone.operators import evaluation, graph, learners, overlap, resample, splits
-from siltstone.plans.core import LABELED, labeled, query, rounded, spearman_sql, table
+from siltstone.plans.core import LABELED, labeled, query, rounded, settled, settled_sql, spearman_sql, table
 from siltstone.streaming.feedback import windowed_counts
 
 
@@ -94,10 +96,10 @@ def places(spark, sf_dir):
 HAVERSINE = "2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
 
 
-@query(f"WITH p AS ({PLACES}), d AS (SELECT a.c_custkey AS a_id, b.c_custkey AS b_id, {HAVERSINE} AS km FROM p a JOIN p b ON a.c_custkey <> b.c_custkey AND b.c_custkey % 3 = 0) SELECT a_id, round(min(km), 4) AS nearest_km, count(DISTINCT b_id) AS neighbours FROM d WHERE km <= 300 GROUP BY a_id")
+@query(f"WITH p AS ({PLACES}), d AS (SELECT a.c_custkey AS a_id, b.c_custkey AS b_id, {HAVERSINE} AS km FROM p a JOIN p b ON a.c_custkey <> b.c_custkey) SELECT a_id, round(min(km), 4) AS nearest_km, count(DISTINCT b_id) AS neighbours FROM d WHERE km <= 300 GROUP BY a_id")
 def haversine_radius_join(spark, sf_dir):
     p = places(spark, sf_dir)
-    out = overlap.within_radius(p, p.where(F.pmod("c_custkey", F.lit(3)) == 0), "c_custkey", "lat", "lon", 300.0)
+    out = overlap.within_radius(p, p, "c_custkey", "lat", "lon", 300.0)
     return out.select("a_id", F.round("nearest_km", 4).alias("nearest_km"), "neighbours")
 
 
@@ -251,11 +253,11 @@ def sequence_diff(spark, sf_dir):
     return rounded(both.select("p_partkey", Q.positional_identity(F.col("p_name"), F.col("other")).cast("double").alias("identity"), F.when(d.isNotNull(), F.size(d)).alias("differences")))
 
 
-@query("""WITH q AS (SELECT r_regionkey, r_name AS s FROM region) SELECT r_regionkey, CAST(i AS INT) AS pos, a AS new, overlay_ AS variant FROM (SELECT r_regionkey, i, a, substr(s, 1, CAST(i AS INT) - 1) || a || substr(s, CAST(i AS INT) + 1) AS overlay_, substr(s, CAST(i AS INT), 1) AS old FROM (SELECT r_regionkey, s, unnest(range(1, length(s) + 1)) AS i FROM q), (SELECT unnest(string_split('A C D E F G H I K L M N P Q R S T V W Y', ' ')) AS a)) WHERE a <> old""")
+@query("""WITH q AS (SELECT s_suppkey, s_name AS s FROM supplier) SELECT s_suppkey, CAST(i AS INT) AS pos, a AS new, overlay_ AS variant FROM (SELECT s_suppkey, i, a, substr(s, 1, CAST(i AS INT) - 1) || a || substr(s, CAST(i AS INT) + 1) AS overlay_, substr(s, CAST(i AS INT), 1) AS old FROM (SELECT s_suppkey, s, unnest(range(1, length(s) + 1)) AS i FROM q), (SELECT unnest(string_split('A C D E F G H I K L M N P Q R S T V W Y', ' ')) AS a)) WHERE a <> old""")
 def single_substitutions(spark, sf_dir):
-    q = table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("s"), F.explode(F.sequence(F.lit(1), F.length("r_name"))).alias("pos"))
+    q = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("s"), F.explode(F.sequence(F.lit(1), F.length("s_name"))).alias("pos"))
     q = q.withColumn("new", F.explode(F.array(*[F.lit(a) for a in S.ALPHABET]))).where(F.substring("s", F.col("pos"), F.lit(1)) != F.col("new"))
-    return q.select("r_regionkey", "pos", "new", F.overlay("s", "new", F.col("pos")).alias("variant"))
+    return q.select("s_suppkey", "pos", "new", F.overlay("s", "new", F.col("pos")).alias("variant"))
 
 
 MUTANT = "SELECT p_partkey, upper(p_name) AS parent, upper(substr(p_name, 2, 1)) || '2' || 'W;' || upper(substr(p_name, 1, 1)) || '1Y;x' AS m FROM part"
@@ -268,35 +270,17 @@ def apply_substitutions(spark, sf_dir):
     return m.select("p_partkey", Q.substituted(F.col("parent"), Q.substitutions(F.col("m"))).alias("variant"))
 
 
-@query("""WITH k AS (SELECT p_partkey AS id, list_distinct(list_transform(range(1, length(p_name) - 2), lambda i: substr(p_name, CAST(i AS INT), 4))) AS g FROM part WHERE length(p_name) >= 4 AND p_size <= 3)
-SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::DOUBLE, 6) AS jaccard FROM k a JOIN k b ON a.id < b.id WHERE len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::DOUBLE >= 0.6""")
-def kmer_jaccard_pairs(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").where("p_size <= 3").select("p_partkey", "p_name")
-    return rounded(graph.kmer_pairs(rows, "p_partkey", "p_name", 4, 0.6))
-
-
 @query("""WITH k AS (SELECT p_partkey AS id, list_distinct(list_transform(range(1, length(p_name) - 2), lambda i: substr(p_name, CAST(i AS INT), 4))) AS g FROM part WHERE length(p_name) >= 4)
 SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::DOUBLE, 6) AS jaccard FROM k a JOIN k b ON a.id < b.id WHERE len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::DOUBLE >= 0.6""")
-def kmer_jaccard_pairs_whole(spark, sf_dir):
+def kmer_jaccard_pairs(spark, sf_dir):
     return rounded(graph.kmer_pairs(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", 4, 0.6))
 
 
-@query("""WITH RECURSIVE n AS (SELECT o_orderkey AS i, o_custkey AS c FROM orders WHERE o_custkey % 7 = 0), k AS (SELECT DISTINCT c FROM n),
-e AS (SELECT c AS a, CASE WHEN c % 3 = 0 THEN c ELSE c - 7 END AS b FROM k), b AS (SELECT a, b FROM e WHERE b IN (SELECT c FROM k) UNION SELECT b, a FROM e WHERE b IN (SELECT c FROM k)),
-r(x, y) AS (SELECT c, c FROM k UNION SELECT r.x, b.b FROM r JOIN b ON r.y = b.a) SELECT x AS node, min(y) AS component FROM r GROUP BY x""")
-def identity_components(spark, sf_dir):
-    return customer_components(table(spark, sf_dir, "orders").where("o_custkey % 7 = 0"))
-
-
 @query("""WITH RECURSIVE k AS (SELECT DISTINCT o_custkey AS c FROM orders),
 e AS (SELECT c AS a, CASE WHEN c % 3 = 0 THEN c ELSE c - 7 END AS b FROM k), b AS (SELECT a, b FROM e WHERE b IN (SELECT c FROM k) UNION SELECT b, a FROM e WHERE b IN (SELECT c FROM k)),
 r(x, y) AS (SELECT c, c FROM k UNION SELECT r.x, b.b FROM r JOIN b ON r.y = b.a) SELECT x AS node, min(y) AS component FROM r GROUP BY x""")
-def identity_components_whole(spark, sf_dir):
-    return customer_components(table(spark, sf_dir, "orders"))
-
-
-def customer_components(orders):
-    k = orders.select(F.col("o_custkey").alias("node")).distinct()
+def identity_components(spark, sf_dir):
+    k = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("node")).distinct()
     edges = k.select(F.col("node").alias("a"), F.when(F.col("node") % 3 == 0, F.col("node")).otherwise(F.col("node") - 7).alias("b"))
     edges = edges.join(k.select(F.col("node").alias("b")), "b", "left_semi")
     return graph.components(k, "node", edges)
@@ -339,9 +323,9 @@ def seeds(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_type", "user_id", (F.col("value") / 100.0).alias("score"), F.abs("value").alias("far"), domain.alias("domain"), F.concat(F.lit("s"), (i % 3).cast("string")).alias("source"), i.alias("event_id"))
 
 
-@query(CONSOLIDATED + "SELECT event_type, user_id, seeds, round(score, 6) AS score, round(disagreement, 6) AS disagreement, round(distance, 6) AS distance, sources, domain, domain = 'out_of_domain' AS abstain FROM c")
+@query(CONSOLIDATED + "SELECT event_type, user_id, seeds, " + ", ".join(f"{settled_sql(c)} AS {c}" for c in ("score", "disagreement", "distance")) + ", sources, domain, domain = 'out_of_domain' AS abstain FROM c")
 def seed_consolidation(spark, sf_dir):
-    return rounded(evaluation.consolidated(seeds(spark, sf_dir), ["event_type", "user_id"], "score", "far", "domain", "source"))
+    return settled(evaluation.consolidated(seeds(spark, sf_dir), ["event_type", "user_id"], "score", "far", "domain", "source"))
 
 
 @query(CONSOLIDATED + ", r AS (SELECT *, row_number() OVER (ORDER BY disagreement) AS n, count(*) OVER () AS c FROM c) SELECT count(*) AS records, count(*) FILTER (domain = 'in_domain') AS in_domain, count(*) FILTER (domain = 'borderline') AS borderline, count(*) FILTER (domain = 'out_of_domain') AS out_of_domain, round(avg(disagreement), 6) AS mean_disagreement, round(max(CASE WHEN n = least(floor(c * 0.95::DOUBLE), c - 1) + 1 THEN disagreement END), 6) AS high_disagreement FROM r")
@@ -413,13 +397,27 @@ def quantile_bands(spark, sf_dir):
     return rows.groupBy("band").agg(F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
 
 
-@query(None)
+def poisson_sql(*key: str) -> str:
+    """How often a draw takes a row: resample.times of resample.uniform."""
+    cuts, total, term = [], 0.0, math.exp(-1)
+    for k in range(12):
+        total += term
+        cuts.append(f"{total!r}::DOUBLE")
+        term /= k + 1
+    return f"len(list_filter([{', '.join(cuts)}], lambda c: c <= CAST('0x' || substr(md5({" || '|' || ".join(key)}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE))"
+
+
+@query(f"""WITH g AS (SELECT o_custkey AS g, sum(o_totalprice) AS a, count(*)::DOUBLE AS b FROM orders GROUP BY 1), t AS (SELECT d, a, b, {poisson_sql("'0'", "d", "g")} AS k FROM g, (SELECT unnest(range(200)) AS d)),
+v AS (SELECT d, sum(a * k) / sum(b * k) AS v FROM t GROUP BY d), r AS (SELECT v, row_number() OVER (ORDER BY v) AS n FROM v)
+SELECT round((SELECT sum(a) / sum(b) FROM g), 4) AS point, round(max(v) FILTER (n = 6), 4) AS low, round(max(v) FILTER (n = 196), 4) AS high, count(*) AS draws FROM r""")
 def group_bootstrap_ci(spark, sf_dir):
     rows = table(spark, sf_dir, "orders")
-    return rounded(resample.group_bootstrap(rows, "o_custkey", F.col("o_totalprice"), F.lit(1.0)))
+    return rounded(resample.group_bootstrap(rows, "o_custkey", F.col("o_totalprice"), F.lit(1.0)), 4)
 
 
-@query(None)
+@query(LABELED + """, r AS (SELECT doc_id, label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS r FROM l), s AS (SELECT sum(label) AS p, count(*) AS n, sum(label * r) AS s FROM r),
+d AS (SELECT d, r, row_number() OVER (PARTITION BY d ORDER BY md5('0|' || d || '|' || doc_id), doc_id) AS k FROM r, (SELECT unnest(range(1, 101)) AS d)), z AS (SELECT d, sum(r) AS v FROM d, s WHERE k <= s.p GROUP BY d)
+SELECT round(any_value((s.s - s.p * (s.p + 1) / 2) / (s.p * (s.n - s.p))), 6) AS auc, round(avg((v - s.p * (s.p + 1) / 2) / (s.p * (s.n - s.p))), 6) AS null_mean, round((count(*) FILTER (v >= s.s) + 1) / 101.0::DOUBLE, 6) AS p FROM z, s""")
 def permutation_test(spark, sf_dir):
     return rounded(resample.permutation_p(labeled(spark, sf_dir), "label", "score", "doc_id"))
 
@@ -442,7 +440,7 @@ def cross_measure_spearman(spark, sf_dir):
     return rounded(metrics.spearman(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice"))
 
 
-@query(None)
+@query(LABELED + ", b AS (SELECT ntile(10) OVER (ORDER BY score, label) AS bin, score, label::DOUBLE AS y FROM l), p AS (SELECT CAST(bin AS INT) AS bin, count(*) AS n, avg(score) AS x, avg(y) AS y FROM b GROUP BY 1) SELECT bin, n, round(x, 6) AS x, round(y, 6) AS y, round(max(y) OVER (ORDER BY bin), 6) AS monotone_y FROM p")
 def monotone_calibration(spark, sf_dir):
     return rounded(resample.monotone_curve(labeled(spark, sf_dir).withColumn("y", F.col("label").cast("double")), "score", "y"))
 
