@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from siltstone.plans import core, flagship, reports, structure
+from siltstone.plans import cohorts, core, flagship, reports, structure
 
 FLAGSHIP = flagship.FLAGSHIP
-MODULES = (core, structure, reports, flagship)  # their queries register themselves on import
+MODULES = (core, structure, reports, flagship, cohorts)  # their queries register themselves on import
 
 QUERIES = core.QUERIES
 SQL = core.SQL
