@@ -40,6 +40,8 @@ MOST = 200  # hashes beyond which bands get fewer rows
 REHEADS = 2  # rounds with further heads
 SLOT, SIGNED, BLOCK, SHINGLES = 1024, 1024, 1024, 500_000  # members of a head compared in a task: with it, by signatures, on sets
 BITS = 1 << 26
+#: Heads (a few numbers each) up to which a table of them is sent to all tasks; their members then stay where they are.
+HEADS = 100_000
 _PLACE = mix64(np.arange(11, 11 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -227,11 +229,18 @@ def joined_labels(links: DataFrame, labels: DataFrame) -> DataFrame:
     return written(components(links.unionByName(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b"))), "near-labels")
 
 
+def small(heads: DataFrame, tag: str) -> DataFrame:
+    """A written table of heads, to be broadcast where it has at most HEADS rows."""
+    heads = written(heads, tag)
+    return F.broadcast(heads) if heads.count() <= HEADS else heads
+
+
 def mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """head, doc_id and component c of the members of heads whose members belong to several components."""
+    """head, doc_id, component c, and the head's least component c0, of the members of heads whose members belong to several."""
     rows = members.join(labels, members.doc_id == labels.node, "left").select("head", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    some = rows.groupBy("head").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("head")
-    return written(rows.join(some, "head"), "near-mixed")
+    rows = written(rows, "near-labelled")
+    some = rows.groupBy("head").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("head", "c0")
+    return written(rows.join(small(some, "near-heads"), "head"), "near-mixed")
 
 
 def dealt(rows: DataFrame, size: int, weight: int, *columns: str) -> DataFrame:
@@ -240,7 +249,7 @@ def dealt(rows: DataFrame, size: int, weight: int, *columns: str) -> DataFrame:
     A block has at most ``size`` rows, or ``weight`` shingles, on average.
     """
     parts = F.greatest(F.ceil(F.count("*") / size), F.ceil(F.sum("n") / weight)).cast("int")
-    rows = rows.join(written(rows.groupBy("head").agg(parts.alias("p")), "near-parts"), "head").withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("p")).cast("int"))
+    rows = rows.join(small(rows.groupBy("head").agg(parts.alias("p")), "near-parts"), "head").withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("p")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
     return rows.select("head", F.least("i", "o").alias("x"), F.greatest("i", "o").alias("y"), "i", "doc_id", "c", "n", *columns)
 
@@ -256,9 +265,8 @@ def crossing(members: DataFrame, labels: DataFrame, sigs: DataFrame, docs: DataF
         rows = mixed(members, labels)
         if rows.isEmpty():
             return labels
-        outside = rows.join(rows.groupBy("head").agg(F.min("c").alias("c0")), "head").where("c <> c0")
-        second = outside.groupBy("head").agg(F.min(F.struct("doc_id", "c")).alias("s"))
-        pairs = rows.join(second, "head").where("c <> s.c").select(F.col("s.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+        second = rows.where("c <> c0").groupBy("head").agg(F.min(F.struct("doc_id", "c")).alias("s"))
+        pairs = rows.join(small(second, "near-seconds"), "head").where("c <> s.c").select(F.col("s.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
         links = written(verified(pairs, sigs, docs, id_col, text_col, percent), "near-links")
         if links.isEmpty():
             break
