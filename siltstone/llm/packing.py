@@ -4,9 +4,9 @@ A document is encoded, its token ids are hashed into a vector of ``DIMENSIONS``
 falls in give a key on a Hilbert curve.  Documents sorted by the key are laid end to end and cut into sequences, so that
 neighbours on the curve share sequences; only the very last sequence can be short.
 
-Scale: the curve is cut into 4096 ranges; a range with many documents is dealt into several by a hash of the id (documents
-in it are neighbours anyway), so that copies of one text don't meet in one task.  Only the counts of ranges (at most
-``MAX_RANGES``) reach the driver.
+Scale: the curve is cut into ranges at quantiles of the whole key, so that crowded cells are cut as finely as they need; a range
+that still has many documents holds ties of one key (copies, or texts whose means agree) and is dealt into several by a hash of the
+id, so that they don't meet in one task.  Only marks and sums of ranges (at most ``2 * MAX_RANGES``) reach the driver.
 
 Defined results: a null text is empty and gives the end id only; repeated rows are packed each; an empty table gives no
 piece; only id and text are read.
@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 from siltstone.llm.shared import batches, in_small_batches, mix64, tidy, written
 from siltstone.llm.tokens import Encoder
 
-DIMENSIONS, BITS, TOP = 4, 10, 12
-MAX_RANGES = 1 << 14
+DIMENSIONS, BITS = 4, 10
+#: Documents of a range, and the most ranges.
+RANGE, MAX_RANGES = 1000, 1 << 14
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -94,18 +96,23 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
 def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and the ids, as 4-byte integers)."""
     table = written(encoded(in_small_batches(docs), tokenizer, end_id, id_col, text_col), "packing")
-    shift = DIMENSIONS * BITS - TOP
-    table = table.withColumn("_top", F.shiftright("hkey", shift).cast("int"))
-    counts = {r["_top"]: r["c"] for r in table.groupBy("_top").agg(F.count("*").alias("c")).collect()}  # at most 4096 rows
-    target = max(256, -(-sum(counts.values()) // (MAX_RANGES - (1 << TOP))))
-    parts = np.ones(1 << TOP, np.int64)
-    for k, c in counts.items():
-        parts[k] = -(-c // target)
+    n = table.count()
+    ranges = max(1, min(MAX_RANGES, -(-n // RANGE)))
+    marks = table.agg(F.percentile_approx("hkey", [i / ranges for i in range(1, ranges)], 4 * ranges)).first()[0] if n and ranges > 1 else []
+    marks = np.unique(np.array(marks, np.int64))
+
+    def place(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(marks, keys.to_numpy(), side="right").astype(np.int32))
+
+    table = table.withColumn("_at", F.pandas_udf(place, "int")("hkey"))
+    counts = {r["_at"]: r["c"] for r in table.groupBy("_at").agg(F.count("*").alias("c")).collect()}  # at most MAX_RANGES rows
+    target = 4 * max(RANGE, -(-n // MAX_RANGES))
+    parts = np.array([max(1, -(-counts.get(k, 0) // target)) for k in range(len(marks) + 1)], np.int64)
     base = np.concatenate(([0], np.cumsum(parts)))
-    pick = lambda values: F.element_at(F.lit([int(v) for v in values]), F.col("_top") + 1)
+    pick = lambda values: F.element_at(F.lit([int(v) for v in values]), F.col("_at") + 1)
     table = table.withColumn("_range", (pick(base[:-1]) + F.pmod(F.xxhash64("doc_id", "n"), pick(parts))).cast("int"))
     sums = np.zeros(int(base[-1]) + 1, np.int64)
-    for r in table.groupBy("_range").agg(F.sum("n").alias("s")).collect():  # at most MAX_RANGES rows
+    for r in table.groupBy("_range").agg(F.sum("n").alias("s")).collect():  # at most 2 * MAX_RANGES rows
         sums[r["_range"] + 1] = r["s"]
     first = np.cumsum(sums)  # ids before each range
     sent = table.sparkSession.sparkContext.broadcast(first)

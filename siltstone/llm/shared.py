@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import inspect
+import re
 import shutil
 import tempfile
 import time
@@ -27,7 +28,7 @@ def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only on one machine where it is unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = getattr(spark.sparkContext, "_siltstone_dir", None)
         if found is None:

@@ -250,6 +250,12 @@ def test_packing(spark, rows):
     assert packing.pack(docs.unionByName(docs), path).agg(F.sum("length")).first()[0] == 2 * sum(sizes)
 
 
+def test_packing_in_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE", 2)
+    rows = corpus(n=40) + [(900 + i, "the same text over and over") for i in range(30)] + ODD
+    test_packing(spark, rows)
+
+
 def test_hilbert_curve_visits_neighbours():
     cells = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     order = np.argsort(packing.hilbert_key(cells, 3))
