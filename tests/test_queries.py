@@ -1,4 +1,4 @@
-"""Every registered query against its DuckDB SQL, on the smallest tables."""
+"""Every registered query against its DuckDB SQL, to six digits."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import pytest
 
 from siltstone import registry
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -29,7 +29,7 @@ def plain(df: pd.DataFrame) -> list[tuple]:
         if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
             return ""
         if isinstance(v, float):
-            return f"{v + 0.0:.5f}"
+            return f"{v + 0.0:.6f}"
         return str(v)
 
     return sorted(tuple(cell(v) for v in row) for row in df.astype(object).itertuples(index=False))
