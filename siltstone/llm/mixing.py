@@ -27,7 +27,7 @@ BUCKETS, MAX_BUCKETS, BUCKET_ROWS = 1024, 1 << 20, 50_000
 #: One row a source is broadcast up to so many sources; beyond it the join is an ordinary one.
 MAX_BROADCAST = 100_000
 #: The same for the weights by id, of some 16 bytes each.
-MAX_WEIGHTS = 1_000_000
+MAX_WEIGHTS = 200_000
 
 
 def word_count(text: Column) -> Column:

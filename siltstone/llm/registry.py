@@ -72,8 +72,13 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-def quality_weights(labels: DataFrame) -> DataFrame:
-    """doc_id and weight of the documents whose quality is known: good ones are four times as likely as others to be drawn next."""
+def quality_weights(labels: DataFrame) -> DataFrame | None:
+    """doc_id and weight of the documents whose quality is known: good ones are four times as likely as bad ones to be drawn next.
+
+    None where the labels don't tell the quality: all documents weigh the same.
+    """
+    if "quality" not in labels.columns:
+        return None
     return labels.where("quality is not null").select("doc_id", F.when(F.col("quality") > 0, 2.0).otherwise(0.5).alias("weight"))
 
 
