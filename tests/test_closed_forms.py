@@ -280,19 +280,19 @@ def test_kmer_pairs_of_equal_texts_equal_brute_force(spark):
 
 def test_kmer_jaccard_pairs_of_all_parts(spark, tmp_path):
     frame(spark, [(1, "blue ring", 1), (2, "blue ring", 40), (3, "blue rings", 50)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
-    assert {(r.a, r.b) for r in registry.QUERIES["kmer_jaccard_pairs_whole"](spark, str(tmp_path)).collect()} == {(1, 2), (1, 3), (2, 3)}
+    assert {(r.a, r.b) for r in registry.QUERIES["kmer_jaccard_pairs"](spark, str(tmp_path)).collect()} == {(1, 2), (1, 3), (2, 3)}
 
 
 def test_identity_components_of_all_customers(spark, tmp_path):
     frame(spark, [(i, c) for i, c in enumerate([1, 8, 15, 22, 7, 14, 21, 5, 5])], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
-    got = {r.node: r.component for r in registry.QUERIES["identity_components_whole"](spark, str(tmp_path)).collect()}
+    got = {r.node: r.component for r in registry.QUERIES["identity_components"](spark, str(tmp_path)).collect()}
     assert got == {1: 1, 8: 1, 15: 15, 22: 15, 7: 7, 14: 7, 21: 21, 5: 5}
 
 
 def test_blend_weights_of_all_lines(spark, tmp_path):
     rows = [(1, 10.0, 1.0, 0.0), (2, 20.0, 2.0, 0.0), (1, 30.0, 3.0, 0.0), (3, 40.0, 0.5, 0.0)]
     frame(spark, rows, "l_linenumber int, l_extendedprice double, l_quantity double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = {r.w: (r.n, r.spearman) for r in registry.QUERIES["blend_weights_whole"](spark, str(tmp_path)).collect()}
+    got = {r.w: (r.n, r.spearman) for r in registry.QUERIES["blend_weights"](spark, str(tmp_path)).collect()}
     assert len(got) == 11 and got[1.0] == (4, pytest.approx(-0.2)) and got[0.0] == (4, 0.0)
 
 
