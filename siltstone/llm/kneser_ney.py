@@ -13,25 +13,31 @@ word).  A shard sorts its pairs' hashes into an array, which is written to a fil
 every split by binary search, and tells the second words' shards how many different words it has seen before them.  These
 answer the splits likewise.  Only sums (counts of counts, and the stats of at most ``HEAVY`` heavy words) reach the driver.
 
+The shards' sorted arrays are the model.  They are kept in a folder (``path``), from which :func:`score_with` scores other texts:
+their pairs and words are sent to the shards in the same way, and a task maps its shard's arrays and answers.  A shard that is
+asked for more than ``SHARDED`` pairs is copied for each part of its requests.
+
 Words are told apart by ``KEY`` = 48 bits of a 64-bit hash: among ten million words about 0.2 pairs are expected to collide.
 
 Defined results: a null text is empty and has the end token only; a row whose training flag is null isn't learnt from;
 without training rows every token has the probability 1 / (V + 1) = 1; repeated rows count each; an empty table gives an empty
-result; only id and text are read.
+result; a word that the model doesn't know has the probability of P1's last term; only id and text are read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import batches, in_small_batches, joined, mix64, repeatable, tidy, word_hashes, written
+from siltstone.llm.shared import batches, in_small_batches, joined, mix64, new_path, repeatable, tidy, word_hashes, written
 
 SPLIT, SHARDED, HEAVY = 8 << 20, 2_500_000, 2000
 KEY = 48
@@ -50,12 +56,31 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _small(values: np.ndarray) -> bytes:
-    """Mostly small numbers, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values, np.uint32).tobytes())
+    """Mostly small numbers, compressed; the last byte tells their width."""
+    values = np.asarray(values)
+    wide = len(values) > 0 and int(values.max()) >> 32 > 0
+    return zstandard.ZstdCompressor(level=1).compress(values.astype(np.uint64 if wide else np.uint32).tobytes()) + (b"\x08" if wide else b"\x04")
 
 
 def _large(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint32)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[:-1]), np.uint64 if data[-1] == 8 else np.uint32).astype(np.int64)
+
+
+def _framed(*parts: bytes) -> bytes:
+    return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
+
+
+def _unframed(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        out.append(data[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
+def _table(columns: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
+    return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(columns.items())})
 
 
 class Split:
@@ -95,10 +120,16 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((mix64(keys) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
+def _ranges(batch: pa.RecordBatch):
+    """(key, row range) of a batch of (row, doc_id, train, text)."""
+    for a, b in batches(batch.column(3).cast(pa.large_string()), SPLIT):
+        yield batch.column(0)[a].as_py(), (a, b)
+
+
 def _splits(batch: pa.RecordBatch):
     """(key, row range, Split) of a batch of (row, doc_id, train, text)."""
-    for a, b in batches(batch.column(3).cast(pa.large_string()), SPLIT):
-        yield batch.column(0)[a].as_py(), (a, b), Split(batch.column(3).slice(a, b - a), batch.column(2).slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool))
+    for key, (a, b) in _ranges(batch):
+        yield key, (a, b), Split(batch.column(3).slice(a, b - a), batch.column(2).slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool))
 
 
 class Counts:
@@ -133,12 +164,128 @@ def discounts(n: list[int]) -> np.ndarray:
     return out
 
 
-def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, training, n_tokens, n_known, train_tokens, base_score and score of every row, learning from those in training."""
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
+class Shard:
+    """A shard's pairs with their counts, mapped from a file, and its contexts: c(u) and the numbers of pairs counted 1, 2 and 3+ times."""
+
+    def __init__(self, pairs: Counts, contexts: np.ndarray, stats: np.ndarray):
+        self.pairs, self.contexts, self.stats = pairs, contexts, stats
+
+    def answer(self, us: np.ndarray, keys: np.ndarray) -> bytes:
+        told = np.zeros((4, len(us)), np.int64)
+        if len(self.contexts):
+            at = np.minimum(np.searchsorted(self.contexts, us), len(self.contexts) - 1)
+            told = np.where(self.contexts[at] == us, self.stats[:, at], 0)
+        return _framed(_small(self.pairs.find(keys)), _small(told.ravel()))
+
+
+@dataclass
+class Sums:
+    """What all tasks need of a model: a few numbers, and the stats of the heavy words."""
+
+    shards: int
+    heavy: list[int]
+    hot_stats: dict[int, list[int]]
+    d: list[float]
+    e: list[float]
+    n_train: int
+    n_docs: int
+    vocabulary: int
+    types: int
+    g1: float
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        spark.createDataFrame([(json.dumps(asdict(self)),)], "sums string").coalesce(1).write.parquet(f"{path}/sums")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Sums:
+        found = json.loads(spark.read.schema("sums string").parquet(f"{path}/sums").first()["sums"])
+        return Sums(**{**found, "hot_stats": {int(k): v for k, v in found["hot_stats"].items()}})
+
+
+_TOLD = {"kind": pa.string(), "key": pa.int64(), "shard": pa.int32(), "data": pa.binary()}
+TOLD = "kind string, key long, shard int, data binary"
+
+
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    """The table, written with a folder for each kind of rows, so that a kind is read without the others."""
+    df.write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    return _read(df.sparkSession, path)
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(TOLD).parquet(path).select("kind", "key", "shard", "data")
+
+
+def _rows(docs: DataFrame, training: Column, id_col: str, text_col: str) -> DataFrame:
     rows = repeatable(in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(training, F.lit(False)).alias("train"), F.col(text_col).alias("text")), "lm-input")
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "train", "text")
+    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "train", "text")
+
+
+def _pair_keys(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return mix64(u * np.uint64(0x9E3779B97F4A7C15) + mix64(v))
+
+
+def _asked_pairs(rows: DataFrame, shards: int, heavy: np.ndarray) -> DataFrame:
+    """Each split's distinct pairs, once, for the shards: first words, how many pairs each has, second words, training counts."""
+    columns = {"shard": pa.int32(), "split": pa.int64(), "n": pa.int64(), "us": pa.binary(), "degrees": pa.binary(), "vs": pa.binary(), "counts": pa.binary()}
+
+    def ask(it):
+        for batch in it:
+            for key, _, s in _splits(batch):
+                order, bound = s.dealt(shards, heavy)
+                out = []
+                for i in np.flatnonzero(np.diff(bound)).tolist():
+                    at = order[bound[i] : bound[i + 1]]
+                    edge = np.flatnonzero(np.diff(s.u[at], prepend=-1))
+                    out.append((i, key, len(at), _pack(s.vocab[s.u[at[edge]]]), _small(np.diff(edge, append=len(at))), _pack(s.vocab[s.v[at]]), _small(s.count[at])))
+                yield from _table(columns, out).to_batches()
+
+    return rows.mapInArrow(tidy(ask), "shard int, split long, n long, us binary, degrees binary, vs binary, counts binary")
+
+
+def _asked_words(rows: DataFrame, shards: int) -> DataFrame:
+    """Each split's distinct words, once, for the shards."""
+    columns = {"shard": pa.int32(), "split": pa.int64(), "n": pa.int64(), "data": pa.binary()}
+
+    def ask(it):
+        for batch in it:
+            for key, _, s in _splits(batch):
+                order, bound = _by_shard(s.vocab, shards)
+                yield from _table(columns, [(i, key, int(bound[i + 1] - bound[i]), _pack(s.vocab[order[bound[i] : bound[i + 1]]])) for i in np.flatnonzero(np.diff(bound)).tolist()]).to_batches()
+
+    return rows.mapInArrow(tidy(ask), "shard int, split long, n long, data binary")
+
+
+def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    to = shard_of(keys, shards)
+    order = np.argsort(to, kind="stable")
+    return order, np.searchsorted(to[order], np.arange(shards + 1))
+
+
+def _requests(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+    """(first words and their numbers of pairs a split, first and second words of all pairs) of a shard's requests."""
+    us, degrees = [_unpack(x) for x in table["us"].to_pylist()], [_large(x) for x in table["degrees"].to_pylist()]
+    none = [np.empty(0, np.uint64)]
+    return us, degrees, np.concatenate(none + [np.repeat(a, d) for a, d in zip(us, degrees, strict=True)]), np.concatenate(none + [_unpack(x) for x in table["vs"].to_pylist()])
+
+
+def _answers(shard: Shard, number: int, table: pa.Table, us: list[np.ndarray], degrees: list[np.ndarray], keys: np.ndarray) -> list[tuple]:
+    out, at = [], 0
+    for split, ours, degree in zip(table["split"].to_pylist(), us, degrees, strict=True):
+        n = int(degree.sum())
+        out.append(("pairs", split, number, shard.answer(ours, keys[at : at + n])))
+        at += n
+    return out
+
+
+def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """doc_id, training, n_tokens, n_known, train_tokens, base_score and score of every row, learning from those in training.
+
+    The model is kept in ``path`` (a new folder of the shared folder where it is None), for :func:`score_with`.
+    """
+    spark = docs.sparkSession
+    path = path or new_path(spark, "lm-model")
+    rows = _rows(docs, training, id_col, text_col)
 
     def common(it):
         for batch in it:
@@ -156,161 +303,164 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     heavy = np.array(sorted([r["k"] for r in sums.where(F.col("k") > 1).where(F.col("c") * HEAVY > n_all).orderBy(F.desc("c")).limit(HEAVY).collect()] + [1]), np.uint64)  # START follows no row's size
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_all // SHARDED), 1)
 
-    def ask(it):
-        for batch in it:
-            for key, _, s in _splits(batch):
-                order, bound = s.dealt(shards, heavy)
-                out: list[list] = [[] for _ in range(6)]
-                for i in range(shards):
-                    at = order[bound[i] : bound[i + 1]]
-                    if len(at):
-                        edge = np.flatnonzero(np.diff(s.u[at], prepend=-1))
-                        for column, value in zip(out, (i, key, _pack(s.vocab[s.u[at[edge]]]), _small(np.diff(edge, append=len(at))), _pack(s.vocab[s.v[at]]), _small(s.count[at])), strict=True):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["shard", "split", "us", "degrees", "vs", "counts"])
-
     def count(table: pa.Table) -> pa.Table:
-        shard = table["shard"][0].as_py()
-        us = [_unpack(x) for x in table["us"].to_pylist()]
-        degrees = [_large(x) for x in table["degrees"].to_pylist()]
-        u = np.concatenate([np.repeat(a, d) for a, d in zip(us, degrees, strict=True)])
-        v = np.concatenate([_unpack(x) for x in table["vs"].to_pylist()])
-        counts = np.concatenate([_large(x) for x in table["counts"].to_pylist()]).astype(np.int64)
-        key = mix64(u * np.uint64(0x9E3779B97F4A7C15) + mix64(v))
-        out: list[list] = [[], [], [], []]
+        number = table["shard"][0].as_py()
+        us, degrees, u, v = _requests(table)
+        keys, counts = _pair_keys(u, v), np.concatenate([_large(x) for x in table["counts"].to_pylist()])
         with tempfile.TemporaryDirectory() as folder:
-            pairs = Counts(key, counts, folder)
-            seen = np.flatnonzero(np.asarray(pairs.counts) > 0)
-            c, one = np.asarray(pairs.counts)[seen], pairs.one[seen]
+            seen = np.flatnonzero(counts > 0)
+            all_ = Counts(keys[seen], counts[seen], folder)
+            c, one = np.asarray(all_.counts), seen[all_.one]
             contexts, which = np.unique(u[one], return_inverse=True)
-            stats = [np.bincount(which, w, len(contexts)).astype(np.int64) for w in (c, c == 1, c == 2, c >= 3)]
-            at = 0
-            for split, ours, degree in zip(table["split"].to_pylist(), us, degrees, strict=True):
-                n = int(degree.sum())
-                answer = _small(pairs.find(key[at : at + n]))
-                at += n
-                if len(contexts):
-                    place = np.minimum(np.searchsorted(contexts, ours), len(contexts) - 1)
-                    known = contexts[place] == ours
-                    told = [np.where(known, x[place], 0) for x in stats]
-                else:
-                    told = [np.zeros(len(ours), np.int64)] * 4
-                for column, value in zip(out, ("pairs", split, shard, len(answer).to_bytes(8, "little") + answer + _small(np.concatenate(told))), strict=True):
-                    column.append(value)
+            stats = np.array([np.bincount(which, w, len(contexts)).astype(np.int64) for w in (c, c == 1, c == 2, c >= 3)])
+            out = _answers(Shard(all_, contexts, stats), number, table, us, degrees, keys)
+            out.append(("model", number, number, _framed(np.asarray(all_.keys).tobytes(), _small(c), _pack(contexts), _small(stats.ravel()))))
             hot = np.isin(contexts, heavy)
-            for i in np.flatnonzero(hot):
-                for column, value in zip(out, ("heavy", int(contexts[i]), shard, np.array([x[i] for x in stats], np.int64).tobytes()), strict=True):
-                    column.append(value)
+            out += [("heavy", int(contexts[i]), number, stats[:, i].tobytes()) for i in np.flatnonzero(hot)]
             sums_ = [int((c == k).sum()) for k in (1, 2, 3, 4)] + [len(c), int((~hot & (contexts > 2)).sum())]
-            for column, value in zip(out, ("sums", 0, shard, np.array(sums_, np.int64).tobytes()), strict=True):
-                column.append(value)
+            out.append(("sums", 0, number, np.array(sums_, np.int64).tobytes()))
             after, before = np.unique(v[one], return_counts=True)
-            to = shard_of(after, shards)
-            order = np.argsort(to, kind="stable")
-            bound = np.searchsorted(to[order], np.arange(shards + 1))
+            order, bound = _by_shard(after, shards)
             for i in np.flatnonzero(np.diff(bound)).tolist():
                 mine = order[bound[i] : bound[i + 1]]
-                packed = _pack(after[mine])
-                for column, value in zip(out, ("before", i, shard, len(packed).to_bytes(8, "little") + packed + _small(before[mine])), strict=True):
-                    column.append(value)
-            del pairs
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("kind", "key", "shard", "data"), out, (pa.string(), pa.int64(), pa.int32(), pa.binary()), strict=True)})
+                out.append(("before", i, number, _framed(_pack(after[mine]), _small(before[mine]))))
+            del all_
+        return _table(_TOLD, out)
 
-    told = "kind string, key long, shard int, data binary"
-    first = written(rows.mapInArrow(tidy(ask), "shard int, split long, us binary, degrees binary, vs binary, counts binary").groupBy("shard").applyInArrow(tidy(count), told), "lm-counts")
-
-    def asked_words(it):
-        for batch in it:
-            for key, _, s in _splits(batch):
-                to = shard_of(s.vocab, shards)
-                order = np.argsort(to, kind="stable")
-                bound = np.searchsorted(to[order], np.arange(shards + 1))
-                some = np.flatnonzero(np.diff(bound)).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(["words"] * len(some)), pa.array(some, pa.int64()), pa.array([key] * len(some), pa.int64()), pa.array([_pack(s.vocab[order[bound[i] : bound[i + 1]]]) for i in some], pa.binary())], names=["kind", "key", "split", "data"])
+    first = _kept(_asked_pairs(rows, shards, heavy).drop("n").groupBy("shard").applyInArrow(tidy(count), TOLD), f"{path}/pairs")
 
     def count_before(table: pa.Table) -> pa.Table:
-        shard = table["key"][0].as_py()
-        is_words = np.array([k == "words" for k in table["kind"].to_pylist()])
+        number = table["key"][0].as_py()
+        is_words = [k == "words" for k in table["kind"].to_pylist()]
         keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         for data, words in zip(table["data"].to_pylist(), is_words, strict=True):
             if not words:
-                n = int.from_bytes(data[:8], "little")
-                keys.append(_unpack(data[8 : 8 + n]))
-                counts.append(_large(data[8 + n :]).astype(np.int64))
-        out: list[list] = [[], [], [], []]
+                a, b = _unframed(data)
+                keys.append(_unpack(a))
+                counts.append(_large(b))
         with tempfile.TemporaryDirectory() as folder:
             words = Counts(np.concatenate(keys), np.concatenate(counts), folder)
             t = np.asarray(words.counts)
-            for column, value in zip(out, ("sums", 0, shard, np.array([(t == k).sum() for k in (1, 2, 3, 4)] + [t.sum(), (t >= 3).sum(), len(t)], np.int64).tobytes()), strict=True):
-                column.append(value)
-            for data, split, ask_ in zip(table["data"].to_pylist(), table["split"].to_pylist(), is_words, strict=True):
-                if ask_:
-                    for column, value in zip(out, ("words", split, shard, _small(words.find(_unpack(data)))), strict=True):
-                        column.append(value)
+            out = [("sums", 0, number, np.array([(t == k).sum() for k in (1, 2, 3, 4)] + [t.sum(), (t >= 3).sum(), len(t)], np.int64).tobytes())]
+            out.append(("model", number, number, _framed(_pack(np.asarray(words.keys)), _small(t))))
+            out += [("words", split, number, _small(words.find(_unpack(data)))) for data, split, asked in zip(table["data"].to_pylist(), table["split"].to_pylist(), is_words, strict=True) if asked]
             del words
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("kind", "key", "shard", "data"), out, (pa.string(), pa.int64(), pa.int32(), pa.binary()), strict=True)})
+        return _table(_TOLD, out)
 
-    wanted = rows.mapInArrow(tidy(asked_words), "kind string, key long, split long, data binary")
+    wanted = _asked_words(rows, shards).select(F.lit("words").alias("kind"), F.col("shard").cast("long").alias("key"), "split", "data")
     before = first.where("kind = 'before'").select("kind", "key", F.lit(0).cast("long").alias("split"), "data")
-    second = written(before.unionByName(wanted).groupBy("key").applyInArrow(tidy(count_before), told), "lm-words")
+    second = _kept(before.unionByName(wanted).groupBy("key").applyInArrow(tidy(count_before), TOLD), f"{path}/words")
 
     add = lambda df, n: np.sum([np.frombuffer(r["data"], np.int64) for r in df.where("kind = 'sums'").select("data").collect()] or [np.zeros(n, np.int64)], axis=0)  # noqa: E731  a few numbers a shard
     of_pairs, of_words = add(first, 6), add(second, 7)
     hot_stats: dict[int, np.ndarray] = {}
     for r in first.where("kind = 'heavy'").select("key", "data").collect():  # at most HEAVY words a shard
         hot_stats[r["key"]] = hot_stats.get(r["key"], 0) + np.frombuffer(r["data"], np.int64)
-    n_docs = int(of_words[4]) and int(rows.where("train").count())
+    types = int(of_words[4])
+    n_docs = types and int(rows.where("train").count())
     vocabulary = int(of_pairs[5]) + sum(1 for k, s in hot_stats.items() if k > 2 and s[0]) + (n_docs > 0)
     d, e = discounts(of_pairs[:4].tolist()), discounts(of_words[:4].tolist())
-    types = int(of_words[4])
-    g1 = (e[1] * of_words[0] + e[2] * of_words[1] + e[3] * of_words[5]) / types if types else 1.0
-    sent = spark.sparkContext.broadcast((hot_stats, d, e))
+    g1 = float((e[1] * of_words[0] + e[2] * of_words[1] + e[3] * of_words[5]) / types) if types else 1.0
+    model = Sums(shards, heavy.tolist(), {k: s.tolist() for k, s in hot_stats.items()}, d.tolist(), e.tolist(), n_train, n_docs, vocabulary, types, g1)
+    model.save(spark, path)
+    return _scored(rows, first.where("kind = 'pairs'").unionByName(second.where("kind = 'words'")), model, docs.schema[id_col].dataType.simpleString(), id_col)
+
+
+def score_with(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row by the model that score_texts kept in ``path``.
+
+    A text's perplexity is ``10 ** (-score / n_tokens)``.
+    """
+    spark = docs.sparkSession
+    model, rows = Sums.load(spark, path), _rows(docs, F.lit(False), id_col, text_col)
+
+    def arrays(kind: str) -> DataFrame:
+        return _read(spark, f"{path}/{kind}").where("kind = 'model'").select("shard", F.col("data").alias("model"))
+
+    def held(table: pa.Table) -> tuple[list[bytes], pa.Table]:
+        """(the shard's arrays, the requests) of a group."""
+        found = [x for x in table["model"].to_pylist() if x is not None]
+        return _unframed(found[0]) if found else [], table.filter(table["split"].is_valid())
+
+    def pairs(table: pa.Table) -> pa.Table:
+        number = table["shard"][0].as_py()
+        data, table = held(table)
+        with tempfile.TemporaryDirectory() as folder:
+            none = np.empty(0, np.uint64)
+            keys, contexts = (np.frombuffer(data[0], np.uint64), _unpack(data[2])) if data else (none, none)
+            counts, stats = (_large(data[1]), _large(data[3]).reshape(4, -1)) if data else (none.astype(np.int64), np.empty((4, 0), np.int64))
+            us, degrees, u, v = _requests(table)
+            out = _answers(Shard(Counts(keys, counts, folder), contexts, stats), number, table, us, degrees, _pair_keys(u, v))
+        return _table(_TOLD, out)
+
+    def words(table: pa.Table) -> pa.Table:
+        number = table["shard"][0].as_py()
+        data, table = held(table)
+        with tempfile.TemporaryDirectory() as folder:
+            known = Counts(_unpack(data[0]) if data else np.empty(0, np.uint64), _large(data[1]) if data else np.empty(0, np.int64), folder)
+            out = [("words", split, number, _small(known.find(_unpack(x)))) for split, x in zip(table["split"].to_pylist(), table["data"].to_pylist(), strict=True)]
+            del known
+        return _table(_TOLD, out)
+
+    asked = written(_asked_pairs(rows, model.shards, np.array(model.heavy, np.uint64)).drop("counts"), "lm-asked-pairs")
+    asked_words = written(_asked_words(rows, model.shards), "lm-asked-words")
+    answers = _dealt(asked, arrays("pairs")).applyInArrow(tidy(pairs), TOLD).unionByName(_dealt(asked_words, arrays("words")).applyInArrow(tidy(words), TOLD))
+    return _scored(rows, answers, model, docs.schema[id_col].dataType.simpleString(), id_col).drop("train")
+
+
+def _dealt(asked: DataFrame, model: DataFrame) -> GroupedData:
+    """Requests and the shards' arrays, in parts of about SHARDED requests, of which each has a copy of its shard's arrays."""
+    parts = asked.groupBy("shard").agg(F.ceil(F.sum("n") / F.lit(SHARDED)).cast("int").alias("parts"))
+    requests = asked.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("split"), F.col("parts")).cast("int"))
+    copies = model.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return requests.drop("parts", "n").unionByName(copies.drop("parts"), allowMissingColumns=True).groupBy("shard", "part")
+
+
+def _scored(rows: DataFrame, answers: DataFrame, model: Sums, kind: str, id_col: str) -> DataFrame:
+    """The rows' scores, from the shards' answers to their splits."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def streams(it):
         for batch in it:
-            for key, (a, b), s in _splits(batch):
+            for key, (a, b) in _ranges(batch):
                 data = pa.BufferOutputStream()
                 part = batch.slice(a, b - a).select(["doc_id", "train", "text"])
                 with pa.ipc.new_stream(data, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                     w.write_batch(part)
-                yield pa.RecordBatch.from_arrays([pa.array(["text"]), pa.array([key], pa.int64()), pa.array([0], pa.int32()), pa.array([data.getvalue().to_pybytes()], pa.binary())], names=["kind", "key", "shard", "data"])
+                yield from _table(_TOLD, [("text", key, 0, data.getvalue().to_pybytes())]).to_batches()
 
     def score(table: pa.Table) -> pa.Table:
-        hot_stats, d, e = sent.value
+        m = sent.value
+        d, e, heavy = np.array(m.d), np.array(m.e), np.array(m.heavy, np.uint64)
         data = {(k, i): x for k, i, x in zip(table["kind"].to_pylist(), table["shard"].to_pylist(), table["data"].to_pylist(), strict=True)}
         part = pa.ipc.open_stream(data["text", 0]).read_all().combine_chunks()
         texts = part["text"].chunk(0) if part.num_rows else pa.array([], pa.string())
         s = Split(texts, part["train"].to_numpy().astype(bool))
         c_pair, c, g = np.zeros(len(s.pairs)), np.zeros(len(s.vocab)), np.zeros(len(s.vocab))
-        order, bound = s.dealt(shards, heavy)
-        for i in range(shards):
+        order, bound = s.dealt(m.shards, heavy)
+        for i in np.flatnonzero(np.diff(bound)).tolist():
             at = order[bound[i] : bound[i + 1]]
-            if len(at):
-                x = data["pairs", i]
-                n = int.from_bytes(x[:8], "little")
-                c_pair[at] = _large(x[8 : 8 + n])
-                us = s.u[at[np.flatnonzero(np.diff(s.u[at], prepend=-1))]]
-                stats = _large(x[8 + n :]).reshape(4, -1).astype(np.float64)
-                c[us], g[us] = stats[0], d[1] * stats[1] + d[2] * stats[2] + d[3] * stats[3]
+            counts, stats = (_large(x) for x in _unframed(data["pairs", i]))
+            c_pair[at] = counts
+            us = s.u[at[np.flatnonzero(np.diff(s.u[at], prepend=-1))]]
+            stats = stats.reshape(4, -1).astype(np.float64)
+            c[us], g[us] = stats[0], d[1] * stats[1] + d[2] * stats[2] + d[3] * stats[3]
         for i in np.flatnonzero(np.isin(s.vocab, heavy)):
-            stats = hot_stats.get(int(s.vocab[i]), np.zeros(4))
+            stats = m.hot_stats.get(int(s.vocab[i]), np.zeros(4))
             c[i], g[i] = stats[0], d[1] * stats[1] + d[2] * stats[2] + d[3] * stats[3]
         t = np.zeros(len(s.vocab))
-        to = shard_of(s.vocab, shards)
-        order = np.argsort(to, kind="stable")
-        bound = np.searchsorted(to[order], np.arange(shards + 1))
+        order, bound = _by_shard(s.vocab, m.shards)
         for i in np.flatnonzero(np.diff(bound)).tolist():
             t[order[bound[i] : bound[i + 1]]] = _large(data["words", i])
-        p1 = np.maximum(t - e[np.minimum(t, 3).astype(int)], 0) / max(types, 1) + g1 / (vocabulary + 1)
+        p1 = np.maximum(t - e[np.minimum(t, 3).astype(int)], 0) / max(m.types, 1) + m.g1 / (m.vocabulary + 1)
         own, context = c_pair - d[np.minimum(c_pair, 3).astype(int)], c[s.u]
         with np.errstate(divide="ignore", invalid="ignore"):
             p = np.where(context > 0, np.maximum(own, 0) / context + g[s.u] / context * p1[s.v], p1[s.v])
-        c[s.vocab == END] = n_docs
-        logs, base = np.log10(p)[s.pair], np.log10((c + 1) / (n_train + vocabulary + 1))[s.stream]
+        c[s.vocab == END] = m.n_docs
+        logs, base = np.log10(p)[s.pair], np.log10((c + 1) / (m.n_train + m.vocabulary + 1))[s.stream]
         start = s.stop - s.words - 1
         fold = lambda x: np.add.reduceat(x, start) if len(start) else x  # noqa: E731  each row has a token
-        return pa.table({"doc_id": part["doc_id"], "train": part["train"], "n_tokens": pa.array(s.words + 1), "n_known": pa.array(fold((c > 0).astype(np.int64)[s.stream])), "train_tokens": pa.array(np.full(len(start), n_train)), "base_score": pa.array(fold(base)), "score": pa.array(fold(logs))})
+        return pa.table({"doc_id": part["doc_id"], "train": part["train"], "n_tokens": pa.array(s.words + 1), "n_known": pa.array(fold((c > 0).astype(np.int64)[s.stream])), "train_tokens": pa.array(np.full(len(start), m.n_train)), "base_score": pa.array(fold(base)), "score": pa.array(fold(logs))})
 
-    answers = first.where("kind = 'pairs'").unionByName(second.where("kind = 'words'"))
-    both = rows.mapInArrow(tidy(streams), told).unionByName(answers)
+    both = rows.mapInArrow(tidy(streams), TOLD).unionByName(answers)
     return both.groupBy("key").applyInArrow(tidy(score), f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("doc_id", id_col)

@@ -174,6 +174,32 @@ def test_kneser_ney(spark, rows):
     assert kneser_ney.score_texts(make_docs(spark, rows).limit(0), F.lit(True)).collect() == []
 
 
+def test_kept_model_scores_other_texts(spark, rows, monkeypatch):
+    """A kept model gives the scores of the run that counted it, also where shards are dealt into parts, and those of unseen texts."""
+    monkeypatch.setattr(kneser_ney, "SHARDED", 3000)
+    path = new_path(spark, "test-model")
+    first = kneser_ney.score_texts(make_docs(spark, rows), F.expr("doc_id % 2 = 1"), path=path).drop("train").collect()
+    monkeypatch.setattr(kneser_ney, "SHARDED", 200)
+    assert {tuple(r) for r in kneser_ney.score_with(make_docs(spark, rows), path).collect()} == {tuple(r) for r in first}
+    other = corpus(17, 20) + [(-1, "never seen words here"), (-2, None), (-3, "One two")]
+    got = {r.doc_id: r for r in kneser_ney.score_with(make_docs(spark, other), path).collect()}
+    p, tokens = brute.model([(i, t, i % 2 == 1) for i, t in rows])
+    for i, t in other:
+        stream = [*brute.words(t), "END"]
+        want = sum(np.log10(p(u, v)) for u, v in zip(["START", *stream[:-1]], stream, strict=True))
+        assert got[i].n_tokens == len(stream) and got[i].score == pytest.approx(want, rel=1e-9)
+        assert got[i].n_known == sum(tokens[v] > 0 for v in stream)
+    assert kneser_ney.score_with(make_docs(spark, rows).limit(0), path).collect() == []
+    none = new_path(spark, "test-model")
+    kneser_ney.score_texts(make_docs(spark, rows).limit(0), F.lit(True), path=none)
+    assert all(r.score == 0 and r.n_known == 0 for r in kneser_ney.score_with(make_docs(spark, rows[:5]), none).collect())
+
+
+def test_large_counts_keep_their_width():
+    for values in ([0, 5, 2**32 - 1], [3, 2**40], []):
+        assert kneser_ney._large(kneser_ney._small(np.array(values, np.int64))).tolist() == values
+
+
 def test_probabilities_sum_to_one():
     p, tokens = brute.model([(i, t, True) for i, t in corpus(n=20)])
     for u in ["START", "never seen", *list(tokens)[:5]]:
