@@ -6,8 +6,11 @@ ordered by the distance to the centroids, and visits leaves in that order.  How
 widened until sample queries find ``recall`` of their true neighbours in the sample.  Candidates are compared exactly, in double
 precision.
 
-A leaf with many rows is dealt into blocks of about ``BLOCK`` rows, so that copies of one vector don't meet in one task.  The tree
-is that of the commonest length of vectors; those of another length are compared with all of their own length, in blocks.
+A leaf with more than ``DEEP`` rows has a tree of its own, fitted in Spark on about ``SUB_SAMPLE`` of its rows with visits of its own,
+so that what a query is compared with doesn't grow with the table.  These trees are sent to the rows and queries of their leaves
+only.  A leaf of the last level with many rows is dealt into blocks of about ``BLOCK`` rows, so that copies of one vector don't meet
+in one task.  The tree is that of the commonest length of vectors; those of another length are compared with all of their own
+length, in blocks.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part; a vector is compared with
 those of its own length; ties go to the smaller id; rows that repeat an id are one query (its smallest vector, component by
@@ -18,6 +21,7 @@ whatever was calibrated; ids must be whole numbers; an empty table gives an empt
 from __future__ import annotations
 
 import heapq
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,6 +33,9 @@ from siltstone.llm.impact_search import lengths, matrix, queries, usable
 from siltstone.llm.shared import written
 
 SAMPLE, LEAVES, BRANCHES, BLOCK = 20_000, 4096, 12, 2048
+DEEP, SUB_SAMPLE = 32_768, 4096
+#: Rows of a table that is broadcast; a larger one is joined by exchange.
+FEW = 200_000
 #: Components of the sample in all, which bounds its bytes whatever the vectors' length is.
 COMPONENTS = 1 << 23
 
@@ -151,7 +158,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
     others = rows.where(F.col("d") != d).select("vec_id", "vec", (-F.col("d")).cast("long").alias("leaf"))  # a leaf for each other length
     counts = {r["leaf"]: r["c"] for r in placed.groupBy("leaf").agg(F.count("*").alias("c")).collect()}  # at most LEAVES rows
     counts |= {-length: c for length, (c, _) in sizes.items() if length != d}
-    blocks = {leaf: -(-c // BLOCK) for leaf, c in counts.items()}
+    deep = {leaf: c for leaf, c in counts.items() if leaf >= 0 and c > DEEP}
+    blocks = {leaf: 1 if leaf in deep else -(-c // BLOCK) for leaf, c in counts.items()}
     held = spark.sparkContext.broadcast((counts, blocks))
 
     def walk(it):
@@ -173,11 +181,20 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
 
     many = F.element_at(F.create_map(*[F.lit(int(v)).cast("long") for kv in blocks.items() for v in kv]), F.col("leaf"))
     found = asked.where(F.col("d") == d).select("vec_id", "vec").mapInArrow(walk, "vec_id long, vec array<double>, leaf long, block long")
+    if deep:
+        found = written(found, "vector-walks")
+        is_deep = F.col("leaf").isin(list(deep))
+        deep_rows, deep_queries = _second_level(placed.where(is_deep), found.where(is_deep), deep, k, recall, seed)
+        placed, found = placed.where(~is_deep), found.where(~is_deep)
     if len(sizes) > 1:
         rest = asked.where(F.col("d") != d).select("vec_id", "vec", (-F.col("d")).cast("long").alias("leaf"))
         found = found.unionByName(rest.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), many - 1))))
         placed = placed.unionByName(others)
-    both = placed.select("vec_id", "vec", F.lit(False).alias("is_query"), "leaf", F.pmod(F.xxhash64("vec_id", "vec"), many).alias("block")).unionByName(found.withColumn("is_query", F.lit(True)))
+    held_rows = placed.select("vec_id", "vec", "leaf", F.lit(0).cast("long").alias("sub"), F.pmod(F.xxhash64("vec_id", "vec"), many).alias("block"))
+    found = found.withColumn("sub", F.lit(0).cast("long"))
+    if deep:
+        held_rows, found = held_rows.unionByName(deep_rows), found.unionByName(deep_queries)
+    both = held_rows.withColumn("is_query", F.lit(False)).unionByName(found.withColumn("is_query", F.lit(True)))
 
     def compare(table: pa.Table) -> pa.Table:
         is_q = table["is_query"].to_numpy(zero_copy_only=False)
@@ -194,6 +211,68 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
         kinds = (np.int64, np.int64, np.float64)
         return pa.table({n: pa.array(np.concatenate(c) if c else np.empty(0, t)) for n, c, t in zip(("query_id", "vec_id", "score"), out, kinds, strict=True)})
 
-    found = both.groupBy("leaf", "block").applyInArrow(compare, "query_id long, vec_id long, score double")
+    found = both.groupBy("leaf", "sub", "block").applyInArrow(compare, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _second_level(rows: DataFrame, asked: DataFrame, counts: dict[int, int], k: int, recall: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, vec, leaf, sub, block of the rows, the same of the queries) of leaves that have a tree of their own."""
+    of_leaf = lambda f: F.element_at(F.create_map(*[F.lit(int(v)).cast("long") for leaf, c in counts.items() for v in (leaf, f(c))]), F.col("leaf"))
+    chance = 1 << 40
+    drawn = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(chance)) < of_leaf(lambda c: chance * SUB_SAMPLE // c)
+
+    def fit(table: pa.Table) -> pa.Table:
+        leaf = table["leaf"][0].as_py()
+        rng = np.random.default_rng([seed, leaf])
+        x = np.unique(matrix(table["vec"]), axis=0)  # copies don't hide the rest
+        tree = Tree().grow(x, max(8, BLOCK // 8 * len(x) // counts[leaf]), rng)
+        return pa.table({"leaf": pa.array([leaf], pa.int64()), "tree": pa.array([pickle.dumps((tree, calibrated(tree, x, k, recall, rng)))], pa.binary())})
+
+    trees = written(rows.withColumn("drawn", drawn).where("drawn").select("leaf", "vec").groupBy("leaf").applyInArrow(fit, "leaf long, tree binary"), "vector-trees")
+
+    def with_trees(df: DataFrame, trees: DataFrame, parts: Column):
+        """Rows dealt into parts, each with its own copy of the leaf's tree."""
+        dealt = df.withColumn("part", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), parts))
+        return dealt.unionByName(trees.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))), allowMissingColumns=True).groupBy("leaf", "part")
+
+    def opened(table: pa.Table) -> tuple[Tree | None, int, pa.Table]:
+        found = [x for x in table["tree"].to_pylist() if x is not None]
+        return (*(pickle.loads(found[0]) if found else (None, 1)), table.filter(table["vec"].is_valid()))
+
+    def settle(table: pa.Table) -> pa.Table:
+        tree, _, table = opened(table)
+        sub = tree.assign(matrix(table["vec"])) if tree and len(table) else np.zeros(len(table), np.int64)
+        return table.select(["vec_id", "vec", "leaf"]).append_column("sub", pa.array(sub, pa.int64()))
+
+    settled = written(with_trees(rows, trees, of_leaf(lambda c: -(-c // DEEP))).applyInArrow(settle, "vec_id long, vec array<double>, leaf long, sub long"), "vector-subleaves")
+    sizes = written(settled.groupBy("leaf", "sub").agg(F.count("*").alias("c")), "vector-sizes")
+    full = sizes.groupBy("leaf").agg(F.collect_list(F.struct("sub", "c")).alias("sizes"))  # at most LEAVES a leaf
+    loads = asked.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(DEEP)).alias("n")).collect()  # a number a leaf
+    parts = F.element_at(F.create_map(*[F.lit(int(v)).cast("long") for r in loads for v in r]), F.col("leaf")) if loads else F.lit(1).cast("long")
+
+    def walk(table: pa.Table) -> pa.Table:
+        sizes = next((x for x in table["sizes"].to_pylist() if x is not None), [])
+        tree, visits, table = opened(table)
+        sizes = {r["sub"]: r["c"] for r in sizes}
+        take, sub, block = [], [], []
+        for i, q in enumerate(matrix(table["vec"])) if len(table) else ():
+            rows_ = seen = 0
+            for v in tree.visit(q) if tree else sizes:
+                if tree and seen >= visits and rows_ >= 4 * (k + 1):
+                    break
+                seen, rows_ = seen + 1, rows_ + sizes.get(v, 0)
+                for b in range(-(-sizes.get(v, 0) // BLOCK)):
+                    take.append(i)
+                    sub.append(v)
+                    block.append(b)
+        table = table.select(["vec_id", "vec", "leaf"]).take(pa.array(take, pa.int64()))
+        return table.append_column("sub", pa.array(sub, pa.int64())).append_column("block", pa.array(block, pa.int64()))
+
+    queries_ = with_trees(asked.drop("block"), full.join(trees, "leaf", "left").join(asked.select("leaf").distinct(), "leaf", "left_semi"), parts)
+    queries_ = queries_.applyInArrow(walk, "vec_id long, vec array<double>, leaf long, sub long, block long")
+    large = sizes.where(F.col("c") > BLOCK).select("leaf", "sub", F.ceil(F.col("c") / F.lit(BLOCK)).alias("blocks"))
+    if large.limit(FEW + 1).count() <= FEW:
+        large = F.broadcast(large)
+    block = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.coalesce("blocks", F.lit(1).cast("long")))
+    return settled.join(large, ["leaf", "sub"], "left").withColumn("block", block).drop("blocks"), queries_

@@ -455,6 +455,33 @@ def test_vector_tree(spark):
     assert vector_tree.nearest(df.where("vec_id < 4"), F.col("vec_id") == 0).count() == 3
 
 
+def test_vector_tree_of_two_levels(spark, monkeypatch):
+    """Leaves above DEEP rows have trees of their own; one of them holds many copies, which are dealt into blocks."""
+    for name, value in (("DEEP", 60), ("SUB_SAMPLE", 40), ("LEAVES", 30), ("BLOCK", 64)):
+        monkeypatch.setattr(vector_tree, name, value)
+    deep, second = [], vector_tree._second_level
+    monkeypatch.setattr(vector_tree, "_second_level", lambda rows, asked, counts, *more: deep.append(counts) or second(rows, asked, counts, *more))
+    x, df = vectors(spark, 2000)
+    x = x.astype(np.float32).astype(float)
+    copies = spark.range(5000, 5700).select(F.col("id").alias("vec_id")).crossJoin(df.where("vec_id = 100").select("embedding"))
+    df = df.select("vec_id", "embedding").unionByName(copies)
+    ids, x = np.concatenate((np.arange(2000), np.arange(5000, 5700))), np.concatenate((x, np.repeat(x[100:101], 700, 0)))
+    found, hit = {}, 0
+    for r in vector_tree.nearest(df, (F.col("vec_id") % 100 == 0) & (F.col("vec_id") < 2000)).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(found) == set(range(0, 2000, 100))
+    for q, rows in found.items():
+        far = np.sqrt(((x - x[q]) ** 2).sum(1))
+        far[q] = np.inf
+        true = ids[np.lexsort((ids, far))[:10]]
+        rows.sort()
+        assert [k for k, _, _ in rows] == list(range(1, 11))
+        hit += len({i for _, i, _ in rows} & set(true.tolist()))
+    assert hit / (10 * len(found)) >= 0.9
+    assert [i for _, i, _ in found[100]] == list(range(5000, 5010))
+    assert len(deep) == 1 and len(deep[0]) > 5 and max(deep[0].values()) > 700
+
+
 INSULTS = ["grubface", "dolthead", "snotling", "wretch"]
 
 
