@@ -7,7 +7,7 @@ widened until sample queries find ``recall`` of their true neighbours in the sam
 precision.
 
 A leaf with more than ``DEEP`` rows has a tree of its own, fitted in Spark on about ``SUB_SAMPLE`` of its rows with visits of its own,
-so that what a query is compared with doesn't grow with the table.  These trees are sent to the rows and queries of their leaves
+so that what a query is compared with grows with the table only beyond some hundred million rows (two levels, no more).  These trees are sent to the rows and queries of their leaves
 only.  A leaf of the last level with many rows is dealt into blocks of about ``BLOCK`` rows, so that copies of one vector don't meet
 in one task.  The tree is that of the commonest length of vectors; those of another length are compared with all of their own
 length, in blocks.
