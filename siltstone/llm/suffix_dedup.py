@@ -15,8 +15,10 @@ cover of this period.  Windows are told apart by what lies before their cover po
 3. Splits are told, a bit a window, whether an earlier place exists, and remove what these windows cover.
 
 Comparisons are on bytes: hashes (of 48 bits) only choose candidates, and strings of a split that share one are compared.  A core
-with more than ``HOT`` places is cut into finer cores, which spread over the shards.  No document, passage or group is
-gathered in one task, and nothing but numbers reaches the driver.
+with more than ``HOT`` places is cut into finer cores, which spread over the shards and are resolved in two steps: of the equal
+strings of a group of splits, of which there are about as many as splits in a group, only the earliest goes on to the shard.  So
+a passage that stands in every split is one string a group there.  No document, passage or group of copies is gathered in one
+task, and nothing but numbers reaches the driver.
 
 Defined results: a null text is empty; texts shorter than ``LENGTH`` bytes are kept whole; places are (id, start), null ids first,
 and rows that repeat an id share their places, so that neither removes the other's bytes; an id must be a whole number (a
@@ -26,6 +28,7 @@ TypeError tells if the column isn't); an empty table gives an empty result; only
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -116,6 +119,7 @@ class Split:
         flag = flags[self.which]
         keep, hot = np.flatnonzero(flag == 1), np.flatnonzero(flag == 2)
         at, low, high, core = [self.at[keep]], [self.low[keep]], [self.high[keep]], [self.core[keep]]
+        whole = len(keep)
         for f in range(0, SPAN, FINE):
             a, l, h = self.at[hot], np.maximum(self.low[hot], f), np.minimum(self.high[hot], f + FINE - 1)
             some = l <= h
@@ -123,6 +127,7 @@ class Split:
             at, low, high = [*at, a], [*low, l], [*high, h]
             core.append(self.hashed(a - f, a + LENGTH - np.minimum(f + FINE - 1, LENGTH - 1)) ^ np.uint64(f + 1) if len(a) else np.empty(0, np.uint64))
         self.at, self.low, self.high, self.core = (np.concatenate(x) for x in (at, low, high, core))
+        self.fine = np.arange(len(self.at)) >= whole
         text = mix64(self.hashed(self.at - self.high, self.at + LENGTH - self.low) + (self.low * 128 + self.high).astype(np.uint64)) ^ mix64(self.core)
         order = np.lexsort((self.at, text))
         new = np.concatenate(([True], text[order][1:] != text[order][:-1])) if len(order) else np.empty(0, bool)
@@ -131,11 +136,15 @@ class Split:
         self.first = order[new]  # the earliest place of each string
         self.member = np.empty(len(order), np.int64)
         self.member[order] = np.cumsum(new) - 1
-        rank = np.lexsort((self.first, self.core[self.first]))
+        rank = np.lexsort((self.first, self.core[self.first], self.fine[self.first]))
         back = np.empty(len(rank), np.int64)
         back[rank] = np.arange(len(rank))
         self.first, self.member = self.first[rank], back[self.member]
 
+    def dealt(self, shards: int) -> np.ndarray:
+        """Bounds, in ``first``, of the shards of whole cores, and after them of those of fine cores."""
+        return np.searchsorted(shard_of(self.core[self.first], shards) + shards * self.fine[self.first], np.arange(2 * shards + 1))
+
     def _equal(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether the strings of two units, and the places of the cover positions in them, are equal."""
         out = (self.low[x] == self.low[y]) & (self.high[x] == self.high[y])
@@ -217,6 +226,21 @@ def resolve(data: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.ndarra
     return out
 
 
+def later(data: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.ndarray, core: np.ndarray, ids: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Which strings have an equal one, with equal offsets and core, at an earlier place."""
+    n = len(size)
+    if not n:
+        return np.empty(0, bool)
+    ends = [x.astype(np.uint8)[:, None] for x in (low, high)]
+    rows = np.hstack([_matrix(data, np.cumsum(size) - size, size, 1), *ends, np.ascontiguousarray(core, np.uint64).view(np.uint8).reshape(n, 8)])
+    _, which = np.unique(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), return_inverse=True)
+    order = np.lexsort((offs, ids, which))
+    head = np.flatnonzero(np.concatenate(([True], np.diff(which[order]) != 0)))
+    least = np.empty(n, np.int64)
+    least[order] = np.repeat(order[head], np.diff(np.append(head, n)))
+    return (ids > ids[least]) | ((ids == ids[least]) & (offs > offs[least]))
+
+
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(KEY - 32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
@@ -300,28 +324,39 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         s.units(np.concatenate([np.empty(0, np.uint8)] + [_unzip(got["flags", i]) for i in np.flatnonzero(np.diff(bound)).tolist()]))
         return s, part, got
 
+    groups = max(1, math.isqrt(size // SPLIT))  # of splits
+    row_types = {"shard": pa.int32(), "split": pa.int64(), "core": pa.binary(), "text": pa.binary(), "low": pa.binary(), "high": pa.binary(), "ids": pa.binary(), "offs": pa.binary(), "n": pa.int64()}
+
+    def packed(shard: int, split: int, core: np.ndarray, text: bytes, low: np.ndarray, high: np.ndarray, ids: np.ndarray, offs: np.ndarray) -> tuple:
+        return shard, split, _pack(core), zstandard.ZstdCompressor(level=3).compress(text), low.astype(np.uint8).tobytes(), high.astype(np.uint8).tobytes(), _zip(ids, np.int64), _zip(offs, np.uint32), len(core)
+
+    def unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
+        """(core, data, low, high, ids, offs) of all strings of the rows."""
+        get = lambda c: table[c].to_pylist()
+        low, high = (np.concatenate([np.frombuffer(x, np.uint8) for x in get(c)]).astype(np.int64) for c in ("low", "high"))
+        ids, offs = np.concatenate([_unzip(x, np.int64) for x in get("ids")]), np.concatenate([_unzip(x, np.uint32) for x in get("offs")]).astype(np.int64)
+        return np.concatenate([_unpack(x) for x in get("core")]), np.concatenate([_unzip(x) for x in get("text")]), low, high, ids, offs
+
+    def as_rows(rows: list[tuple]) -> pa.Table:
+        return _table({c: ([r[k] for r in rows], t) for k, (c, t) in enumerate(row_types.items())})
+
+    def answer(kind: str, table: pa.Table, parts: list[bytes]) -> pa.Table:
+        return _table({"kind": ([kind] * len(parts), pa.string()), "split": (table["split"].to_pylist(), pa.int64()), "shard": (table["shard"].to_pylist(), pa.int32()), "data": (parts, pa.binary())})
+
     def strings(table: pa.Table) -> pa.Table:
         s, _, _ = opened(table)
         key = table["split"][0].as_py()
-        out: list[list] = [[] for _ in range(9)]
-        bound = np.searchsorted(shard_of(s.core[s.first], shards), np.arange(shards + 1))
-        raw = s.data.tobytes()
+        bound = s.dealt(shards)
+        raw, out = s.data.tobytes(), []
         for i in np.flatnonzero(np.diff(bound)).tolist():
             unit = s.first[bound[i] : bound[i + 1]]
             at, low, high = s.at[unit], s.low[unit], s.high[unit]
-            ids, offs = s.place(at)
             text = b"".join([raw[a:b] for a, b in zip((at - high).tolist(), (at + LENGTH - low).tolist(), strict=True)])
-            for column, value in zip(out, (i, key, _pack(s.core[unit]), zstandard.ZstdCompressor(level=3).compress(text), low.astype(np.uint8).tobytes(), high.astype(np.uint8).tobytes(), _zip(ids, np.int64), _zip(offs, np.uint32), len(unit)), strict=True):
-                column.append(value)
-        types = (pa.int32(), pa.int64(), *[pa.binary()] * 6, pa.int64())
-        return _table({n: (c, t) for n, c, t in zip(("shard", "split", "core", "text", "low", "high", "ids", "offs", "n"), out, types, strict=True)})
+            out.append(packed(i, key, s.core[unit], text, low, high, *s.place(at)))
+        return as_rows(out)
 
     def rank(table: pa.Table) -> pa.Table:
-        get = lambda c: table[c].to_pylist()
-        core = np.concatenate([_unpack(x) for x in get("core")])
-        data = np.concatenate([_unzip(x) for x in get("text")])
-        low, high = (np.concatenate([np.frombuffer(x, np.uint8) for x in get(c)]).astype(np.int64) for c in ("low", "high"))
-        ids, offs = np.concatenate([_unzip(x, np.int64) for x in get("ids")]), np.concatenate([_unzip(x, np.uint32) for x in get("offs")]).astype(np.int64)
+        core, data, low, high, ids, offs = unpacked(table)
         size = high - low + LENGTH
         begin = np.cumsum(size) - size
         bits = np.zeros(len(core), np.uint64)
@@ -332,17 +367,52 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows = order[a:b]
             where = np.arange(int(size[rows].sum())) + np.repeat(begin[rows] - (np.cumsum(size[rows]) - size[rows]), size[rows])
             bits[rows] = resolve(data[where], size[rows], low[rows], high[rows], ids[rows], offs[rows])
-        parts = np.split(bits, np.cumsum(get("n"))[:-1])
-        return _table({"kind": (["bits"] * len(parts), pa.string()), "split": (get("split"), pa.int64()), "shard": (get("shard"), pa.int32()), "data": ([_zip(x, np.uint64) for x in parts], pa.binary())})
+        return answer("bits", table, [_zip(x, np.uint64) for x in np.split(bits, np.cumsum(table["n"].to_pylist())[:-1])])
+
+    def earliest(table: pa.Table) -> pa.Table:
+        """Of fine cores: which strings of a group of splits have an earlier equal one there, and the others, for their shards."""
+        core, data, low, high, ids, offs = unpacked(table)
+        size = high - low + LENGTH
+        gone = later(data, size, low, high, core, ids, offs)
+        begin, raw = np.cumsum(size) - size, data.tobytes()
+        bound = np.concatenate(([0], np.cumsum(table["n"].to_pylist()))).tolist()
+        told, rest = [], []
+        for a, b, shard, split in zip(bound[:-1], bound[1:], table["shard"].to_pylist(), table["split"].to_pylist(), strict=True):
+            told.append(_zip(gone[a:b]))
+            on = a + np.flatnonzero(~gone[a:b])
+            text = b"".join([raw[x : x + n] for x, n in zip(begin[on].tolist(), size[on].tolist(), strict=True)])
+            out = pa.BufferOutputStream()
+            row = as_rows([packed(shard, split, core[on], text, low[on], high[on], ids[on], offs[on])] if len(on) else [])
+            with pa.ipc.new_stream(out, row.schema) as w:
+                w.write_table(row)
+            rest.append(out.getvalue().to_pybytes())
+        return pa.concat_tables([answer("early", table, told), answer("rest", table, rest)])
+
+    def resolved(table: pa.Table) -> pa.Table:
+        return earliest(table) if table["shard"][0].as_py() >= shards else rank(table)
+
+    def rank_rest(table: pa.Table) -> pa.Table:
+        rows = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table["data"].to_pylist()])
+        return rank(rows) if rows.num_rows else answer("bits", rows, [])
 
     sent = texts.unionByName(flags).groupBy("split").applyInArrow(tidy(strings), "shard int, split long, core binary, text binary, low binary, high binary, ids binary, offs binary, n long")
-    answers = written(sent.groupBy("shard").applyInArrow(tidy(rank), told), "passage-bits")
+    group = F.when(F.col("shard") >= shards, F.pmod(F.xxhash64("split"), F.lit(groups)))
+    first = written(sent.groupBy("shard", group.alias("group")).applyInArrow(tidy(resolved), told), "passage-bits")
+    second = written(first.where("kind = 'rest'").groupBy("shard").applyInArrow(tidy(rank_rest), told), "passage-fine-bits")
+    answers = first.where("kind <> 'rest'").unionByName(second)
 
     def remove(table: pa.Table) -> pa.Table:
         s, part, got = opened(table)
-        bound = np.searchsorted(shard_of(s.core[s.first], shards), np.arange(shards + 1))
-        bits = np.concatenate([np.empty(0, np.uint64)] + [_unzip(got["bits", i], np.uint64) for i in np.flatnonzero(np.diff(bound)).tolist()])
-        gone = s.covered(bits)
+        bits = [np.empty(0, np.uint64)]
+        for i in np.flatnonzero(np.diff(s.dealt(shards))).tolist():
+            if i < shards:
+                bits.append(_unzip(got["bits", i], np.uint64))
+                continue
+            early = _unzip(got["early", i]) > 0
+            bits.append(np.full(len(early), 2**64 - 1, np.uint64))
+            if not early.all():
+                bits[-1][~early] = _unzip(got["bits", i], np.uint64)
+        gone = s.covered(np.concatenate(bits))
         out: list[list] = [[], [], [], [], []]
         for a, b in zip(s.starts[:-1], s.starts[1:], strict=True):
             g, text = gone[a:b], s.data[a:b]
