@@ -152,12 +152,32 @@ def test_suffix_dedup(spark, rows):
     assert len(twice) == 4 and all(r.n_removed == (150 if r.doc_id == 2002 else 0) for r in twice)
 
 
-def test_suffix_dedup_with_hot_cores(spark, monkeypatch):
+@pytest.mark.parametrize("batch", [2000, 3])
+def test_suffix_dedup_with_hot_cores(spark, monkeypatch, batch):
+    """Batches of three rows make some 20 splits, in seven groups."""
     monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if batch < 2000:
+        monkeypatch.setattr(suffix_dedup, "SPLIT", 250)
     passage = " ".join(f"passage{k}" for k in range(30))
-    rows = [(i, f"{'head' * (i % 7)}{i} {passage[: 150 + i]} tail{i}") for i in range(40)]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicated(make_docs(spark, rows)).collect()}
+    rows = [(i, f"{'head' * (i % 7)}{i} {passage[: 150 + i]} tail{i}") for i in range(40)] + [(50 + i, passage) for i in range(20)]
+    try:
+        spark.conf.set(name, str(batch))
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicated(make_docs(spark, rows)).collect()}
+        twice = suffix_dedup.deduplicated(make_docs(spark, [(7, passage)] * 9 + [(8, passage)] * 9)).collect()
+    finally:
+        spark.conf.set(name, before)
     assert got == brute.deduplicated(rows)
+    assert len(twice) == 18 and all(r.n_removed == (len(passage) if r.doc_id == 8 else 0) for r in twice)
+
+
+def test_earliest_of_equal_strings():
+    """Strings that differ in a byte, in their offsets or in their core aren't equal; rows of one place don't displace each other."""
+    text = np.frombuffer(b"".join([b"a" * 101, b"a" * 101, b"a" * 100 + b"b", b"a" * 101, b"a" * 101, b"a" * 101]), np.uint8)
+    low, high, core = np.array([4, 4, 4, 3, 4, 4]), np.array([5, 5, 5, 4, 5, 5]), np.array([9, 9, 9, 9, 8, 9], np.uint64)
+    gone = suffix_dedup.later(text, np.full(6, 101), low, high, core, np.array([3, 1, 4, 5, 6, 1]), np.array([0, 7, 0, 0, 0, 7]))
+    assert gone.tolist() == [True, False, False, False, False, False]
 
 
 def test_kneser_ney(spark, rows):
