@@ -251,6 +251,20 @@ def test_radius_join_equals_brute_force(spark):
     assert got == want
 
 
+def test_radius_join_keeps_pairs_whose_circles_widen_towards_a_pole(spark):
+    rows = [(0, 85.6, -0.5), (1, 86.5, 36.5), (2, -86.5, 10.0), (3, -88.9, 140.0)]
+
+    def km(a, b):
+        x = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * overlap.EARTH_KM * math.asin(math.sqrt(x))
+
+    rows += [(100 + i, 76 + (i * 37 % 1400) / 100, (i * 113 % 3600) / 10 - 180) for i in range(400)]
+    df = frame(spark, rows, "i long, lat double, lon double")
+    got = {r.a_id: r.neighbours for r in overlap.within_radius(df, df, "i", "lat", "lon", 300.0).collect()}
+    want = {a[0]: sum(b[0] != a[0] and km(a, b) <= 300 for b in rows) for a in rows}
+    assert got == {k: n for k, n in want.items() if n}
+
+
 def test_learners(spark):
     rows = [(i, [float(i % 10), float(i % 3)], int(i % 10 > 4), i % 5) for i in range(100)]
     df = frame(spark, rows, "i long, v array<double>, y int, g int")
