@@ -11,9 +11,25 @@ from pyspark.sql import functions as F
 from siltstone.functions.scales import ALPHABET
 
 
+#: Characters but the sharp s whose upper case is several characters, and the one that each becomes where a text keeps its length.
+LONG_UPPER = "".join(c for c in map(chr, range(0x10000)) if len(c.upper()) > 1 and c != "\u00df")
+ONE_UPPER = "".join(c.title() if len(c.title()) == 1 else c for c in LONG_UPPER)
+
+
+def upper(c: Column) -> Column:
+    """Upper case, character by character, so that a text keeps its length (``F.upper`` makes two letters of a sharp s)."""
+
+    def whole(t: Column) -> Column:
+        pieces = F.split(t, f"(?<=[{LONG_UPPER}])|(?=[{LONG_UPPER}])")  # few texts have any of them
+        one = F.transform(pieces, lambda s: F.when(s.rlike(f"^[{LONG_UPPER}]"), F.translate(s, LONG_UPPER, ONE_UPPER)).otherwise(F.upper(s)))
+        return F.when(F.length(F.upper(t)) > F.length(t), F.array_join(one, "")).otherwise(F.upper(t))
+
+    return F.element_at(F.transform(F.array(F.replace(c, F.lit("\u00df"), F.lit("\u1e9e"))), whole), 1)  # the lambda's variable is worked out once
+
+
 def canonical_text(c: Column) -> Column:
     """Trimmed, upper-case, without blanks; null if nothing is left."""
-    return F.nullif(F.upper(F.replace(F.trim(c), F.lit(" "), F.lit(""))), F.lit(""))
+    return F.nullif(upper(F.replace(F.trim(c), F.lit(" "), F.lit(""))), F.lit(""))
 
 
 def is_sequence(c: Column, alphabet: str = ALPHABET, at_least: int = 1) -> Column:

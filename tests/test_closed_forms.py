@@ -265,6 +265,17 @@ def test_radius_join_keeps_pairs_whose_circles_widen_towards_a_pole(spark):
     assert got == {k: n for k, n in want.items() if n}
 
 
+def test_canonical_text_keeps_its_length(spark):
+    texts = [" stra\u00dfe 1 ", "\u00df", "\ufb01n \u1f80\u03b1\u0390\u00df\u00dfx", "\u00e4\u00f6", " ", None]
+    got = [r[0] for r in frame(spark, [(i, t) for i, t in enumerate(texts)], "i long, t string").orderBy("i").select(X.canonical_text(F.col("t"))).collect()]
+    assert got == ["STRA\u1e9eE1", "\u1e9e", "\ufb01N\u1f88\u0391\u0390\u1e9e\u1e9eX", "\u00c4\u00d6", None, None]
+
+
+def test_contract_rejections_count_a_sharp_s_once(spark, tmp_path):
+    frame(spark, [(1, "\u00df" * 499, "src1", 499), (2, "\u00df" * 500, "src1", 500)], "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in registry.QUERIES["contract_rejections"](spark, str(tmp_path)).collect()] == [("src1", "sequence_short", 1)]
+
+
 def test_learners(spark):
     rows = [(i, [float(i % 10), float(i % 3)], int(i % 10 > 4), i % 5) for i in range(100)]
     df = frame(spark, rows, "i long, v array<double>, y int, g int")
