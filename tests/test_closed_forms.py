@@ -295,6 +295,37 @@ def test_queries_beyond_one_block_lose_nothing(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
 
 
+def test_cosine_and_neighbours_of_copies_equal_brute_force_without_a_pair_join(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "ROWS_A_BLOCK", 40)
+    monkeypatch.setattr(overlap, "QUERIES_AT_ONCE", 5)
+    rng = random.Random(7)
+    vecs = [[rng.random() - 0.5 for _ in range(6)] for _ in range(40)]
+    vecs = [list(rng.choice(vecs)) if i % 3 else [x * (1 + i % 2) for x in rng.choice(vecs)] for i in range(150)]
+    vecs[20], vecs[31], vecs[40] = [0.0] * 6, None, [1.0, None, 0.0, 0.0, 0.0, 0.0]
+    v = frame(spark, list(enumerate(vecs)), "i long, e array<double>")
+    q = v.where("i % 10 = 0")
+    whole = {i: x for i, x in enumerate(vecs) if x and None not in x}
+
+    def dots(x, y):
+        total = 0.0
+        for s, t in zip(x, y, strict=True):
+            total += s * t
+        return total
+
+    best, near = {}, {}
+    for b in range(0, 150, 10):
+        rows = sorted((math.sqrt(dots(d, d)), i) for i, x in whole.items() if b in whole and i != b for d in [[s - t for s, t in zip(x, whole[b], strict=True)]])
+        near |= {(b, n + 1): (i, d) for n, (d, i) in enumerate(rows[:4])}
+        for i, x in whole.items():
+            if b in whole and i != b and (below := math.sqrt(dots(x, x)) * math.sqrt(dots(whole[b], whole[b]))):
+                c = dots(x, whole[b]) / below
+                if c >= 0.3 and (i not in best or (c, -b) > (best[i][1], -best[i][0])):
+                    best[i] = (b, c)
+    found = overlap.near_by_cosine(v, q, "i", "e", 0.3, most_b=6)
+    assert {r.a_id: (r.b_id, r.cosine) for r in found.collect()} == best
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_kmer_pairs_of_equal_texts_equal_brute_force(spark):
     words = ["abcdef", "abcdef", "abcdeg", "zz", "abcdef", "", None, "a", "zz", "abcdeg"]
     sets = [{w[k : k + 2] for k in range(len(w) - 1)} if w else set() for w in words]
