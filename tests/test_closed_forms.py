@@ -323,6 +323,8 @@ def test_cosine_and_neighbours_of_copies_equal_brute_force_without_a_pair_join(s
                     best[i] = (b, c)
     found = overlap.near_by_cosine(v, q, "i", "e", 0.3, most_b=6)
     assert {r.a_id: (r.b_id, r.cosine) for r in found.collect()} == best
+    got = {(r.query_id, r["rank"]): (r.neighbour_id, r.distance) for r in overlap.knn(q, v, "i", "e", 4, most=6).collect()}
+    assert {k: r for k, r in got.items() if k[0] != 40} == near and [got[40, n] for n in (1, 2)] == [(0, None), (1, None)]
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
 
 
