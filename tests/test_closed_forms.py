@@ -336,6 +336,13 @@ def test_kmer_pairs_of_equal_texts_equal_brute_force(spark):
     assert {(r.a, r.b, round(r.jaccard, 9)) for r in got} == want and len(got) == len(want)
 
 
+def test_copies_are_spread_in_parts_without_loss(spark):
+    left = frame(spark, [(i, t) for i, t in enumerate("aabcz")], "x long, t string")
+    rows = [(i, "ab"[i % 7 == 0]) for i in range(50)] + [(90, "c")]
+    got = [tuple(r) for r in overlap.spread(left, frame(spark, rows, "y long, t string"), "t", "y", most=5).select("x", "y").collect()]
+    assert sorted(got) == sorted((i, y) for i, t in enumerate("aabcz") for y, u in rows if t == u)
+
+
 def test_kmer_jaccard_pairs_of_all_parts(spark, tmp_path):
     frame(spark, [(1, "blue ring", 1), (2, "blue ring", 40), (3, "blue rings", 50)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     assert {(r.a, r.b) for r in registry.QUERIES["kmer_jaccard_pairs"](spark, str(tmp_path)).collect()} == {(1, 2), (1, 3), (2, 3)}
