@@ -27,6 +27,11 @@ def upper(c: Column) -> Column:
     return F.element_at(F.transform(F.array(F.replace(c, F.lit("\u00df"), F.lit("\u1e9e"))), whole), 1)  # the lambda's variable is worked out once
 
 
+def lower(c: Column) -> Column:
+    """Lower case, character by character: a sigma is the same at a word's end, and a dotted I becomes one letter."""
+    return F.lower(F.translate(c, "\u03a3\u0130", "\u03c3i"))
+
+
 def canonical_text(c: Column) -> Column:
     """Trimmed, upper-case, without blanks; null if nothing is left."""
     return F.nullif(upper(F.replace(F.trim(c), F.lit(" "), F.lit(""))), F.lit(""))
@@ -52,9 +57,9 @@ def binary_label(c: Column, positive: tuple[str, ...] = ("1", "1.0", "true", "ye
     return F.when(token.isin(*positive), 1).when(token.isin(*negative), 0)
 
 
-def mapped(c: Column, table: dict[str, str], default: Column | None = None) -> Column:
-    """The table's value for the trimmed lower-case text."""
-    key = F.lower(F.trim(c))
+def mapped(c: Column, table: dict[str, str], default: Column | None = None, trimmed: bool = True) -> Column:
+    """The table's value for the trimmed (or else the whole) lower-case text."""
+    key = lower(F.trim(c) if trimmed else c)
     if not table:
         return key if default is None else default
     found = F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -387,3 +388,14 @@ def test_identity_pairs_and_families_equal_brute_force(spark):
     for a, b in sorted(want) + [(first[t], i) for i, t in enumerate(texts) if t]:
         family = [min(family[a], family[b]) if f in (family[a], family[b]) else f for f in family]
     assert {r.i: r.component for r in graph.identity_families(df, "i", "s").collect()} == dict(enumerate(family))
+
+
+def test_contract_rejections_of_odd_rows_equal_their_sql(spark, tmp_path):
+    texts, sources = [None, "", "  ", "a" * 499, " " + "a" * 500], [None, "", "SRC1", "src1 ", "\u0391\u03a3", "\u0391\u03a3\u0130"]
+    rows = [(i, t, s, None) for i, (t, s) in enumerate((t, s) for t in texts for s in sources)]
+    frame(spark, rows, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(registry.SQL["contract_rejections"]).fetchall()
+    got = [tuple(r) for r in registry.QUERIES["contract_rejections"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and (None, "sequence_short", 3) in got
