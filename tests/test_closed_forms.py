@@ -399,3 +399,25 @@ def test_contract_rejections_of_odd_rows_equal_their_sql(spark, tmp_path):
     want = con.execute(registry.SQL["contract_rejections"]).fetchall()
     got = [tuple(r) for r in registry.QUERIES["contract_rejections"](spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str) and (None, "sequence_short", 3) in got
+
+
+def test_knn_join_asks_for_every_row(spark, tmp_path):
+    rng = random.Random(11)
+    rows = [(i, [float(rng.randint(-3, 3)) for _ in range(3)]) for i in range(130)] + [(130, [1e200, 0.0, 0.0])]
+    frame(spark, rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = [tuple(r) for r in registry.QUERIES["knn_join"](spark, str(tmp_path)).select("query_id", "neighbour_id", "distance", "rank").collect()]
+    assert sorted(got) == sorted(con.execute(registry.SQL["knn_join"]).fetchall()) and len(got) == 131 * 5
+
+
+def test_neighbours_of_plain_vectors_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "ROWS_A_BLOCK", 500)
+    rng = random.Random(12)
+    vecs = [[float(rng.randint(-2, 2)) for _ in range(4)] for _ in range(1300)]
+    v = frame(spark, list(enumerate(vecs)), "i long, e array<float>")
+    got = {}
+    for r in overlap.knn(v.where("i % 50 = 0"), v, "i", "e", 4, most=9).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.distance, r.neighbour_id)
+    far = lambda a, b: math.sqrt(sum((s - t) ** 2 for s, t in zip(vecs[a], vecs[b], strict=True)))
+    assert got == {a: dict(enumerate(sorted((far(a, b), b) for b in range(1300) if b != a)[:4], 1)) for a in range(0, 1300, 50)}
