@@ -421,3 +421,12 @@ def test_neighbours_of_plain_vectors_equal_brute_force(spark, monkeypatch):
         got.setdefault(r.query_id, {})[r["rank"]] = (r.distance, r.neighbour_id)
     far = lambda a, b: math.sqrt(sum((s - t) ** 2 for s, t in zip(vecs[a], vecs[b], strict=True)))
     assert got == {a: dict(enumerate(sorted((far(a, b), b) for b in range(1300) if b != a)[:4], 1)) for a in range(0, 1300, 50)}
+
+
+def test_near_positional_match_asks_for_every_part(spark, tmp_path):
+    names = ["red rod", "red rod", "rad rod", "rad rad", "blue bolt", "b", "b", "", None, "red rods"]
+    frame(spark, list(enumerate(names, 1)), "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    got = [tuple(r) for r in registry.QUERIES["near_positional_match"](spark, str(tmp_path)).select("a_id", "b_id", "mismatches").collect()]
+    assert sorted(got) == sorted(con.execute(registry.SQL["near_positional_match"]).fetchall()) and len(got) == 8
