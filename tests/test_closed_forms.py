@@ -430,3 +430,13 @@ def test_near_positional_match_asks_for_every_part(spark, tmp_path):
     con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
     got = [tuple(r) for r in registry.QUERIES["near_positional_match"](spark, str(tmp_path)).select("a_id", "b_id", "mismatches").collect()]
     assert sorted(got) == sorted(con.execute(registry.SQL["near_positional_match"]).fetchall()) and len(got) == 8
+
+
+def test_linked_ids_cross_in_arrays_without_loss(spark):
+    sides = [[(i, "abc"[i % 7 % 3]) for i in range(40)], [(i, "bcd"[i % 5 % 3]) for i in range(100, 150)]]
+    links = [("a", "b", 1), ("c", "d", 2), ("b", "b", 3), ("z", "c", 4)]
+    left, right = frame(spark, sides[0], "x long, s string"), frame(spark, sides[1], "y long, t string")
+    df = overlap.crossed(frame(spark, links, "s string, t string, v int"), left, right, ("s", "t"), ("x", "y"), most=8, a_task=10)
+    got = sorted((r.x, r.y, r.v) for r in df.collect())
+    assert got == sorted((x, y, v) for s, t, v in links for x, k in sides[0] for y, m in sides[1] if (k, m) == (s, t))
+    assert "RoundRobin" in df._jdf.queryExecution().executedPlan().toString()
