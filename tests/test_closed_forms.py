@@ -447,3 +447,27 @@ def test_kmer_pairs_of_frequent_texts_are_dealt_evenly(spark):
     df = graph.kmer_pairs(frame(spark, list(enumerate(words)), "i long, s string"), "i", "s", 2, 0.6)
     assert {(r.a, r.b) for r in df.collect()} == {(a, b) for b in range(50) for a in range(b)} and df.count() == 1225
     assert "RoundRobin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_radius_join_counts_copies_by_place(spark):
+    rng = random.Random(4)
+    spots = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(60)] + [(90.0, 0.0), (-90.0, 5.0)]
+    a = [(i, *rng.choice(spots)) for i in range(150)] + [(3, *spots[0]), (7, *spots[1]), (500, *spots[2]), (501, None, 0.0), (None, *spots[0])]
+    b = [(i, *(x[1:] if i % 4 else rng.choice(spots))) for i, x in enumerate(a[:120])] + [(3, *spots[5]), (3, *spots[6]), (900, *spots[0]), (900, *spots[0]), (901, 1.0, None)]
+
+    def km(p, q):
+        x = math.sin(math.radians(q[0] - p[0]) / 2) ** 2 + math.cos(math.radians(p[0])) * math.cos(math.radians(q[0])) * math.sin(math.radians(q[1] - p[1]) / 2) ** 2
+        return 2 * overlap.EARTH_KM * math.asin(min(1, math.sqrt(x)))
+
+    schema, want = "i long, lat double, lon double", {}
+    for i, *p in a:
+        for j, *q in b:
+            if None not in (i, *p, *q) and i != j and (d := km(p, q)) <= 1500:
+                want.setdefault(i, {}).setdefault(j, []).append(d)
+    df = overlap.within_radius(frame(spark, a, schema), frame(spark, b, schema), "i", "lat", "lon", 1500.0)
+    got = {r.a_id: (r.neighbours, round(r.nearest_km, 6)) for r in df.collect()}
+    assert got == {i: (len(x), round(min(map(min, x.values())), 6)) for i, x in want.items()} and any(n > 10 for n, _ in got.values())
+    same = frame(spark, [(i, 1.0, 2.0) for i in range(5000)], schema)
+    df = overlap.within_radius(same, same, "i", "lat", "lon", 300.0)
+    assert df.agg(F.count("*"), F.min("neighbours"), F.max("neighbours"), F.max("nearest_km")).first() == (5000, 4999, 4999, 0.0)
+    assert "count(distinct" not in df._jdf.queryExecution().toString()  # rows are counted by class, not by pairs
